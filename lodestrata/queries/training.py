@@ -76,27 +76,32 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_history(spark, sf_dir).select("subscription_id", "valid_from")
 
 
-def p4_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event once, with the plan and status known on its day; all columns of p4_found and more."""
-    events = table(spark, sf_dir, "subscription_events").select("event_no", clean_key("subscription_id").alias("sid"), "event_date", clean_word("event_type").alias("event_type")).where("event_date is not null").dropDuplicates(["event_no"])
+def _as_known(spark: SparkSession, sf_dir: str, keep: dict, wide: dict) -> DataFrame:
+    events = table(spark, sf_dir, "subscription_events").where("event_date is not null")
+    events = events.select("event_no", clean_key("subscription_id").alias("subscription_id"), "event_date", *(c.alias(n) for n, c in keep.items())).distinct()
     plan, status = clean_word("plan_tier"), clean_key("status")
-    facts = table(spark, sf_dir, "subscription_snapshots").where(plan.isNotNull() & status.isNotNull())
     return as_known(
         events,
-        F.col("sid"),
+        F.col("subscription_id"),
         F.col("event_date"),
-        {"event_no": F.col("event_no"), "subscription_id": F.col("sid"), "event_type": F.col("event_type"), "event_date": day_text("event_date")},
-        facts,
+        {c: F.col(c) for c in ("event_no", *(["subscription_id", "event_date"] if wide else []), *keep)},
+        table(spark, sf_dir, "subscription_snapshots").where(plan.isNotNull() & status.isNotNull()),
         clean_key("subscription_id"),
         F.col("snapshot_date"),
         F.col("_ingested_at").cast("date"),
-        [F.col("_ingested_at"), F.col("snapshot_no")],
-        {"snapshot_no": F.col("snapshot_no"), "plan_tier": plan, "status": status},
-    )
+        {"_ingested_at": F.col("_ingested_at"), "snapshot_no": F.col("snapshot_no")},
+        wide,
+    ).drop("_ingested_at")
+
+
+def p4_as_known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event once, with the plan and status known on its day."""
+    wide = {"plan_tier": clean_word("plan_tier"), "status": clean_key("status")}
+    return _as_known(spark, sf_dir, {"event_type": clean_word("event_type")}, wide).withColumn("event_date", day_text("event_date"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p4_as_known(spark, sf_dir).select("event_no", "snapshot_no")
+    return _as_known(spark, sf_dir, {}, {})
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
