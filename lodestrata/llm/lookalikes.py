@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -32,7 +31,7 @@ DRAWN_LIKE = {"\u2010": "-", "\u2011": "-", "\ufe63": "-", "\u0261": "g", "\u202
 def _folds() -> dict[int, str]:
     """Wide and narrow forms, ligatures, number letters, spaces and widthless characters, by Unicode's own tables."""
     table: dict[int, str] = {}
-    for c in range(0x80, sys.maxunicode + 1):
+    for c in range(0x80, 0x10000):  # beyond, no character has such a form
         ch = chr(c)
         kind, _, rest = unicodedata.decomposition(ch).partition(" ")
         if kind in ("<wide>", "<narrow>"):
@@ -50,10 +49,14 @@ TO_LATIN = {ord(k): v for letters in LOOKALIKES.values() for k, v in letters.ite
 SCRIPT_OF = {k: s for s, letters in LOOKALIKES.items() for k in letters}
 FROM_LATIN = {s: {ord(v): k for k, v in letters.items()} for s, letters in LOOKALIKES.items()}
 LATIN_SHARED = {v for letters in LOOKALIKES.values() for v in letters.values()}
-#: A run of letters with their marks that holds at least one look-alike of another script.
-FOREIGN = "".join(SCRIPT_OF)
 _MARKS = "\u0300-\u036f\u0483-\u0487"
-TOKEN = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)*[{FOREIGN}][{_MARKS}]*(?:[^\W\d_][{_MARKS}]*)*")
+FOREIGN = re.compile(f"[{''.join(SCRIPT_OF)}]")
+#: The rest of a run of letters with their marks.
+RUN = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
+_IN_RUN = re.compile(rf"[^\W\d_]|[{_MARKS}]")
+#: What a text in its one form cannot hold; one in composed form without any of these is left as it is.
+_LOW = "".join(re.escape(chr(c)) for c in FOLDS if c < 0x10000)
+UNEVEN = re.compile(f"[{_LOW}{''.join(SCRIPT_OF)}\U000e0000-\U000e0fff]")
 
 
 def script(ch: str) -> str:
@@ -95,20 +98,31 @@ def judge(token: str) -> tuple[str, str, bool]:
     return repaired, fallback, False
 
 
+def foreign_runs(folded: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each run of letters that holds a foreign look-alike; linear in the text."""
+    done = 0
+    while m := FOREIGN.search(folded, done):
+        start = m.start()
+        while start > done and _IN_RUN.match(folded[start - 1]):
+            start -= 1
+        done = RUN.match(folded, m.start()).end()
+        yield start, done
+
+
 def dissect(text: str) -> tuple[list[str], list[tuple[str, str]], list[str]]:
     """(segments, open choices between them, words of the vocabulary) of one whole text."""
+    if text.isascii() or (unicodedata.is_normalized("NFC", text) and not UNEVEN.search(text)):
+        return [text], [], []
     folded = fold(text)
-    if folded.isascii():
-        return [folded], [], []
     segments, choices, words, done, here = [], [], set(), 0, []
     memo: dict[str, tuple[str, str, bool]] = {}
-    for m in TOKEN.finditer(folded):
-        token = m.group()
+    for start, end in foreign_runs(folded):
+        token = folded[start:end]
         if token not in memo:
             memo[token] = judge(token)
         repaired, fallback, certain = memo[token]
-        here.append(folded[done : m.start()])
-        done = m.end()
+        here.append(folded[done:start])
+        done = end
         if certain:
             here.append(repaired)
             if repaired == token:  # written in one script other than Latin: a word repairs can aim at
