@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,14 @@ def _rank(order: Sequence[str]) -> Column:
     return F.struct(*(F.col(c) for c in order))
 
 
+def _thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each identifier (column 0) in each Arrow batch: stateless and of bounded memory."""
+    for batch in batches:
+        codes = batch.column(0).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        _, first = np.unique(codes, return_index=True)
+        yield batch if len(first) == batch.num_rows else batch.take(pa.array(np.sort(first)))
+
+
 def first_seen(spark: SparkSession, path: str, columns: Sequence[Column], key: str, event_time: Column, expire_after: str = "30 days", batches: int = 4, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
     """Run the deliveries in ``path`` through a keyed state store and return what it let pass.
 
@@ -27,6 +37,9 @@ def first_seen(spark: SparkSession, path: str, columns: Sequence[Column], key: s
     same files once. ``out`` and ``checkpoint`` may name lasting folders, in which case a later call reads
     only the files that are new; else folders of their own below the shared folder are used.
 
+    Before the exchange each Arrow batch is reduced to one row per identifier, so an identifier with a third
+    of all deliveries brings one row per batch to its state partition.
+
     batches: over how many micro-batches the files that wait are spread.
     """
     out, checkpoint = out or new_path(spark, "passed"), checkpoint or new_path(spark, "dedupe-state")
@@ -43,12 +56,10 @@ def first_seen(spark: SparkSession, path: str, columns: Sequence[Column], key: s
         else:
             path_read = path
         stream = reader.parquet(path_read)
-        seen = (
-            stream.select(*columns, event_time.cast("timestamp").alias("__event_time"))
-            .where(F.col(key).isNotNull())
-            .withWatermark("__event_time", expire_after)
-            .dropDuplicatesWithinWatermark([key])
-        )
+        rows = stream.select(*columns, event_time.cast("timestamp").alias("__event_time")).where(F.col(key).isNotNull())
+        thin = rows.select(key, *(c for c in rows.columns if c != key))
+        thin = thin.mapInArrow(_thin, thin.schema)
+        seen = thin.withWatermark("__event_time", expire_after).dropDuplicatesWithinWatermark([key])
         kept = seen.drop("__event_time")
         query = kept.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
