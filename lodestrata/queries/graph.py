@@ -52,7 +52,7 @@ def nodes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     g = gold(spark, d)
     subscribed = g.select("sid")
     mine = lambda df: df.join(subscribed, "sid", "left_semi")
-    setting = R.events(spark, d).where(F.col("event_type").isin("overage_opened", "overage_closed")).withColumn("state", F.when(F.col("event_type") == "overage_opened", "enabled").otherwise("disabled"))
+    setting = R.events(spark, d).where(F.col("event_type").isin(*R.ON, *R.OFF)).withColumn("state", F.when(F.col("event_type").isin(*R.ON), "enabled").otherwise("disabled"))
     inv = R.invoices(spark, d).select("sid", "day", F.concat(F.lit("invoice_"), F.coalesce("status", F.lit("none"))).alias("type"), F.col("invoice_no").alias("no"))
     evs = R.events(spark, d).where(F.col("event_type").isin("canceled", "cancel_scheduled")).select("sid", "day", F.col("event_type").alias("type"), (F.col("event_no") + 1_000_000_000).alias("no"))
     bill = inv.unionByName(evs).join(g.select("sid", "renewal_date", "as_of"), "sid").where((F.col("day") >= F.col("renewal_date")) | F.col("type").isin("canceled", "cancel_scheduled"))
@@ -427,7 +427,7 @@ _BILL = """SELECT b.*, as_of, NOT coalesce(type = 'cancel_scheduled' AND day <=
  UNION ALL SELECT sid, day, event_type, event_no + 1000000000 FROM ev WHERE event_type IN ('canceled', 'cancel_scheduled')) b JOIN feat USING (sid) WHERE day >= renewal_date OR type IN ('canceled', 'cancel_scheduled')"""
 GRAPH = f"""{R.BASE}, g AS (SELECT *, CAST(regexp_extract(sid, '(\\d+)$', 1) AS BIGINT) AS no FROM feat),
 n_hit AS ({_MINE(_seq('lh', 'hit_no', 'SELECT * FROM hit', ', limit_type'))}),
-n_set AS ({_MINE(_seq('ovs', 'event_no', "SELECT * FROM ev WHERE event_type IN ('overage_opened', 'overage_closed')", ", CASE WHEN event_type = 'overage_opened' THEN 'enabled' ELSE 'disabled' END AS state"))}),
+n_set AS ({_MINE(_seq('ovs', 'event_no', f"SELECT * FROM ev WHERE event_type IN {R.ON + R.OFF}", f", CASE WHEN event_type IN {R.ON} THEN 'enabled' ELSE 'disabled' END AS state"))}),
 n_chg AS ({_MINE(_seq('ovc', 'charge_no', 'SELECT * FROM chg', ', micro'))}),
 n_tick AS ({_MINE('SELECT ticket_id AS node_id, sid, day FROM tick')}),
 n_bill AS ({_seq('bill', 'no', _BILL, ', type, outcome_evidence')}),

@@ -20,6 +20,10 @@ INCIDENTS = (("inc-001", "2025-03-10", "2025-03-16"), ("inc-002", "2025-09-01",
 CHANGES = (("cap-2025-08", "2025-08-20", "weekly caps cut"), ("cap-2026-01", "2026-01-25", "caps cut again"))
 PLANS = (("pro", 20.0, 40.0), ("pro_plus", 60.0, 120.0), ("ultra", 200.0, 400.0))
 CUT = 0.83
+#: An outcome shows within so many days of the renewal.
+SHOWS = 40
+ON = ("overage_opened", "overage_added", "overage_restored", "overage_exported")
+OFF = ("overage_closed", "overage_removed", "overage_expired", "overage_denied", "overage_shared", "overage_viewed", "overage_renamed", "overage_paired")
 
 #: The numeric features that distances use.
 FEATURES = (
@@ -76,20 +80,20 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.unionByName(part(charges(spark, d), micro=F.col("micro"))).unionByName(part(tickets(spark, d), tickets=one))
     rows = rows.unionByName(part(invoices(spark, d), paid=is_("status", "paid"), failed=is_("status", "failed")))
     kind = F.col("event_type")
-    marks = {"ide": kind.startswith("ide_").cast("int"), "cli": kind.startswith("cli_").cast("int"), "on_": (kind == "overage_opened").cast("int"), "off_": (kind == "overage_closed").cast("int"), "canceled": (kind == "canceled").cast("int"), "scheduled": (kind == "cancel_scheduled").cast("int")}
+    marks = {"ide": kind.startswith("ide_").cast("int"), "cli": kind.startswith("cli_").cast("int"), "on_": kind.isin(*ON).cast("int"), "off_": kind.isin(*OFF).cast("int"), "canceled": (kind == "canceled").cast("int"), "scheduled": (kind == "cancel_scheduled").cast("int")}
     return rows.unionByName(part(events(spark, d), **marks)).groupBy("sid", "day").agg(*(F.sum(m).alias(m) for m in MEASURES))
 
 
 def features(spark: SparkSession, d: str, naive: bool = False) -> DataFrame:
     """Spine rows with features, outcome and route. naive drops the upper bound (to show that a leak is found)."""
-    until = F.col("renewal_date") if not naive else F.lit("9999-12-31").cast("date")
+    until = F.date_add("renewal_date", SHOWS) if not naive else F.lit("9999-12-31").cast("date")
     rows = bounded_join(spine(spark, d), ledger(spark, d), "sid", "day", until)
     known = F.col("day") <= F.col("as_of") if not naive else F.lit(True)
     active = F.when(F.col("hits") > 0, 1)
-    upto = lambda m, cond=known: F.coalesce(F.sum(F.when(cond, F.col(m))), F.lit(0))
     last = lambda m: F.max(F.when(known & (F.col(m) > 0), F.col("day")))
     w = lambda m, n, skip=0: windowed(m, "day", "as_of", n, skip).cast("bigint")
-    at = lambda m: F.max(F.when((F.col("day") == F.col("renewal_date")) & (F.col(m) > 0), F.col("day")))
+    shows = (F.col("day") >= F.col("renewal_date")) & (F.col("day") <= F.date_add("renewal_date", SHOWS))
+    at = lambda m: F.min(F.when(shows & (F.col(m) > 0), F.col("day")))
     key = ["sid", "as_of", "renewal_date", "plan_tier", "started_at", "user_name", "city"]
     weekend = F.when((F.col("hits") > 0) & F.dayofweek("day").isin(1, 7), 1)
     g = rows.groupBy(*key).agg(
@@ -99,8 +103,7 @@ def features(spark: SparkSession, d: str, naive: bool = False) -> DataFrame:
         w("five", 28).alias("f28"), w("five", 28, 28).alias("fprev"), w("hits", 28, 28).alias("hprev"), w("micro", 28).alias("micro28"), last("on_").alias("last_on"), last("off_").alias("last_off"),
         w("paid", 90).alias("p90"), w("failed", 90).alias("x90"), F.coalesce(F.max(F.when(within("day", "as_of", 28) & (F.col("hits") > 0) & inside_any("day", [i[1:] for i in INCIDENTS]), 1)), F.lit(0)).alias("incident_exposed_28d"),
         w("tickets", 90).alias("support_tickets_90d"), w("ide", 90).alias("ide_events_90d"), w("cli", 90).alias("cli_events_90d"), w(weekend, 28).alias("weekend28"),
-        at("paid").alias("paid_at"), at("failed").alias("failed_at"), F.max(F.when((F.col("day") > F.col("as_of")) & (F.col("day") <= F.col("renewal_date")) & (F.col("canceled") > 0), F.col("day"))).alias("canceled_at"), F.min(F.when((F.col("day") <= F.col("renewal_date")) & (F.col("scheduled") > 0), F.col("day"))).alias("scheduled_at"),
-        upto("canceled").alias("canceled_before"),
+        at("paid").alias("paid_at"), at("failed").alias("failed_at"), F.min(F.when((F.col("day") > F.col("as_of")) & (F.col("day") <= F.date_add("renewal_date", SHOWS)) & (F.col("canceled") > 0), F.col("day"))).alias("canceled_at"), F.min(F.when((F.col("day") <= F.col("renewal_date")) & (F.col("scheduled") > 0), F.col("day"))).alias("scheduled_at"),
     )
     cuts = sum(((F.lit(c[1]).cast("date") <= F.col("as_of")).cast("int") for c in CHANGES), F.lit(0))
     cap = F.element_at(F.create_map(*(x for p in PLANS for x in (F.lit(p[0]), F.lit(p[2])))), F.col("plan_tier")) * F.pow(F.lit(CUT), cuts)
@@ -118,8 +121,8 @@ def features(spark: SparkSession, d: str, naive: bool = False) -> DataFrame:
         half_up(ratio(F.col("f90"), F.col("h90"))).alias("five_hour_share_90d"), half_up(clamp(F.when(previous > 0, share / previous).otherwise(1.0), 0.0, 3.0)).alias("share_change"),
         half_up(ratio(F.col("p90"), F.col("p90") + F.col("x90"))).alias("paid_rate_90d"), half_up(ratio(F.col("x90"), F.col("p90") + F.col("x90"))).alias("failed_rate_90d"), F.col("incident_exposed_28d").cast("bigint"),
         "support_tickets_90d", "ide_events_90d", "cli_events_90d", half_up(ratio(F.col("weekend28"), F.col("active_days_28d"))).alias("weekend_usage_ratio"), first_after.cast("bigint").alias("first_renewal_after_change"),
-        classify([(F.col("paid_at").isNotNull(), "renewed"), (F.col("canceled_at").isNotNull() & (F.col("scheduled_at") <= F.col("renewal_date")), "voluntary_lapse"), (F.col("failed_at").isNotNull(), "involuntary_lapse")], "pending").alias("outcome"),
-        F.coalesce("paid_at", "canceled_at", "failed_at").alias("outcome_observed_on"), "scheduled_at",
+        classify([(F.col("canceled_at").isNotNull(), "voluntary_lapse"), (F.col("paid_at").isNotNull(), "renewed"), (F.col("failed_at").isNotNull(), "involuntary_lapse")], "pending").alias("outcome"),
+        F.coalesce("canceled_at", "paid_at", "failed_at").alias("outcome_observed_on"), "scheduled_at",
     )
     today = F.lit(UNTIL).cast("date")
     route = classify([(F.col("outcome") == "renewed", "model"), ((F.col("outcome") == "voluntary_lapse") & (F.col("scheduled_at") <= F.col("as_of")), "cancel_flow"), (F.col("outcome") == "voluntary_lapse", "model"), (F.col("outcome") == "involuntary_lapse", "dunning"), (F.col("as_of") == today, "score_today")], "pending")
@@ -182,20 +185,20 @@ def _ledger_sql() -> str:
     is_ = lambda c, v: f"CAST({c} = '{v}' AS INT)"
     parts = [
         part({"hits": "1", "five": is_("limit_type", "five_hour"), "weekly": is_("limit_type", "weekly")}, "hit"), part({"micro": "micro"}, "chg"), part({"tickets": "1"}, "tick"), part({"paid": is_("status", "paid"), "failed": is_("status", "failed")}, "inv"),
-        part({"ide": "CAST(starts_with(event_type, 'ide_') AS INT)", "cli": "CAST(starts_with(event_type, 'cli_') AS INT)", "on_": is_("event_type", "overage_opened"), "off_": is_("event_type", "overage_closed"), "canceled": is_("event_type", "canceled"), "scheduled": is_("event_type", "cancel_scheduled")}, "ev"),
+        part({"ide": "CAST(starts_with(event_type, 'ide_') AS INT)", "cli": "CAST(starts_with(event_type, 'cli_') AS INT)", "on_": f"CAST(event_type IN {ON} AS INT)", "off_": f"CAST(event_type IN {OFF} AS INT)", "canceled": is_("event_type", "canceled"), "scheduled": is_("event_type", "cancel_scheduled")}, "ev"),
     ]
     return f"SELECT sid, day, {', '.join(f'CAST(coalesce(sum({m}), 0) AS BIGINT) AS {m}' for m in MEASURES)} FROM ({' UNION ALL '.join(parts)}) WHERE sid IS NOT NULL AND day IS NOT NULL GROUP BY sid, day"
 
 
 def _features_sql(naive: bool) -> str:
     known = "TRUE" if naive else "l.day <= r.as_of"
-    until = "TRUE" if naive else "l.day <= r.renewal_date"
+    until = "TRUE" if naive else f"l.day <= r.renewal_date + {SHOWS}"
 
     def w(m: str, n: int, skip: int = 0) -> str:
         return f"CAST(coalesce(sum(CASE WHEN l.day > r.as_of - {n + skip} AND l.day <= r.as_of - {skip} THEN {m} END), 0) AS BIGINT)"
 
     last = lambda m: f"max(CASE WHEN {known} AND l.{m} > 0 THEN l.day END)"
-    at = lambda m: f"max(CASE WHEN l.day = r.renewal_date AND l.{m} > 0 THEN l.day END)"
+    at = lambda m: f"min(CASE WHEN l.day >= r.renewal_date AND l.day <= r.renewal_date + {SHOWS} AND l.{m} > 0 THEN l.day END)"
     act = "CASE WHEN l.hits > 0 THEN 1 END"
     inside = " OR ".join(f"l.day BETWEEN DATE '{a}' AND DATE '{z}'" for _, a, z in INCIDENTS)
     agg = f"""SELECT r.sid, r.as_of, r.renewal_date, r.plan_tier, r.started_at, r.user_name, r.city,
@@ -204,7 +207,7 @@ def _features_sql(naive: bool) -> str:
  {w('l.micro', 28)} AS micro28, {last('on_')} AS last_on, {last('off_')} AS last_off, {w('l.paid', 90)} AS p90, {w('l.failed', 90)} AS x90,
  coalesce(max(CASE WHEN l.day > r.as_of - 28 AND l.day <= r.as_of AND l.hits > 0 AND ({inside}) THEN 1 END), 0) AS incident_exposed_28d,
  {w('l.tickets', 90)} AS support_tickets_90d, {w('l.ide', 90)} AS ide_events_90d, {w('l.cli', 90)} AS cli_events_90d, {w('CASE WHEN l.hits > 0 AND dayofweek(l.day) IN (0, 6) THEN 1 END', 28)} AS weekend28,
- {at('paid')} AS paid_at, {at('failed')} AS failed_at, max(CASE WHEN l.day > r.as_of AND l.day <= r.renewal_date AND l.canceled > 0 THEN l.day END) AS canceled_at, min(CASE WHEN l.day <= r.renewal_date AND l.scheduled > 0 THEN l.day END) AS scheduled_at
+ {at('paid')} AS paid_at, {at('failed')} AS failed_at, min(CASE WHEN l.day > r.as_of AND l.day <= r.renewal_date + {SHOWS} AND l.canceled > 0 THEN l.day END) AS canceled_at, min(CASE WHEN l.day <= r.renewal_date AND l.scheduled > 0 THEN l.day END) AS scheduled_at
  FROM spine r LEFT JOIN ledger l ON r.sid = l.sid AND {until} GROUP BY ALL"""
     cuts = " + ".join(f"CAST(DATE '{c[1]}' <= as_of AS INT)" for c in CHANGES)
     cap = "CASE plan_tier " + " ".join(f"WHEN '{p[0]}' THEN {p[2]}::DOUBLE" for p in PLANS) + f" END * pow({CUT}::DOUBLE, {cuts})"
@@ -219,8 +222,8 @@ def _features_sql(naive: bool) -> str:
  {_r4("CAST(micro28 AS DOUBLE) / 1000000.0::DOUBLE", 2)} AS overage_usd_28d, CAST(coalesce(last_off > last_on, FALSE) AS BIGINT) AS overage_toggled_off, {_r4(rat("f90", "h90"))} AS five_hour_share_90d,
  {_r4(f"least(greatest(CASE WHEN {prev} > 0 THEN ({share}) / {prev} ELSE 1.0::DOUBLE END, 0.0), 3.0)")} AS share_change, {_r4(rat("p90", "(p90 + x90)"))} AS paid_rate_90d, {_r4(rat("x90", "(p90 + x90)"))} AS failed_rate_90d,
  CAST(incident_exposed_28d AS BIGINT) AS incident_exposed_28d, support_tickets_90d, ide_events_90d, cli_events_90d, {_r4(rat("weekend28", "active_days_28d"))} AS weekend_usage_ratio, CAST({after} AS BIGINT) AS first_renewal_after_change,
- CASE WHEN paid_at IS NOT NULL THEN 'renewed' WHEN canceled_at IS NOT NULL AND scheduled_at <= renewal_date THEN 'voluntary_lapse' WHEN failed_at IS NOT NULL THEN 'involuntary_lapse' ELSE 'pending' END AS outcome,
- coalesce(paid_at, canceled_at, failed_at) AS outcome_observed_on, scheduled_at FROM ({agg}))"""
+ CASE WHEN canceled_at IS NOT NULL THEN 'voluntary_lapse' WHEN paid_at IS NOT NULL THEN 'renewed' WHEN failed_at IS NOT NULL THEN 'involuntary_lapse' ELSE 'pending' END AS outcome,
+ coalesce(canceled_at, paid_at, failed_at) AS outcome_observed_on, scheduled_at FROM ({agg}))"""
 
 
 #: CTEs that other SQL builds on: snap, spine, hit, chg, tick, inv, ev, ledger, feat, incident, change.
