@@ -10,5 +10,5 @@ def path_of(sf_dir: str, name: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of ``sf_dir``: a Parquet file or folder."""
-    return spark.read.parquet(path_of(sf_dir, name))
+    """A table of ``sf_dir``: a Parquet file or folder. Its name stays in the plan, for lineage."""
+    return spark.read.parquet(path_of(sf_dir, name)).alias(name)
