@@ -250,6 +250,24 @@ def similar_edges(spark, d):
     return similar(spark, d).where("src % 100 = 0").select("src", "dst", "d2_q", F.col("rank").cast("bigint").alias("rank"), "mutual")
 
 
+def similar_cut_row(spark, d):
+    """The candidate just beyond the k-th: whether the cut fell between equal distances."""
+    z = scaled(spark, d)
+    more = nearest(z.where("no % 100 = 0"), z.where("route = 'model'"), "plan_tier", "no", "v", len(R.FEATURES), K + 1)
+    last = more.groupBy("src").agg(F.max(F.when(F.col("rank") == K, F.col("d2_q"))).alias("kth"), F.max(F.when(F.col("rank") == K + 1, F.col("d2_q"))).alias("beyond"), F.least(F.lit(K), F.count(F.lit(1))).cast("bigint").alias("k_eff"))
+    return last.withColumn("tied", F.coalesce(F.col("kth") == F.col("beyond"), F.lit(False)))
+
+
+def similar_first_known(spark, d):
+    """Each source's first three neighbours, by rank, whose outcome was known at its cut-off (a running count)."""
+    from pyspark.sql import Window
+
+    e = similar(spark, d).where("src % 100 = 0").join(_by_no(spark, d, "a"), F.col("src") == F.col("a_no")).join(_by_no(spark, d, "b"), F.col("dst") == F.col("b_no"))
+    w = Window.partitionBy("src").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # at most k rows
+    seen = e.withColumn("known", F.coalesce(F.col("b_outcome_observed_on") <= F.col("a_as_of"), F.lit(False))).withColumn("nth", F.sum(F.col("known").cast("bigint")).over(w))
+    return seen.where("known and nth <= 3").select("src", "nth", "dst", F.col("rank").cast("bigint").alias("rank"))
+
+
 def similar_out_degree(spark, d):
     z = scaled(spark, d).where("no % 100 = 0").select("no")
     return degree_histogram(z, "no", similar(spark, d).where("src % 100 = 0").select("src"), "src")
@@ -439,7 +457,7 @@ e AS MATERIALIZED (SELECT 'HIT_LIMIT' AS rel, sid, node_id, day, NULL AS state,
 """
 
 
-def _knn_sql() -> str:
+def _knn_sql(k: int) -> str:
     fs = R.FEATURES
     tidy = lambda x: f"floor(({x}) * 1e9 + 0.5) / 1e9"
     scaler = ", ".join(f"{tidy(f'avg({c}::DOUBLE)')} AS m{i}, {tidy(f'stddev_pop({c}::DOUBLE)')} AS s{i}" for i, c in enumerate(fs))
@@ -447,7 +465,7 @@ def _knn_sql() -> str:
     d2 = "0.0::DOUBLE"
     for i in range(len(fs)):
         d2 = f"({d2} + (a.z{i} - b.z{i}) * (a.z{i} - b.z{i}))"
-    knn = lambda q: f"SELECT a.no AS src, b.no AS dst, {d2} AS d2, CAST(floor({d2} * 1e9 + 0.5) AS BIGINT) AS d2_q FROM ({q}) a JOIN (SELECT * FROM z WHERE route = 'model') b ON a.plan_tier = b.plan_tier AND a.no <> b.no QUALIFY row_number() OVER (PARTITION BY a.no ORDER BY d2_q, b.no) <= {K}"
+    knn = lambda q: f"SELECT a.no AS src, b.no AS dst, {d2} AS d2, CAST(floor({d2} * 1e9 + 0.5) AS BIGINT) AS d2_q FROM ({q}) a JOIN (SELECT * FROM z WHERE route = 'model') b ON a.plan_tier = b.plan_tier AND a.no <> b.no QUALIFY row_number() OVER (PARTITION BY a.no ORDER BY d2_q, b.no) <= {k}"
     return f"""{GRAPH}, sc AS (SELECT {scaler} FROM g WHERE route = 'model'), z AS MATERIALIZED (SELECT g.*, {z} FROM g, sc),
 k1 AS MATERIALIZED ({knn('SELECT * FROM z WHERE no % 100 = 0')}), k2 AS MATERIALIZED ({knn('SELECT * FROM z WHERE no % 100 <> 0 AND no IN (SELECT dst FROM k1)')}),
 ka AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2),
@@ -455,7 +473,7 @@ sim AS MATERIALIZED (SELECT k.*, row_number() OVER (PARTITION BY k.src ORDER BY
 """
 
 
-KNN = _knn_sql()
+KNN = _knn_sql(K)
 _L = "LEFT JOIN e ON e.sid = g.sid AND rel ="
 _I = "CAST(coalesce(sum(CASE WHEN {0} THEN 1 END), 0) AS BIGINT)".format
 _SCHEDULED = "day <= as_of AND type = 'cancel_scheduled'"
@@ -498,6 +516,8 @@ ORACLE = {
     "graph_evidence_hidden": f"{GRAPH} SELECT renewal_id, count(day) AS hidden FROM g LEFT JOIN e ON e.sid = g.sid AND day > as_of WHERE no % 100 = 0 GROUP BY renewal_id",
     "graph_header": f"{GRAPH} SELECT renewal_id, sid, plan_tier, strftime(as_of, '%Y-%m-%d') AS as_of, strftime(renewal_date, '%Y-%m-%d') AS renewal_date, route, city FROM g WHERE no % 100 = 0",
     "similar_edges": f"{KNN} SELECT src, dst, d2_q, rank, mutual FROM s1",
+    "similar_cut_row": f"{_knn_sql(K + 1)} SELECT src, max(d2_q) FILTER (rank = {K}) AS kth, max(d2_q) FILTER (rank = {K + 1}) AS beyond, least({K}, count(*)) AS k_eff, coalesce(max(d2_q) FILTER (rank = {K}) = max(d2_q) FILTER (rank = {K + 1}), FALSE) AS tied FROM s1 GROUP BY src",
+    "similar_first_known": f"{KNN} SELECT src, nth, dst, rank FROM (SELECT src, dst, rank, coalesce(b.outcome_observed_on <= a.as_of, FALSE) AS known, CAST(sum(CAST(coalesce(b.outcome_observed_on <= a.as_of, FALSE) AS INT)) OVER (PARTITION BY src ORDER BY rank) AS BIGINT) AS nth FROM s1 JOIN z a ON a.no = src JOIN z b ON b.no = dst) WHERE known AND nth <= 3",
     "similar_out_degree": f"{KNN} SELECT n AS degree, count(*) AS nodes FROM (SELECT no, count(dst) AS n FROM z LEFT JOIN s1 ON src = no WHERE no % 100 = 0 GROUP BY no) GROUP BY n",
     "similar_checks": f"{KNN} SELECT count(*) AS edges, CAST(sum(CAST(a.plan_tier <> b.plan_tier AS INT)) AS BIGINT) AS cross_plan, CAST(sum(CAST(b.route <> 'model' AS INT)) AS BIGINT) AS dst_not_model, CAST(sum(CAST(src = dst AS INT)) AS BIGINT) AS self_loops, CAST(sum(CAST(mutual AS INT)) AS BIGINT) AS mutual_flagged, count(DISTINCT dst) AS distinct_dst FROM s1 JOIN z a ON a.no = src JOIN z b ON b.no = dst",
     "similar_mutual": f"{KNN} SELECT count(*) AS mutual_edges FROM s1 a JOIN sim b ON a.src = b.dst AND a.dst = b.src",

@@ -157,7 +157,19 @@ def status_changes(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("before is not null and status is not null and before <> status").groupBy("before", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (silver_orders, gold_daily, orders_by_city, time_travel, snapshot_log, merged_orders, dml, csv_round_trip, gold_parity, snapshot_contract, duplicate_lines, latest_lines, same_content, numbered_hits, status_changes)}
+def key_sets(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by what they have: orders and a record, only one of both."""
+    ordered = silver(table(spark, d, "orders_day2")).select("customer_id").where("customer_id is not null").distinct()
+    known = customers_latest(spark, d).select("customer_id")
+    parts = {"both": ordered.intersect(known), "only_ordered": ordered.subtract(known), "only_known": known.subtract(ordered)}
+    out = None
+    for name, part in parts.items():
+        one = part.agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+QUERIES = {f.__name__: f for f in (key_sets, silver_orders, gold_daily, orders_by_city, time_travel, snapshot_log, merged_orders, dml, csv_round_trip, gold_parity, snapshot_contract, duplicate_lines, latest_lines, same_content, numbered_hits, status_changes)}
 
 _K = "nullif(lower(trim({0})), '')".format
 _W = "translate(nullif(lower(trim({0})), ''), ' -', '__')".format
@@ -197,6 +209,7 @@ _CHECKS = {
 }
 _CLEAN = f"SELECT {_W('plan_tier')} AS plan_tier, {_K('status')} AS status, snapshot_date, current_period_end, started_at, trim(city) AS city FROM subscription_snapshots"
 ORACLE = {
+    "key_sets": f"WITH o AS (SELECT DISTINCT customer_id FROM ({_silver()}) WHERE customer_id IS NOT NULL), k AS (SELECT customer_id FROM ({_CUST})) SELECT 'both' AS part, count(*) AS n FROM (FROM o INTERSECT FROM k) UNION ALL SELECT 'only_ordered', count(*) FROM (FROM o EXCEPT FROM k) UNION ALL SELECT 'only_known', count(*) FROM (FROM k EXCEPT FROM o)",
     "silver_orders": f"SELECT order_id, customer_id, status, amount, delivery_no FROM ({_silver()})",
     "gold_daily": _daily(_silver()),
     "orders_by_city": f"SELECT lower(c.city) AS city, o.status, count(*) AS orders, count(DISTINCT o.customer_id) AS customers FROM ({_silver()}) o JOIN ({_CUST}) c ON o.customer_id = c.customer_id GROUP BY 1, 2",
