@@ -28,20 +28,33 @@ def build_session(app: str = "lodestrata", master: str | None = None, shuffle_pa
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` as the cluster names it.
 
-    Only where neither that setting nor a checkpoint directory is set (tests, one machine) a local
-    folder is made and set for the session.
+    Only on one machine, and only where neither that setting nor a checkpoint directory is set (as in tests),
+    a local folder is made and set for the session. On a cluster a missing setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
         spark.sparkContext.setCheckpointDir(named)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A path of its own below the shared folder."""
-    return f"{shared_dir(spark)}/lodestrata/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what this application wrote to the shared folder; results not yet read from it become unreadable."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
