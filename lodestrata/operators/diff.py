@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.placing import together
+
 #: Ordinals under one container of a bitmap; a sparse container keeps its members, a dense one its bits.
 CONTAINER, SPARSE = 65_536, 4_096
 
@@ -146,7 +148,7 @@ def differences(left: DataFrame, right: DataFrame, keys: dict[str, Column], fiel
 
     both = side(left, 0).unionByName(side(right, 1))
     kinds = dict(both.dtypes)
-    placed = both.repartition(*keys).sortWithinPartitions(*keys, "__side")
+    placed = together(both, *keys).sortWithinPartitions(*keys, "__side")
     arrow = {"string": pa.string(), "date": pa.date32(), "bigint": pa.int64(), "int": pa.int32()}
     out = pa.schema([*((k, arrow[kinds[k]]) for k in keys), ("diff", pa.string())])
     ddl = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", diff string"

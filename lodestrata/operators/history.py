@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.placing import together
+
 #: Leaf buckets of one partition's tree, and how many children a node has: leaves, branches, root.
 LEAVES, FANOUT = 4096, 64
 
@@ -151,12 +153,8 @@ def attribute_history(snapshots: DataFrame, key: Column, day: Column, attributes
         .agg(F.max("__row").alias("__row"))
         .select("__key", "__day", *(F.col(f"__row.`{n}`").alias(n) for n in names))
     )
-    placed = (
-        latest.withColumn("__leaf", F.pmod(F.xxhash64(F.lit("leaf"), "__key"), F.lit(LEAVES)).cast("int"))
-        .withColumn("__hash", F.xxhash64("__key", *names))
-        .repartition("__key")
-        .sortWithinPartitions("__day")
-    )
+    marked = latest.withColumn("__leaf", F.pmod(F.xxhash64(F.lit("leaf"), "__key"), F.lit(LEAVES)).cast("int")).withColumn("__hash", F.xxhash64("__key", *names))
+    placed = together(marked, "__key").sortWithinPartitions("__day")
     text = pa.string()
     out = pa.schema([(key_name, text), *((n, text) for n in names), ("valid_from", pa.date32()), ("valid_to", pa.date32()), ("last_seen", pa.date32())])
     ddl = ", ".join(f"`{n}` string" for n in (key_name, *names)) + ", valid_from date, valid_to date, last_seen date"

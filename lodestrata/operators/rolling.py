@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.placing import together
+
 #: Monoids by name: the combining ufunc, the identity for int64 and for double, the Spark aggregate of one day.
 MONOIDS = {
     "sum": (np.add, 0, 0.0, F.sum),
@@ -134,5 +136,5 @@ def rolling_totals(activity: DataFrame, entity: str, day: str, measures: dict[st
     entity_type = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kinds[entity]]
     out = pa.schema([(entity, entity_type), (day, pa.string() if text_days else pa.date32()), *((f"{m}_{w}d", arrow[kind[m]]) for m in measures for w in windows)])
     pairs, spans = list(measures.items()), list(windows)
-    placed = daily.repartition("__e").sortWithinPartitions("__e", "__d")
+    placed = together(daily, "__e").sortWithinPartitions("__e", "__d")
     return placed.mapInArrow(lambda batches: _roll(batches, pairs, spans, text_days, out), ddl)

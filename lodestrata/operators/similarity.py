@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.placing import together
+
 #: Queries and candidates of one task: bounds its memory, not the result.
 QUERY_BLOCK, CANDIDATE_BLOCK = 2_000, 50_000
 
@@ -121,7 +123,7 @@ def nearest(queries: DataFrame, candidates: DataFrame, block: str, id_: str, vec
     spread_c = c.join(plan, "block").withColumn("cp", place("c", "cn")).withColumn("qp", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
     cells = spread_q.unionByName(spread_c).withColumn("cell", F.concat_ws("/", "block", "qp", "cp")).select("cell", "side", "id", "v")
     out = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("d2", pa.float64())])
-    found = cells.repartition("cell").sortWithinPartitions("cell", "side").mapInArrow(lambda b: _search(b, dims, k, out), "src bigint, dst bigint, d2 double")
+    found = together(cells, "cell").sortWithinPartitions("cell", "side").mapInArrow(lambda b: _search(b, dims, k, out), "src bigint, dst bigint, d2 double")
     ranked = found.withColumn("d2_q", F.floor(F.col("d2") * 1e9 + 0.5)).withColumn("rank", F.row_number().over(Window.partitionBy("src").orderBy("d2_q", "dst")))
     return ranked.where(F.col("rank") <= k)
 

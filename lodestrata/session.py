@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,3 +75,17 @@ def files_below(spark: SparkSession, path: str) -> int | None:
     if not fs.getFileStatus(p).isDirectory():
         return None
     return sum(not s.getPath().getName().startswith(("_", ".")) for s in fs.listStatus(p))
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package's own code to the Python workers, once a session, wherever the driver was started."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestrata_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="lodestrata-code-")) / "lodestrata.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(target))
+    context._lodestrata_shipped = True

@@ -94,3 +94,17 @@ def test_differences_over_many_containers(spark):
     right = left.where("k % 1000 <> 7").withColumn("v", F.when(F.expr("k % 1000 = 8"), F.col("v") + 1).otherwise(F.col("v")))
     got = differences(left.repartition(5), right.repartition(3), {"k": F.col("k"), "d": F.col("d")}, {"v": 0.005, "s": None})
     assert {(r.diff, r["count"]) for r in got.groupBy("diff").count().collect()} == {("only_in_left", 400), ("v", 400)}
+
+
+def test_rows_of_a_key_are_placed_together_whatever_the_planner_knows(spark):
+    """The exchange before a Python operator must stay, even over sides that are partitioned alike but sized unlike."""
+    a = spark.range(300_000).select((F.col("id") % 90_000).cast("string").alias("k"), F.lit("1").alias("d"), F.lit(1.0).alias("v"))
+    b = spark.range(90_000).select(F.col("id").cast("string").alias("k"), F.lit("1").alias("d"), F.lit(1.0).alias("v"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        left = a.withColumn("wide", F.lit("x"))
+        got = differences(left, b, {"k": F.col("k"), "d": F.col("d")}, {"v": 0.005, "wide": None})
+        assert "REPARTITION_BY_COL" in got._jdf.queryExecution().executedPlan().toString()
+        assert [(r.diff, r["count"]) for r in got.groupBy("diff").count().collect()] == [("wide", 90_000)]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
