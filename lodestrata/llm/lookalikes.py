@@ -50,13 +50,15 @@ SCRIPT_OF = {k: s for s, letters in LOOKALIKES.items() for k in letters}
 FROM_LATIN = {s: {ord(v): k for k, v in letters.items()} for s, letters in LOOKALIKES.items()}
 LATIN_SHARED = {v for letters in LOOKALIKES.values() for v in letters.values()}
 _MARKS = "\u0300-\u036f\u0483-\u0487"
-FOREIGN = re.compile(f"[{''.join(SCRIPT_OF)}]")
+#: Letters of the scripts above: a token with one of them is judged, look-alikes or not, as its Latin letters may be.
+_BLOCKS = "\u0370-\u03ff\u0400-\u0482\u048a-\u052f\u0531-\u0587\u1f00-\u1fff"
+FOREIGN = re.compile(f"[{_BLOCKS}]")
 #: The rest of a run of letters with their marks.
 RUN = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
 _IN_RUN = re.compile(rf"[^\W\d_]|[{_MARKS}]")
-#: What a text in its one form cannot hold; one in composed form without any of these is left as it is.
+#: A text in composed form without any of these is in its one form already.
 _LOW = "".join(re.escape(chr(c)) for c in FOLDS if c < 0x10000)
-UNEVEN = re.compile(f"[{_LOW}{''.join(SCRIPT_OF)}\U000e0000-\U000e0fff]")
+UNEVEN = re.compile(f"[{_LOW}{_BLOCKS}\U000e0000-\U000e0fff]")
 
 
 def script(ch: str) -> str:
@@ -99,9 +101,12 @@ def judge(token: str) -> tuple[str, str, bool]:
 
 
 def foreign_runs(folded: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each run of letters that holds a foreign look-alike; linear in the text."""
+    """Start and end of each run of letters that holds a letter of another script; linear in the text."""
     done = 0
     while m := FOREIGN.search(folded, done):
+        if not folded[m.start()].isalpha():  # signs of those blocks
+            done = m.end()
+            continue
         start = m.start()
         while start > done and _IN_RUN.match(folded[start - 1]):
             start -= 1
@@ -125,7 +130,7 @@ def dissect(text: str) -> tuple[list[str], list[tuple[str, str]], list[str]]:
         done = end
         if certain:
             here.append(repaired)
-            if repaired == token:  # written in one script other than Latin: a word repairs can aim at
+            if repaired == token and any(c in SCRIPT_OF for c in token):  # written in one script other than Latin: a word repairs can aim at
                 words.add(compose(token))
         else:
             segments.append(compose("".join(here)))
