@@ -37,6 +37,19 @@ def z_scores(scaler: DataFrame, features: Sequence[str]) -> list[Column]:
     return out
 
 
+def _best(d: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k entries of each row that are least by (quantised distance, id). Only entries up to the k-th distance
+    are sorted; equal ones beyond it are settled by id."""
+    q = np.floor(d * 1e9 + 0.5)
+    limit = np.partition(q, k - 1, axis=1)[:, k - 1 : k]
+    row, col = np.nonzero(q <= limit)
+    order = np.lexsort((j[row, col], q[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    row, col = row[place < k].reshape(-1, k), col[place < k].reshape(-1, k)
+    return d[row, col], j[row, col]
+
+
 def _search(batches: Iterator[pa.RecordBatch], dims: int, k: int, out: pa.Schema) -> Iterator[pa.RecordBatch]:
     """Rows sorted by cell, queries before candidates; k best candidates of each query and cell."""
     cell, queries, ids, best = None, None, None, None
@@ -87,11 +100,7 @@ def _search(batches: Iterator[pa.RecordBatch], dims: int, k: int, out: pa.Schema
                     gap = queries[:, x, None] - some[None, :, x]
                     d2 += gap * gap
                 d2[ids[:, None] == names[None, :]] = np.inf
-                d = np.concatenate((best[0], d2), axis=1)
-                j = np.concatenate((best[1], np.broadcast_to(names, d2.shape)), axis=1)
-                with np.errstate(invalid="ignore"):
-                    order = np.lexsort((j, np.floor(d * 1e9 + 0.5)), axis=1)[:, :k]
-                best = (np.take_along_axis(d, order, 1), np.take_along_axis(j, order, 1))
+                best = _best(np.concatenate((best[0], d2), axis=1), np.concatenate((best[1], np.broadcast_to(names, d2.shape)), axis=1), k)
     yield from flush()
 
 

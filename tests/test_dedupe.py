@@ -50,6 +50,21 @@ def test_later_call_reads_only_new_files(spark, tmp_path):
     assert go() == [1, 3]
 
 
+def test_random_deliveries_over_many_batches(spark, tmp_path):
+    import random
+
+    rng = random.Random(11)
+    data = [row(i, rng.choice([None, " "] + [f"k{rng.randrange(150)}"] * 30), rng.choice([None] + [i // 10 + rng.randrange(-20, 5)] * 20), late=rng.randrange(3)) for i in range(900)]
+    rank = lambda r: tuple((x is not None, x) for x in (r[2], r[3])) + (r[0],)
+    by = {}
+    for r in data:
+        if r[1] and r[1].strip():
+            by.setdefault(r[1], []).append(r)
+    want = sorted(r[0] for g in by.values() for r in g if r is not max(g, key=rank))
+    path = write(spark, tmp_path / "t", [data[i : i + 150] for i in range(0, 900, 150)])
+    assert surplus(spark, path, expire_after="5 days", batches=6) == want
+
+
 def test_hot_identifier(spark, tmp_path):
     data = [row(i, "hot" if i % 3 == 0 else f"k{i}", i % 20) for i in range(3000)]
     kept = max((r for r in data if r[1] == "hot"), key=lambda r: (r[2], r[3], r[0]))[0]
