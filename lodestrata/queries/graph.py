@@ -40,7 +40,13 @@ def _once(spark: SparkSession, d: str, name: str, make) -> DataFrame:
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, d, "gold", lambda: R.features(spark, d).withColumn("no", _id()))
+    """The graph's renewals: one per subscription, as event edges start at the subscription."""
+    return _once(spark, d, "gold", lambda: R.features(spark, d, last=True).withColumn("no", _id()))
+
+
+def renewals(spark: SparkSession, d: str) -> DataFrame:
+    """Every renewal with its features, for what counts renewals and follows no edge."""
+    return _once(spark, d, "renewals", lambda: R.features(spark, d))
 
 
 def _numbered(rows: DataFrame, prefix: str, number: str) -> DataFrame:

@@ -23,7 +23,7 @@ SEARCHES = ("inc-002", "weekly caps", "incident 2025", "sub_00000100", "weekli",
 
 
 def _banded(spark: SparkSession, d: str) -> DataFrame:
-    return G.gold(spark, d).withColumn("band", banded(F.col("limit_hits_14d"), BANDS)).withColumn("exposed", F.col("incident_exposed_28d").cast("string"))
+    return G.renewals(spark, d).withColumn("band", banded(F.col("limit_hits_14d"), BANDS)).withColumn("exposed", F.col("incident_exposed_28d").cast("string"))
 
 
 def lapse_rate(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def lapse_rate(spark: SparkSession, d: str) -> DataFrame:
 
 def route_counts(spark: SparkSession, d: str) -> DataFrame:
     """Six fixed (route, outcome) rows per plan."""
-    g = G.gold(spark, d).withColumn("pair", F.concat_ws("/", "route", "outcome"))
+    g = G.renewals(spark, d).withColumn("pair", F.concat_ws("/", "route", "outcome"))
     grid = dense(g, {"plan_tier": PLAN_NAMES, "pair": ["/".join(r) for r in ROUTES]}, {"n": F.count(F.lit(1))})
     return grid.select("plan_tier", F.split("pair", "/")[0].alias("route"), F.split("pair", "/")[1].alias("outcome"), "n")
 
@@ -46,7 +46,7 @@ def lapse_cube(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _cells(spark: SparkSession, d: str) -> dict:
-    rows = dense(G.gold(spark, d), {"plan_tier": PLAN_NAMES, "route": sorted({r for r, _ in ROUTES})}, {"n": F.count(F.lit(1))}).collect()  # plans x routes
+    rows = dense(G.renewals(spark, d), {"plan_tier": PLAN_NAMES, "route": sorted({r for r, _ in ROUTES})}, {"n": F.count(F.lit(1))}).collect()  # plans x routes
     return {(r.plan_tier, r.route): r.n for r in rows}
 
 
@@ -68,7 +68,7 @@ def protected_cells(spark: SparkSession, d: str) -> DataFrame:
 def feature_cards(spark: SparkSession, d: str) -> DataFrame:
     """Range and fill of each feature beside its declared window."""
     windows = {f: int(f.rsplit("_", 1)[1][:-1]) if f.rsplit("_", 1)[-1][:-1].isdigit() else 0 for f in R.FEATURES}
-    g = G.gold(spark, d)
+    g = G.renewals(spark, d)
     stats = g.agg(*(x for f in R.FEATURES for x in (F.min(F.col(f).cast("double")).alias(f"lo_{f}"), F.max(F.col(f).cast("double")).alias(f"hi_{f}"), F.sum((F.col(f) != 0).cast("bigint")).alias(f"nz_{f}"))))
     return stats.select(F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(windows[f]).cast("bigint").alias("window_days"), F.col(f"lo_{f}").alias("low"), F.col(f"hi_{f}").alias("high"), F.col(f"nz_{f}").alias("nonzero")) for f in R.FEATURES))))
 
@@ -115,7 +115,7 @@ def leakage(spark: SparkSession, d: str) -> DataFrame:
 
 def overage_auc(spark: SparkSession, d: str) -> DataFrame:
     """AUC of single features for the outcome, ties with average ranks."""
-    g = G.gold(spark, d).where("route in ('model', 'dunning')")
+    g = G.renewals(spark, d).where("route in ('model', 'dunning')")
     pairs = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("score")) for c in R.FEATURES))
     return auc(g.select(F.inline(pairs), (F.col("outcome") != "renewed").cast("bigint").alias("label")), "score", "label", ["feature"])
 

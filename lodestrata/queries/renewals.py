@@ -14,7 +14,7 @@ from lodestrata.operators.temporal import bounded_join, clamp, classify, half_up
 from lodestrata.sources.files import inline
 from lodestrata.sources.tables import table
 
-#: The spine takes each subscription's last renewal with as_of up to this day; events go on after it.
+#: The graph takes each subscription's last renewal with as_of up to this day; events go on after it.
 UNTIL = "2026-01-31"
 INCIDENTS = (("inc-001", "2025-03-10", "2025-03-16"), ("inc-002", "2025-09-01", "2025-09-12"), ("inc-003", "2026-01-05", "2026-01-14"))
 CHANGES = (("cap-2025-08", "2025-08-20", "weekly caps cut"), ("cap-2026-01", "2026-01-25", "caps cut again"))
@@ -41,9 +41,19 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def spine(spark: SparkSession, d: str) -> DataFrame:
-    """One renewal per subscription: its last seven-days-before row up to UNTIL."""
-    rows = snapshots(spark, d).where((F.col("day") == F.date_sub("period_end", 7)) & (F.col("day") <= F.lit(UNTIL).cast("date")) & F.col("plan_tier").isNotNull())
-    return latest(rows, ["sid"], ["day"]).select("sid", F.col("day").alias("as_of"), F.col("period_end").alias("renewal_date"), "plan_tier", "status", "started_at", "user_name", "city")
+    """Every renewal: each seven-days-before row of each subscription, keyed by (sid, as_of)."""
+    rows = snapshots(spark, d).where((F.col("day") == F.date_sub("period_end", 7)) & F.col("plan_tier").isNotNull())
+    return rows.select("sid", F.col("day").alias("as_of"), F.col("period_end").alias("renewal_date"), "plan_tier", "status", "started_at", "user_name", "city")
+
+
+def last_renewals(spark: SparkSession, d: str) -> DataFrame:
+    """Each subscription's last renewal with as_of up to UNTIL: the spine of the graph, whose edges are keyed by sid."""
+    return latest(spine(spark, d).where(F.col("as_of") <= F.lit(UNTIL).cast("date")), ["sid"], ["as_of"])
+
+
+def today(spark: SparkSession, d: str) -> DataFrame:
+    """(today): the last snapshot day, one row."""
+    return table(spark, d, "subscription_snapshots").where(clean_key("subscription_id").isNotNull()).agg(F.max("snapshot_date").alias("today"))
 
 
 def hits(spark: SparkSession, d: str) -> DataFrame:
@@ -84,13 +94,15 @@ def ledger(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(part(events(spark, d), **marks)).groupBy("sid", "day").agg(*(F.sum(m).alias(m) for m in MEASURES))
 
 
-def features(spark: SparkSession, d: str, naive: bool = False) -> DataFrame:
-    """Spine rows with features, outcome and route. naive drops the upper bound (to show that a leak is found)."""
+def features(spark: SparkSession, d: str, naive: bool = False, last: bool = False) -> DataFrame:
+    """Spine rows with features, outcome and route, one row per (sid, as_of). naive drops the upper bound (to show
+    that a leak is found); last takes the graph's renewals, for which UNTIL is today."""
     until = F.date_add("renewal_date", SHOWS) if not naive else F.lit("9999-12-31").cast("date")
-    rows = bounded_join(spine(spark, d), ledger(spark, d), "sid", "day", until)
+    renewals = last_renewals(spark, d) if last else spine(spark, d)
+    rows = bounded_join(renewals, ledger(spark, d), "sid", "day", until)
     known = F.col("day") <= F.col("as_of") if not naive else F.lit(True)
     active = F.when(F.col("hits") > 0, 1)
-    last = lambda m: F.max(F.when(known & (F.col(m) > 0), F.col("day")))
+    newest = lambda m: F.max(F.when(known & (F.col(m) > 0), F.col("day")))
     w = lambda m, n, skip=0: windowed(m, "day", "as_of", n, skip).cast("bigint")
     shows = (F.col("day") >= F.col("renewal_date")) & (F.col("day") <= F.date_add("renewal_date", SHOWS))
     at = lambda m: F.min(F.when(shows & (F.col(m) > 0), F.col("day")))
@@ -98,9 +110,9 @@ def features(spark: SparkSession, d: str, naive: bool = False) -> DataFrame:
     weekend = F.when((F.col("hits") > 0) & F.dayofweek("day").isin(1, 7), 1)
     g = rows.groupBy(*key).agg(
         F.coalesce(F.sum(F.when(F.col("day") < F.col("renewal_date"), F.col("paid"))), F.lit(0)).alias("renewals_completed"),
-        w(active, 7).alias("active_days_7d"), w(active, 28).alias("active_days_28d"), last("hits").alias("last_active"),
+        w(active, 7).alias("active_days_7d"), w(active, 28).alias("active_days_28d"), newest("hits").alias("last_active"),
         w("hits", 28).alias("h28"), w("hits", 14).alias("limit_hits_14d"), w("weekly", 28).alias("w28"), w("five", 90).alias("f90"), w("hits", 90).alias("h90"),
-        w("five", 28).alias("f28"), w("five", 28, 28).alias("fprev"), w("hits", 28, 28).alias("hprev"), w("micro", 28).alias("micro28"), last("on_").alias("last_on"), last("off_").alias("last_off"),
+        w("five", 28).alias("f28"), w("five", 28, 28).alias("fprev"), w("hits", 28, 28).alias("hprev"), w("micro", 28).alias("micro28"), newest("on_").alias("last_on"), newest("off_").alias("last_off"),
         w("paid", 90).alias("p90"), w("failed", 90).alias("x90"), F.coalesce(F.max(F.when(within("day", "as_of", 28) & (F.col("hits") > 0) & inside_any("day", [i[1:] for i in INCIDENTS]), 1)), F.lit(0)).alias("incident_exposed_28d"),
         w("tickets", 90).alias("support_tickets_90d"), w("ide", 90).alias("ide_events_90d"), w("cli", 90).alias("cli_events_90d"), w(weekend, 28).alias("weekend28"),
         at("paid").alias("paid_at"), at("failed").alias("failed_at"), F.min(F.when((F.col("day") > F.col("as_of")) & (F.col("day") <= F.date_add("renewal_date", SHOWS)) & (F.col("canceled") > 0), F.col("day"))).alias("canceled_at"), F.min(F.when((F.col("day") <= F.col("renewal_date")) & (F.col("scheduled") > 0), F.col("day"))).alias("scheduled_at"),
@@ -124,9 +136,9 @@ def features(spark: SparkSession, d: str, naive: bool = False) -> DataFrame:
         classify([(F.col("canceled_at").isNotNull(), "voluntary_lapse"), (F.col("paid_at").isNotNull(), "renewed"), (F.col("failed_at").isNotNull(), "involuntary_lapse")], "pending").alias("outcome"),
         F.coalesce("canceled_at", "paid_at", "failed_at").alias("outcome_observed_on"), "scheduled_at",
     )
-    today = F.lit(UNTIL).cast("date")
-    route = classify([(F.col("outcome") == "renewed", "model"), ((F.col("outcome") == "voluntary_lapse") & (F.col("scheduled_at") <= F.col("as_of")), "cancel_flow"), (F.col("outcome") == "voluntary_lapse", "model"), (F.col("outcome") == "involuntary_lapse", "dunning"), (F.col("as_of") == today, "score_today")], "pending")
-    return wide.withColumn("route", route).withColumn("churned", (F.col("outcome") == "voluntary_lapse").cast("bigint"))
+    wide = wide.withColumn("today", F.lit(UNTIL).cast("date")) if last else wide.crossJoin(F.broadcast(today(spark, d)))  # one row
+    route = classify([(F.col("outcome") == "renewed", "model"), ((F.col("outcome") == "voluntary_lapse") & (F.col("scheduled_at") <= F.col("as_of")), "cancel_flow"), (F.col("outcome") == "voluntary_lapse", "model"), (F.col("outcome") == "involuntary_lapse", "dunning"), (F.col("as_of") == F.col("today"), "score_today")], "pending")
+    return wide.withColumn("route", route).withColumn("churned", (F.col("outcome") == "voluntary_lapse").cast("bigint")).drop("today")
 
 
 SHOWN = ("renewal_id", "as_of", "renewal_date", "plan_tier", *FEATURES, "outcome", "route", "churned")
