@@ -1,6 +1,6 @@
 """The renewal graph as node and edge tables, and its pattern queries as joins, with the SQL of each.
 
-Where a question asks about one renewal, these queries answer it for every renewal of a stated set (id
+Where a question asks about one renewal's neighbours, these queries answer it for every renewal of a stated set (id
 divisible by 100), which is the batch form of the same plan.
 """
 
@@ -226,7 +226,7 @@ def graph_first_after_unknown(spark, d):
 
 
 def _evidence(spark, d) -> DataFrame:
-    r = gold(spark, d).where("no % 100 = 0").select("sid", "renewal_id", F.col("as_of").alias("cut"), F.col("plan_tier").alias("plan"))
+    r = gold(spark, d).select("sid", "renewal_id", F.col("as_of").alias("cut"), F.col("plan_tier").alias("plan"))
     e = edge_table(spark, d).where(F.col("rel_type").isin(*EVENT_EDGES, "EXPOSED_TO"))
     one = e.join(r, e["src"] == r["sid"]).where((F.col("event_date") <= F.col("cut")) & ~F.coalesce("outcome_evidence", F.lit(False))).select("renewal_id", "event_date", F.col("rel_type").alias("relation"), F.col("dst").alias("target_id"), F.lit(False).alias("declared_exception"))
     two = rel(spark, d, "FIRST_RENEWAL_AFTER").join(r, F.col("src") == r["renewal_id"]).select("renewal_id", "event_date", F.lit("FIRST_RENEWAL_AFTER").alias("relation"), F.col("dst").alias("target_id"), (~F.col("known_by_as_of")).alias("declared_exception"))
@@ -241,14 +241,13 @@ def graph_evidence(spark, d):
 
 
 def graph_evidence_hidden(spark, d):
-    r = gold(spark, d).where("no % 100 = 0").select("sid", "renewal_id", F.col("as_of").alias("cut"))
+    r = gold(spark, d).select("sid", "renewal_id", F.col("as_of").alias("cut"))
     e = edge_table(spark, d).where(F.col("rel_type").isin(*EVENT_EDGES, "EXPOSED_TO")).select("src", "event_date")
     return r.join(e, (r["sid"] == e["src"]) & (e["event_date"] > r["cut"]), "left").groupBy("renewal_id").agg(F.count("event_date").alias("hidden"))
 
 
 def graph_header(spark, d):
-    g = gold(spark, d).where("no % 100 = 0")
-    return g.select("renewal_id", "sid", "plan_tier", F.col("as_of").cast("string").alias("as_of"), F.col("renewal_date").cast("string").alias("renewal_date"), "route", "city")
+    return gold(spark, d).select("renewal_id", "sid", "plan_tier", F.col("as_of").cast("string").alias("as_of"), F.col("renewal_date").cast("string").alias("renewal_date"), "route", "city")
 
 
 def similar_edges(spark, d):

@@ -41,3 +41,14 @@ def test_renewal_of_each_snapshot(spark, con):
     got = entry.queries()["renewal_features"](spark, SF)
     assert (got.count(), got.select("renewal_id").distinct().count()) == (want[0], want[0])
     assert got.agg({"as_of": "max"}).first()[0] > R.UNTIL
+
+
+@pytest.mark.parametrize("name, cut", [("graph_evidence", " AND no % 100 = 0"), ("graph_evidence_hidden", " WHERE no % 100 = 0"), ("graph_header", " WHERE no % 100 = 0")])
+def test_evidence_of_every_renewal(spark, con, name, cut):
+    cuts = [(cut, "")]
+    if name == "graph_evidence":
+        cuts += [(" WHERE no % 100 = 0 AND", " WHERE"), (" WHERE no % 100 = 0", "")]
+    sql = whole(SQL[name], *cuts)
+    assert "% 100" not in sql
+    assert differs(spark, con, SF, entry.queries()[name], sql) == ""
+    assert entry.queries()[name](spark, SF).select("renewal_id").distinct().count() > con.execute(f"SELECT count(DISTINCT renewal_id) FROM ({SQL[name]})").fetchone()[0]
