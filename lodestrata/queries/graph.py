@@ -138,6 +138,18 @@ def similar(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d, "similar", make)
 
 
+def similar_all(spark: SparkSession, d: str) -> DataFrame:
+    """(src, dst, rank, d2, d2_q, dist, mutual): nearest reference renewals of every renewal of the graph, for what
+    is asked of the graph as a whole."""
+
+    def make() -> DataFrame:
+        z = scaled(spark, d)
+        every = written(nearest(z, z.where("route = 'model'"), "plan_tier", "no", "v", len(R.FEATURES), K), "every")
+        return mutual_flag(every, every).withColumn("dist", F.sqrt("d2"))
+
+    return _once(spark, d, "similar_all", make)
+
+
 def _by_no(spark: SparkSession, d: str, prefix: str) -> DataFrame:
     cols = ("no", "renewal_id", "plan_tier", "route", "outcome", "outcome_observed_on", "as_of", "churned")
     return scaled(spark, d).select(*(F.col(c).alias(f"{prefix}_{c}") for c in cols))
@@ -285,13 +297,13 @@ def similar_checks(spark, d):
 
 
 def similar_mutual(spark, d):
-    e = similar(spark, d)
+    e = similar_all(spark, d)
     back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return e.where("src % 100 = 0").join(back, ["src", "dst"]).agg(F.count(F.lit(1)).alias("mutual_edges"))
+    return e.join(back, ["src", "dst"]).agg(F.count(F.lit(1)).alias("mutual_edges"))
 
 
 def similar_max_in_degree(spark, d):
-    g = similar(spark, d).where("src % 100 = 0").groupBy(F.col("dst").alias("no")).agg(F.count(F.lit(1)).alias("in_degree"))
+    g = similar_all(spark, d).groupBy(F.col("dst").alias("no")).agg(F.count(F.lit(1)).alias("in_degree"))
     return g.orderBy(F.desc("in_degree"), "no").limit(1)
 
 
@@ -382,13 +394,13 @@ def graph_pruned_proof(spark, d):
 
 def similar_route_leak(spark, d):
     """Lapse share of reference renewals with and without an incoming edge."""
-    into = similar(spark, d).where("src % 100 = 0").select(F.col("dst").alias("no")).distinct().withColumn("i", F.lit(True))
+    into = similar_all(spark, d).select(F.col("dst").alias("no")).distinct().withColumn("i", F.lit(True))
     g = scaled(spark, d).where("route = 'model'").join(into, "no", "left").withColumn("incoming", F.coalesce("i", F.lit(False)))
     return g.groupBy("incoming").agg(F.count(F.lit(1)).alias("n"), F.sum("churned").alias("lapses"))
 
 
 def similar_components(spark, d):
-    c = components(similar(spark, d).select("src", "dst"))
+    c = components(similar_all(spark, d).select("src", "dst"))
     return c.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
 
 
@@ -399,7 +411,7 @@ def similar_within_two(spark, d):
 
 
 def _cohorts(spark, d) -> tuple[DataFrame, DataFrame]:
-    links = written(undirected(similar(spark, d), "dist"), "links")
+    links = written(undirected(similar_all(spark, d), "dist"), "links")
     return links, written(ranked_groups(propagate_labels(links)), "cohorts")
 
 
@@ -433,7 +445,7 @@ def cohort_assigned(spark, d):
 
 
 QUERIES = {
-    n: f for n, f in list(globals().items()) if n.startswith(("graph_", "similar_", "cohort_")) and callable(f)
+    n: f for n, f in list(globals().items()) if n.startswith(("graph_", "similar_", "cohort_")) and callable(f) and f is not similar_all
 }
 
 # ---- the same in SQL ------------------------------------------------------------------------------------------

@@ -95,7 +95,7 @@ def similar_summary(spark: SparkSession, d: str) -> DataFrame:
 def leakage(spark: SparkSession, d: str) -> DataFrame:
     """AUC of the neighbour lapse rate in four variants: with the row itself, as of today, only what was known, and
     of a random score."""
-    e = G.similar(spark, d).select("src", "dst")
+    e = G.similar_all(spark, d).select("src", "dst")
     z = G.scaled(spark, d).where("route = 'model'")
     labels = z.select(F.col("no").alias("dst"), F.col("churned").alias("label"), "outcome_observed_on")
     cut = z.select(F.col("no").alias("src"), F.col("as_of").alias("cut"), "churned")

@@ -52,3 +52,20 @@ def test_evidence_of_every_renewal(spark, con, name, cut):
     assert "% 100" not in sql
     assert differs(spark, con, SF, entry.queries()[name], sql) == ""
     assert entry.queries()[name](spark, SF).select("renewal_id").distinct().count() > con.execute(f"SELECT count(DISTINCT renewal_id) FROM ({SQL[name]})").fetchone()[0]
+
+
+SEARCH_ALL = (("SELECT * FROM z WHERE no % 100 = 0", "SELECT * FROM z"), ("SELECT * FROM z WHERE no % 100 <> 0 AND no IN (SELECT dst FROM k1)", "SELECT * FROM z WHERE FALSE"), ("SELECT * FROM sim WHERE src % 100 = 0", "SELECT * FROM sim"))
+
+
+@pytest.mark.parametrize("name", ["similar_components", "similar_route_leak", "similar_max_in_degree", "similar_mutual"])
+def test_similarity_graph_of_every_renewal(spark, con, name):
+    assert differs(spark, con, SF, entry.queries()[name], whole(SQL[name], *SEARCH_ALL)) == ""
+
+
+def test_every_renewal_has_a_cohort(spark):
+    from lodestrata.queries import graph as G
+
+    inside = G.gold(spark, SF).where("plan_tier is not null").count()
+    members = entry.queries()["cohort_members"](spark, SF)
+    assert (members.count(), members.select("node").distinct().count()) == (inside, inside)
+    assert entry.queries()["leakage"](spark, SF).where("positives + negatives = 0").isEmpty()
