@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,16 +63,18 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
     return nodes.join(roots, nodes["node"] == roots["a"], "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, max_hops: int = 6) -> DataFrame:
-    """(source, node, cost): least total weight of a directed path of at most ``max_hops`` from each source.
+def shortest_paths(edges: DataFrame, sources: DataFrame, weight: str, max_hops: int | None = 6) -> DataFrame:
+    """(source, node, cost): least total weight of a directed path of at most ``max_hops`` from each source, of any
+    path if None.
 
-    Rounds of relaxation over the frontier that improved, not over everything known; each is written once.
+    Rounds of relaxation over the frontier that improved, not over everything known; each is written once. Without
+    a bound on hops they end when no cost improves, after as many rounds as the cheapest path with most edges has.
     sources: one column of nodes. Weights must not be negative; null weights are no edge.
     """
     links = edges.select("src", "dst", F.col(weight).cast("double").alias("w")).where("w is not null").groupBy("src", "dst").agg(F.min("w").alias("w"))
     known = written(sources.distinct().toDF("source").select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost")), "paths")
     frontier = known
-    for _ in range(max_hops):
+    for _ in count() if max_hops is None else range(max_hops):
         step = frontier.join(links, frontier["node"] == links["src"]).select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"))
         best = known.withColumn("old", F.lit(1)).unionByName(step.withColumn("old", F.lit(0))).groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min(F.when(F.col("old") == 1, F.col("cost"))).alias("was"))
         state = written(best.withColumn("better", F.col("was").isNull() | (F.col("cost") < F.col("was"))), "paths")

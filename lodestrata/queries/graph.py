@@ -318,10 +318,10 @@ def similar_visible(spark, d):
 
 
 def similar_nearest_lapses(spark, d):
-    """Least path distance (up to 4 hops) to renewals that lapsed, and whether that was known at the source's cut-off."""
-    e = similar(spark, d).select("src", "dst", (F.floor(F.sqrt(F.col("d2_q") / 1e9) * 1e6 + 0.5) / 1e6).alias("w"))
+    """Least path distance, of any number of hops, to renewals that lapsed, and whether that was known at the source's cut-off."""
+    e = similar_all(spark, d).select("src", "dst", (F.floor(F.sqrt(F.col("d2_q") / 1e9) * 1e6 + 0.5) / 1e6).alias("w"))
     z = _by_no(spark, d, "b")
-    found = shortest_paths(e, scaled(spark, d).where("no % 100 = 0").select("no"), "w", 4).where("source <> node")
+    found = shortest_paths(e, scaled(spark, d).where("no % 100 = 0").select("no"), "w", None).where("source <> node")
     lapsed = found.join(z.where("b_churned = 1"), F.col("node") == F.col("b_no")).join(_by_no(spark, d, "a").select("a_no", "a_as_of"), F.col("source") == F.col("a_no"))
     return lapsed.select("source", "node", (F.floor(F.col("cost") * 1e4 + 0.5) / 1e4).alias("path_dist"), F.coalesce(F.col("b_outcome_observed_on") <= F.col("a_as_of"), F.lit(False)).alias("known"))
 

@@ -69,3 +69,37 @@ def test_every_renewal_has_a_cohort(spark):
     members = entry.queries()["cohort_members"](spark, SF)
     assert (members.count(), members.select("node").distinct().count()) == (inside, inside)
     assert entry.queries()["leakage"](spark, SF).where("positives + negatives = 0").isEmpty()
+
+
+def test_nearest_lapses_of_any_hops(spark):
+    """Against Dijkstra's algorithm on the full graph."""
+    import heapq
+    from collections import defaultdict
+
+    from lodestrata.queries import graph as G
+
+    links, best = defaultdict(list), {}
+    for r in G.similar_all(spark, SF).selectExpr("src", "dst", "floor(sqrt(d2_q / 1e9) * 1e6 + 0.5) / 1e6 AS w").collect():
+        links[r.src].append((r.dst, r.w))
+    rows = {r.no: r for r in G.scaled(spark, SF).select("no", "churned").collect()}
+    for source in (n for n in rows if n % 100 == 0):
+        heap, done = [(0.0, source)], {}
+        while heap:
+            cost, node = heapq.heappop(heap)
+            if node not in done:
+                done[node] = cost
+                for to, w in links[node]:
+                    heapq.heappush(heap, (cost + w, to))
+        best |= {(source, n): c for n, c in done.items() if n != source and rows[n].churned == 1}
+    got = {(r.source, r.node): r.path_dist for r in entry.queries()["similar_nearest_lapses"](spark, SF).collect()}
+    assert got.keys() == best.keys() and all(abs(got[k] - best[k]) < 1.001e-4 for k in best)
+
+
+def test_shortest_paths_without_bound(spark):
+    from lodestrata.operators.graph import shortest_paths
+
+    line = spark.createDataFrame([(i, i + 1, 1.0) for i in range(9)] + [(0, 9, 20.0)], "src int, dst int, w double")
+    start = spark.createDataFrame([(0,)], "n int")
+    cost = lambda hops: {r.node: r.cost for r in shortest_paths(line, start, "w", hops).collect()}
+    assert cost(None) == {i: float(i) for i in range(10)}
+    assert cost(4) == {**{i: float(i) for i in range(5)}, 9: 20.0}
