@@ -460,7 +460,7 @@ def _seq(prefix: str, number: str, source: str, more: str) -> str:
 _MINE = "SELECT * FROM ({0}) WHERE sid IN (SELECT sid FROM feat)".format
 _BILL = """SELECT b.*, as_of, NOT coalesce(type = 'cancel_scheduled' AND day <= as_of, FALSE) AS outcome_evidence FROM (SELECT sid, day, 'invoice_' || coalesce(status, 'none') AS type, invoice_no AS no FROM inv
  UNION ALL SELECT sid, day, event_type, event_no + 1000000000 FROM ev WHERE event_type IN ('canceled', 'cancel_scheduled')) b JOIN feat USING (sid) WHERE day >= renewal_date OR type IN ('canceled', 'cancel_scheduled')"""
-GRAPH = f"""{R.BASE}, g AS (SELECT *, CAST(regexp_extract(sid, '(\\d+)$', 1) AS BIGINT) AS no FROM feat),
+GRAPH = f"""{R.base_sql(True)}, g AS (SELECT *, CAST(regexp_extract(sid, '(\\d+)$', 1) AS BIGINT) AS no FROM feat),
 n_hit AS ({_MINE(_seq('lh', 'hit_no', 'SELECT * FROM hit', ', limit_type'))}),
 n_set AS ({_MINE(_seq('ovs', 'event_no', f"SELECT * FROM ev WHERE event_type IN {R.ON + R.OFF}", f", CASE WHEN event_type IN {R.ON} THEN 'enabled' ELSE 'disabled' END AS state"))}),
 n_chg AS ({_MINE(_seq('ovc', 'charge_no', 'SELECT * FROM chg', ', micro'))}),
@@ -474,7 +474,8 @@ e AS MATERIALIZED (SELECT 'HIT_LIMIT' AS rel, sid, node_id, day, NULL AS state,
 """
 
 
-def _knn_sql(k: int) -> str:
+def _knn_sql(k: int, every: bool = False) -> str:
+    """every: searched from each renewal of the graph, else from the stated set and what it reaches."""
     fs = R.FEATURES
     tidy = lambda x: f"floor(({x}) * 1e9 + 0.5) / 1e9"
     scaler = ", ".join(f"{tidy(f'avg({c}::DOUBLE)')} AS m{i}, {tidy(f'stddev_pop({c}::DOUBLE)')} AS s{i}" for i, c in enumerate(fs))
@@ -483,14 +484,15 @@ def _knn_sql(k: int) -> str:
     for i in range(len(fs)):
         d2 = f"({d2} + (a.z{i} - b.z{i}) * (a.z{i} - b.z{i}))"
     knn = lambda q: f"SELECT a.no AS src, b.no AS dst, {d2} AS d2, CAST(floor({d2} * 1e9 + 0.5) AS BIGINT) AS d2_q FROM ({q}) a JOIN (SELECT * FROM z WHERE route = 'model') b ON a.plan_tier = b.plan_tier AND a.no <> b.no QUALIFY row_number() OVER (PARTITION BY a.no ORDER BY d2_q, b.no) <= {k}"
+    first, more, shown = ("SELECT * FROM z", "SELECT * FROM z WHERE FALSE", "TRUE") if every else ("SELECT * FROM z WHERE no % 100 = 0", "SELECT * FROM z WHERE no % 100 <> 0 AND no IN (SELECT dst FROM k1)", "src % 100 = 0")
     return f"""{GRAPH}, sc AS (SELECT {scaler} FROM g WHERE route = 'model'), z AS MATERIALIZED (SELECT g.*, {z} FROM g, sc),
-k1 AS MATERIALIZED ({knn('SELECT * FROM z WHERE no % 100 = 0')}), k2 AS MATERIALIZED ({knn('SELECT * FROM z WHERE no % 100 <> 0 AND no IN (SELECT dst FROM k1)')}),
+k1 AS MATERIALIZED ({knn(first)}), k2 AS MATERIALIZED ({knn(more)}),
 ka AS (SELECT * FROM k1 UNION ALL SELECT * FROM k2),
-sim AS MATERIALIZED (SELECT k.*, row_number() OVER (PARTITION BY k.src ORDER BY d2_q, k.dst) AS rank, EXISTS (SELECT 1 FROM ka b WHERE b.src = k.dst AND b.dst = k.src) AS mutual FROM ka k), s1 AS (SELECT * FROM sim WHERE src % 100 = 0)
+sim AS MATERIALIZED (SELECT k.*, row_number() OVER (PARTITION BY k.src ORDER BY d2_q, k.dst) AS rank, EXISTS (SELECT 1 FROM ka b WHERE b.src = k.dst AND b.dst = k.src) AS mutual FROM ka k), s1 AS (SELECT * FROM sim WHERE {shown})
 """
 
 
-KNN = _knn_sql(K)
+KNN, KNN_ALL = _knn_sql(K), _knn_sql(K, True)
 _L = "LEFT JOIN e ON e.sid = g.sid AND rel ="
 _I = "CAST(coalesce(sum(CASE WHEN {0} THEN 1 END), 0) AS BIGINT)".format
 _SCHEDULED = "day <= as_of AND type = 'cancel_scheduled'"
@@ -527,21 +529,22 @@ ORACLE = {
     "graph_billed": f"{GRAPH} SELECT renewal_id, route, {_I('day <= as_of')} AS on_or_before, {_I(_SCHEDULED)} AS scheduled, {_I('NOT oe')} AS not_outcome_evidence FROM g {_L} 'BILLED' GROUP BY renewal_id, route",
     "graph_leak_surface": f"{GRAPH} SELECT rel AS rel_type, CAST(sum(n) AS BIGINT) AS edges, count(*) AS renewals FROM (SELECT rel, sid, count(*) AS n FROM e JOIN g USING (sid) WHERE day > as_of GROUP BY rel, sid) GROUP BY rel",
     "graph_first_after_unknown": f"{GRAPH} SELECT change_id, count(*) AS edges FROM e_first WHERE NOT known GROUP BY change_id",
-    "graph_evidence": f"""{GRAPH} SELECT renewal_id, strftime(day, '%Y-%m-%d') AS event_date, rel AS relation, node_id AS target_id, FALSE AS declared_exception FROM {_KEEP} AND no % 100 = 0
- UNION ALL SELECT f.renewal_id, strftime(f.day, '%Y-%m-%d'), 'FIRST_RENEWAL_AFTER', change_id, NOT known FROM e_first f JOIN g ON g.renewal_id = f.renewal_id WHERE no % 100 = 0
- UNION ALL SELECT renewal_id, strftime(effective_date, '%Y-%m-%d'), 'CUT_CAP', change_id, FALSE FROM g, change WHERE no % 100 = 0 AND effective_date <= as_of AND plan_tier IN ({', '.join(f"'{p[0]}'" for p in R.PLANS)})""",
-    "graph_evidence_hidden": f"{GRAPH} SELECT renewal_id, count(day) AS hidden FROM g LEFT JOIN e ON e.sid = g.sid AND day > as_of WHERE no % 100 = 0 GROUP BY renewal_id",
-    "graph_header": f"{GRAPH} SELECT renewal_id, sid, plan_tier, strftime(as_of, '%Y-%m-%d') AS as_of, strftime(renewal_date, '%Y-%m-%d') AS renewal_date, route, city FROM g WHERE no % 100 = 0",
+    "graph_evidence": f"""{GRAPH} SELECT renewal_id, strftime(day, '%Y-%m-%d') AS event_date, rel AS relation, node_id AS target_id, FALSE AS declared_exception FROM {_KEEP}
+ UNION ALL SELECT f.renewal_id, strftime(f.day, '%Y-%m-%d'), 'FIRST_RENEWAL_AFTER', change_id, NOT known FROM e_first f JOIN g ON g.renewal_id = f.renewal_id
+ UNION ALL SELECT renewal_id, strftime(effective_date, '%Y-%m-%d'), 'CUT_CAP', change_id, FALSE FROM g, change WHERE effective_date <= as_of AND plan_tier IN ({', '.join(f"'{p[0]}'" for p in R.PLANS)})""",
+    "graph_evidence_hidden": f"{GRAPH} SELECT renewal_id, count(day) AS hidden FROM g LEFT JOIN e ON e.sid = g.sid AND day > as_of GROUP BY renewal_id",
+    "graph_header": f"{GRAPH} SELECT renewal_id, sid, plan_tier, strftime(as_of, '%Y-%m-%d') AS as_of, strftime(renewal_date, '%Y-%m-%d') AS renewal_date, route, city FROM g",
     "similar_edges": f"{KNN} SELECT src, dst, d2_q, rank, mutual FROM s1",
     "similar_cut_row": f"{_knn_sql(K + 1)} SELECT src, max(d2_q) FILTER (rank = {K}) AS kth, max(d2_q) FILTER (rank = {K + 1}) AS beyond, least({K}, count(*)) AS k_eff, coalesce(max(d2_q) FILTER (rank = {K}) = max(d2_q) FILTER (rank = {K + 1}), FALSE) AS tied FROM s1 GROUP BY src",
     "similar_first_known": f"{KNN} SELECT src, nth, dst, rank FROM (SELECT src, dst, rank, coalesce(b.outcome_observed_on <= a.as_of, FALSE) AS known, CAST(sum(CAST(coalesce(b.outcome_observed_on <= a.as_of, FALSE) AS INT)) OVER (PARTITION BY src ORDER BY rank) AS BIGINT) AS nth FROM s1 JOIN z a ON a.no = src JOIN z b ON b.no = dst) WHERE known AND nth <= 3",
     "similar_out_degree": f"{KNN} SELECT n AS degree, count(*) AS nodes FROM (SELECT no, count(dst) AS n FROM z LEFT JOIN s1 ON src = no WHERE no % 100 = 0 GROUP BY no) GROUP BY n",
     "similar_checks": f"{KNN} SELECT count(*) AS edges, CAST(sum(CAST(a.plan_tier <> b.plan_tier AS INT)) AS BIGINT) AS cross_plan, CAST(sum(CAST(b.route <> 'model' AS INT)) AS BIGINT) AS dst_not_model, CAST(sum(CAST(src = dst AS INT)) AS BIGINT) AS self_loops, CAST(sum(CAST(mutual AS INT)) AS BIGINT) AS mutual_flagged, count(DISTINCT dst) AS distinct_dst FROM s1 JOIN z a ON a.no = src JOIN z b ON b.no = dst",
-    "similar_mutual": f"{KNN} SELECT count(*) AS mutual_edges FROM s1 a JOIN sim b ON a.src = b.dst AND a.dst = b.src",
-    "similar_max_in_degree": f"{KNN} SELECT dst AS no, count(*) AS in_degree FROM s1 GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 1",
+    "similar_mutual": f"{KNN_ALL} SELECT count(*) AS mutual_edges FROM s1 a JOIN sim b ON a.src = b.dst AND a.dst = b.src",
+    "similar_max_in_degree": f"{KNN_ALL} SELECT dst AS no, count(*) AS in_degree FROM s1 GROUP BY dst ORDER BY 2 DESC, 1 LIMIT 1",
     "similar_visible": f"{KNN} SELECT src, rank, dst, CASE WHEN {_VIS} THEN b.outcome ELSE 'not_yet_observed' END AS outcome, CASE WHEN {_VIS} THEN strftime(b.outcome_observed_on, '%Y-%m-%d') END AS outcome_observed_on FROM s1 JOIN z a ON a.no = src JOIN z b ON b.no = dst",
-    "similar_nearest_lapses": KNN.replace("WITH snap", "WITH RECURSIVE snap", 1) + """, w AS (SELECT src, dst, floor(sqrt(d2_q / 1e9) * 1e6 + 0.5) / 1e6 AS w FROM sim), p(source, node, cost, hop) AS (SELECT no, no, 0.0::DOUBLE, 0 FROM z WHERE no % 100 = 0 UNION ALL SELECT source, dst, cost + w, hop + 1 FROM p JOIN w ON src = node WHERE hop < 4),
- m AS (SELECT source, node, min(cost) AS cost FROM p WHERE source <> node GROUP BY source, node) SELECT source, node, floor(cost * 1e4 + 0.5) / 1e4 AS path_dist, coalesce(b.outcome_observed_on <= a.as_of, FALSE) AS known FROM m JOIN z b ON b.no = node AND b.churned = 1 JOIN z a ON a.no = source""",
+    "similar_nearest_lapses": KNN_ALL.replace("WITH snap", "WITH RECURSIVE snap", 1) + """, w AS MATERIALIZED (SELECT src, dst, floor(sqrt(d2_q / 1e9) * 1e6 + 0.5) / 1e6 AS w FROM sim), p(source, node, cost) USING KEY (source, node) AS (SELECT no, no, 0.0::DOUBLE FROM z WHERE no % 100 = 0
+ UNION SELECT p.source, w.dst, min(p.cost + w.w) FROM p JOIN w ON w.src = p.node LEFT JOIN recurring.p k ON k.source = p.source AND k.node = w.dst WHERE k.cost IS NULL OR p.cost + w.w < k.cost GROUP BY p.source, w.dst)
+ SELECT source, node, floor(cost * 1e4 + 0.5) / 1e4 AS path_dist, coalesce(b.outcome_observed_on <= a.as_of, FALSE) AS known FROM p JOIN z b ON b.no = node AND b.churned = 1 JOIN z a ON a.no = source WHERE source <> node""",
     "similar_sharing": f"{KNN} SELECT src, route, count(*) AS renewals FROM (SELECT DISTINCT a.src, b.src AS other FROM s1 a JOIN s1 b ON a.dst = b.dst AND a.src <> b.src) JOIN z ON no = other GROUP BY src, route",
     "similar_shares": _shares_sql(),
     "graph_exposure_by_plan": f"{GRAPH} SELECT incident_id, plan_tier, count(*) AS exposed, count(*) FILTER (route = 'model') AS model, CAST(coalesce(sum(CASE WHEN route = 'model' THEN churned END), 0) AS BIGINT) AS voluntary_lapses, count(*) FILTER (route = 'cancel_flow') AS cancel_flow, count(*) FILTER (route = 'dunning') AS dunning FROM (SELECT DISTINCT node_id AS incident_id, renewal_id, plan_tier, route, churned FROM g JOIN e_exp x ON x.sid = g.sid AND x.day > as_of - 28 AND x.day <= as_of) GROUP BY incident_id, plan_tier",
@@ -551,7 +554,7 @@ ORACLE = {
     "graph_first_after_by_plan": f"{GRAPH} SELECT plan_tier, renewal_id IN (SELECT renewal_id FROM e_first) AS first_after, count(*) AS n, CAST(sum(churned) AS BIGINT) AS lapses FROM g WHERE route = 'model' GROUP BY 1, 2",
     "graph_pruned": f"{GRAPH}, kept AS (SELECT rel, node_id FROM {_KEEP}) SELECT rel AS kind, count(*) AS n FROM kept GROUP BY rel UNION ALL SELECT CASE rel WHEN 'HIT_LIMIT' THEN 'LimitHit' WHEN 'CHANGED_OVERAGE' THEN 'OverageChange' WHEN 'CHARGED_OVERAGE' THEN 'OverageCharge' WHEN 'OPENED' THEN 'Ticket' WHEN 'BILLED' THEN 'BillingEvent' ELSE 'Incident' END, count(DISTINCT node_id) FROM kept GROUP BY rel",
     "graph_pruned_proof": f"{GRAPH} SELECT count(*) AS renewals, CAST(0 AS BIGINT) AS mismatches FROM g",
-    "similar_route_leak": f"{KNN} SELECT no IN (SELECT dst FROM s1) AS incoming, count(*) AS n, CAST(sum(churned) AS BIGINT) AS lapses FROM z WHERE route = 'model' GROUP BY 1",
-    "similar_components": KNN.replace("WITH snap", "WITH RECURSIVE snap", 1) + ", l AS (SELECT src AS a, dst AS b FROM sim UNION SELECT dst, src FROM sim), r(x, y) AS (SELECT a, a FROM l UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y) SELECT c AS component, count(*) AS size FROM (SELECT x, min(y) AS c FROM r GROUP BY x) GROUP BY c",
+    "similar_route_leak": f"{KNN_ALL} SELECT no IN (SELECT dst FROM s1) AS incoming, count(*) AS n, CAST(sum(churned) AS BIGINT) AS lapses FROM z WHERE route = 'model' GROUP BY 1",
+    "similar_components": KNN_ALL.replace("WITH snap", "WITH RECURSIVE snap", 1) + ", l AS (SELECT src AS a, dst AS b FROM sim UNION SELECT dst, src FROM sim), r(x, y) AS (SELECT a, a FROM l UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y) SELECT c AS component, count(*) AS size FROM (SELECT x, min(y) AS c FROM r GROUP BY x) GROUP BY c",
     "similar_within_two": f"{KNN}, h AS (SELECT no AS start, no AS node, 0 AS d FROM z WHERE no % 100 = 0 UNION ALL SELECT src, dst, 1 FROM s1 UNION ALL SELECT a.src, b.dst, 2 FROM s1 a JOIN sim b ON b.src = a.dst) SELECT start, d AS depth, count(*) AS n FROM (SELECT start, node, min(d) AS d FROM h GROUP BY 1, 2) GROUP BY 1, 2",
 }

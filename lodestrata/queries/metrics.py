@@ -165,13 +165,15 @@ _ALL_ROUTES = sorted({r for r, _ in ROUTES})
 _AUC = "SELECT {g}, CAST(sum(pos) AS BIGINT) AS positives, CAST(sum(n) - sum(pos) AS BIGINT) AS negatives, CASE WHEN sum(pos) > 0 AND sum(n) > sum(pos) THEN (sum(r * pos) - sum(pos) * (sum(pos) + 1) / 2) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(n) - sum(pos) AS DOUBLE)) END AS auc FROM (SELECT {g}, pos, n, coalesce(sum(n) OVER (PARTITION BY {g} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2.0 AS r FROM (SELECT {g}, score, sum(label) AS pos, count(*) AS n FROM ({s}) GROUP BY {g}, score)) GROUP BY {g}"
 _SINGLE = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS score, CAST(outcome <> 'renewed' AS BIGINT) AS label FROM g WHERE route IN ('model', 'dunning')" for c in R.FEATURES)
 _WINDOW = {f: int(f.rsplit("_", 1)[1][:-1]) if f.rsplit("_", 1)[-1][:-1].isdigit() else 0 for f in R.FEATURES}
+#: Every renewal, not the graph's.
+_ALL = f"{R.BASE}, g AS (SELECT * FROM feat)"
 ORACLE = {
-    "lapse_rate": f"{G.GRAPH} SELECT plan_tier, band, n, lapses, {_rates('n', 'lapses')} FROM (SELECT p.plan_tier, b.band, count(g.sid) AS n, CAST(coalesce(sum(g.churned), 0) AS BIGINT) AS lapses FROM {_grid('plan_tier', PLAN_NAMES)} p CROSS JOIN {_grid('band', BAND_NAMES)} b LEFT JOIN (SELECT *, {_BAND} AS band FROM g WHERE route = 'model') g ON g.plan_tier = p.plan_tier AND g.band = b.band GROUP BY 1, 2)",
-    "route_counts": f"{G.GRAPH} SELECT p.plan_tier, r.route, r.outcome, count(g.sid) AS n FROM {_grid('plan_tier', PLAN_NAMES)} p CROSS JOIN (VALUES {', '.join(map(str, ROUTES))}) AS r(route, outcome) LEFT JOIN g ON g.plan_tier = p.plan_tier AND g.route = r.route AND g.outcome = r.outcome GROUP BY ALL",
-    "lapse_cube": f"{G.GRAPH} SELECT coalesce(plan_tier, '*') AS plan_tier, coalesce(exposed, '*') AS exposed, coalesce(band, '*') AS band, count(*) AS n, CAST(sum(churned) AS BIGINT) AS lapses FROM (SELECT plan_tier, CAST(incident_exposed_28d AS VARCHAR) AS exposed, {_BAND} AS band, churned FROM g WHERE route = 'model') GROUP BY CUBE (plan_tier, exposed, band)",
-    "feature_cards": f"{G.GRAPH} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({_WINDOW[c]} AS BIGINT) AS window_days, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, count(*) FILTER ({c} <> 0) AS nonzero FROM g" for c in R.FEATURES),
+    "lapse_rate": f"{_ALL} SELECT plan_tier, band, n, lapses, {_rates('n', 'lapses')} FROM (SELECT p.plan_tier, b.band, count(g.sid) AS n, CAST(coalesce(sum(g.churned), 0) AS BIGINT) AS lapses FROM {_grid('plan_tier', PLAN_NAMES)} p CROSS JOIN {_grid('band', BAND_NAMES)} b LEFT JOIN (SELECT *, {_BAND} AS band FROM g WHERE route = 'model') g ON g.plan_tier = p.plan_tier AND g.band = b.band GROUP BY 1, 2)",
+    "route_counts": f"{_ALL} SELECT p.plan_tier, r.route, r.outcome, count(g.sid) AS n FROM {_grid('plan_tier', PLAN_NAMES)} p CROSS JOIN (VALUES {', '.join(map(str, ROUTES))}) AS r(route, outcome) LEFT JOIN g ON g.plan_tier = p.plan_tier AND g.route = r.route AND g.outcome = r.outcome GROUP BY ALL",
+    "lapse_cube": f"{_ALL} SELECT coalesce(plan_tier, '*') AS plan_tier, coalesce(exposed, '*') AS exposed, coalesce(band, '*') AS band, count(*) AS n, CAST(sum(churned) AS BIGINT) AS lapses FROM (SELECT plan_tier, CAST(incident_exposed_28d AS VARCHAR) AS exposed, {_BAND} AS band, churned FROM g WHERE route = 'model') GROUP BY CUBE (plan_tier, exposed, band)",
+    "feature_cards": f"{_ALL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({_WINDOW[c]} AS BIGINT) AS window_days, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, count(*) FILTER ({c} <> 0) AS nonzero FROM g" for c in R.FEATURES),
     "similar_summary": f"{G.KNN} SELECT src, visible, lapsed, {_rates('visible', 'lapsed')} FROM (SELECT src, count(*) AS visible, count(*) FILTER (b.outcome = 'voluntary_lapse') AS lapsed FROM s1 JOIN z a ON a.no = src JOIN z b ON b.no = dst WHERE {G._VIS} GROUP BY src)",
-    "overage_auc": f"{G.GRAPH} {_AUC.format(g='feature', s=_SINGLE)}",
+    "overage_auc": f"{_ALL} {_AUC.format(g='feature', s=_SINGLE)}",
     "embedding_neighbours": "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings), p AS (SELECT a.vec_id AS src, b.vec_id AS dst, floor(sum((a.x - b.x) * (a.x - b.x) ORDER BY a.i) * 1e6 + 0.5) AS d2_e6 FROM e a JOIN e b ON a.label = b.label AND a.i = b.i AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 GROUP BY 1, 2) SELECT src, dst, CAST(d2_e6 AS BIGINT) AS d2_e6, row_number() OVER (PARTITION BY src ORDER BY d2_e6, dst) AS rank FROM p QUALIFY rank <= 10",
     "co_purchase": "SELECT r_name, count(DISTINCT o_orderkey) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = c_nationkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY r_name",
 }

@@ -202,7 +202,7 @@ def _ledger_sql() -> str:
     return f"SELECT sid, day, {', '.join(f'CAST(coalesce(sum({m}), 0) AS BIGINT) AS {m}' for m in MEASURES)} FROM ({' UNION ALL '.join(parts)}) WHERE sid IS NOT NULL AND day IS NOT NULL GROUP BY sid, day"
 
 
-def _features_sql(naive: bool) -> str:
+def _features_sql(naive: bool, today: str = "(SELECT max(day) FROM snap)") -> str:
     known = "TRUE" if naive else "l.day <= r.as_of"
     until = "TRUE" if naive else f"l.day <= r.renewal_date + {SHOWS}"
 
@@ -226,7 +226,7 @@ def _features_sql(naive: bool) -> str:
     after = " OR ".join(f"coalesce(DATE '{c[1]}' >= renewal_date - 30 AND DATE '{c[1]}' < renewal_date AND started_at < DATE '{c[1]}', FALSE)" for c in CHANGES)
     rat = lambda a, b, o="0.0::DOUBLE": f"CASE WHEN {b} > 0 THEN CAST({a} AS DOUBLE) / CAST({b} AS DOUBLE) ELSE {o} END"
     share, prev = _r4(rat("f28", "h28")), f"({rat('fprev', 'hprev', '(-1.0)::DOUBLE')})"
-    return f"""SELECT *, CASE WHEN outcome = 'renewed' THEN 'model' WHEN outcome = 'voluntary_lapse' AND scheduled_at <= as_of THEN 'cancel_flow' WHEN outcome = 'voluntary_lapse' THEN 'model' WHEN outcome = 'involuntary_lapse' THEN 'dunning' WHEN as_of = DATE '{UNTIL}' THEN 'score_today' ELSE 'pending' END AS route,
+    return f"""SELECT *, CASE WHEN outcome = 'renewed' THEN 'model' WHEN outcome = 'voluntary_lapse' AND scheduled_at <= as_of THEN 'cancel_flow' WHEN outcome = 'voluntary_lapse' THEN 'model' WHEN outcome = 'involuntary_lapse' THEN 'dunning' WHEN as_of = {today} THEN 'score_today' ELSE 'pending' END AS route,
  CAST(outcome = 'voluntary_lapse' AS BIGINT) AS churned FROM (SELECT sid, sid || ':' || strftime(renewal_date, '%Y-%m-%d') AS renewal_id, as_of, renewal_date, plan_tier, started_at, user_name, city, renewals_completed, active_days_7d, active_days_28d,
  {_r4("least(greatest(CAST(active_days_7d AS DOUBLE) / greatest(1.0::DOUBLE, CAST(active_days_28d AS DOUBLE) / 4.0::DOUBLE), 0.0), 4.0)")} AS engagement_trend,
  CAST(least(greatest(coalesce(date_diff('day', last_active, as_of), 90), 0), 90) AS BIGINT) AS last_active_days_ago,
@@ -238,21 +238,28 @@ def _features_sql(naive: bool) -> str:
  coalesce(canceled_at, paid_at, failed_at) AS outcome_observed_on, scheduled_at FROM ({agg}))"""
 
 
-#: CTEs that other SQL builds on: snap, spine, hit, chg, tick, inv, ev, ledger, feat, incident, change.
-BASE = f"""WITH snap AS (SELECT {k('subscription_id')} AS sid, snapshot_date AS day, {wd('plan_tier')} AS plan_tier, {k('status')} AS status, current_period_end AS period_end, started_at, trim(user_name) AS user_name, trim(city) AS city FROM subscription_snapshots
+def base_sql(last: bool = False) -> str:
+    """CTEs that other SQL builds on: snap, spine, hit, chg, tick, inv, ev, ledger, feat, incident, change. ``last``
+    takes each subscription's last renewal up to UNTIL (the graph), else every renewal."""
+    one = f" AND day <= DATE '{UNTIL}'" if last else ""
+    rank = " QUALIFY row_number() OVER (PARTITION BY sid ORDER BY day DESC) = 1" if last else ""
+    feat = _features_sql(False, f"DATE '{UNTIL}'") if last else _features_sql(False)
+    return f"""WITH snap AS (SELECT {k('subscription_id')} AS sid, snapshot_date AS day, {wd('plan_tier')} AS plan_tier, {k('status')} AS status, current_period_end AS period_end, started_at, trim(user_name) AS user_name, trim(city) AS city FROM subscription_snapshots
   WHERE {k('subscription_id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {k('subscription_id')}, snapshot_date ORDER BY _ingested_at DESC, snapshot_no DESC) = 1),
-spine AS (SELECT sid, day AS as_of, period_end AS renewal_date, plan_tier, status, started_at, user_name, city FROM snap WHERE day = period_end - 7 AND day <= DATE '{UNTIL}' AND plan_tier IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sid ORDER BY day DESC) = 1),
+spine AS (SELECT sid, day AS as_of, period_end AS renewal_date, plan_tier, status, started_at, user_name, city FROM snap WHERE day = period_end - 7{one} AND plan_tier IS NOT NULL{rank}),
 hit AS (SELECT hit_no, any_value({k('subscription_id')}) AS sid, any_value(CAST(hit_at AS DATE)) AS day, any_value(hit_at) AS hit_at, any_value({wd('limit_type')}) AS limit_type FROM limit_events WHERE hit_at IS NOT NULL GROUP BY hit_no),
 chg AS (SELECT charge_no, any_value({k('subscription_id')}) AS sid, any_value(charged_at) AS day, any_value(CAST(round(amount_usd * 1000000) AS BIGINT)) AS micro FROM overage_charges WHERE charged_at IS NOT NULL GROUP BY charge_no),
 tick AS (SELECT {k('ticket_id')} AS ticket_id, any_value({k('subscription_id')}) AS sid, any_value(created_date) AS day FROM support_tickets WHERE {k('subscription_id')} IS NOT NULL AND created_date IS NOT NULL GROUP BY 1),
 inv AS (SELECT invoice_no, any_value({k('subscription_id')}) AS sid, any_value(invoice_date) AS day, any_value({k('status')}) AS status FROM invoices WHERE {k('subscription_id')} IS NOT NULL AND invoice_date IS NOT NULL GROUP BY invoice_no),
 ev AS (SELECT event_no, any_value({k('subscription_id')}) AS sid, any_value(event_date) AS day, any_value({wd('event_type')}) AS event_type FROM subscription_events WHERE event_date IS NOT NULL GROUP BY event_no),
 ledger AS MATERIALIZED ({_ledger_sql()}),
-feat AS MATERIALIZED ({_features_sql(False)}),
+feat AS MATERIALIZED ({feat}),
 incident AS (SELECT incident_id, CAST(a AS DATE) AS starts_on, CAST(z AS DATE) AS ends_on FROM {_values(INCIDENTS, 'incident_id, a, z')}),
 change AS (SELECT change_id, CAST(a AS DATE) AS effective_date, description FROM {_values(CHANGES, 'change_id, a, description')})
 """
 
+
+BASE = base_sql()
 _LEAK = ("last_active_days_ago", "overage_toggled_off")
 _SHOWN_SQL = ", ".join(f"strftime({c}, '%Y-%m-%d') AS {c}" if c in ("as_of", "renewal_date") else c for c in SHOWN)
 ORACLE = {
