@@ -26,6 +26,10 @@ class Plan:
     def add(self, lengths: Counter | dict, times: int) -> None:
         self.patterns.append((dict(lengths), times))
 
+    @property
+    def containers(self) -> int:
+        return sum(times for _, times in self.patterns)
+
     def lookup(self) -> tuple[np.ndarray, ...]:
         """Sorted by (length, first rank): length, first rank, items of the length a container, first container."""
         rows, used, base = [], Counter(), 0
@@ -38,36 +42,66 @@ class Plan:
         return tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)) if rows else tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
 
 
+def _sums(left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which totals up to the capacity two and three available lengths add up to."""
+    size, lengths = len(left), np.flatnonzero(left).tolist()
+    full = (1 << size) - 1
+    singles = sum(1 << a for a in lengths)
+    pairs = triples = 0
+    for a in lengths:
+        pairs |= singles << a
+    pairs &= full
+    for a in lengths:
+        triples |= pairs << a
+    flags = []
+    for bits in (pairs, triples):
+        raw = np.frombuffer((bits & full).to_bytes(size // 8 + 1, "little"), dtype=np.uint8)
+        flags.append(np.unpackbits(raw, bitorder="little")[:size].astype(bool))
+    return flags[0], flags[1]
+
+
 class SumIndex:
-    """Which sums one, two or three available lengths have. Lengths only run out, so an entry that proves
-    empty is struck out for good and is never searched again."""
+    """Which sums one, two or three available lengths have. Lengths only run out, so a sum that is not indexed never
+    comes up again; one that is indexed is checked against what is left."""
 
     def __init__(self, left: np.ndarray) -> None:
         self.left = left
-        bits = 0
-        for a in np.flatnonzero(left):
-            bits |= 1 << int(a)
-        pairs, size = 0, len(left)
-        for a in np.flatnonzero(left):
-            others = bits if left[a] > 1 else bits & ~(1 << int(a))
-            pairs |= others << int(a)
-        raw = np.frombuffer((pairs & ((1 << size) - 1)).to_bytes(size // 8 + 1, "little"), dtype=np.uint8)
-        self.pairs = np.unpackbits(raw, bitorder="little")[:size].astype(bool)
-
-    def best_pair(self, total: int, left: np.ndarray) -> tuple[int, int, int]:
-        """Two lengths of this sum that can be taken most often: (times, a, b); times 0 if there are none."""
-        if total < 2:
-            return 0, 0, 0
-        a = np.arange(1, total // 2 + 1)
-        times = np.minimum(left[a], left[total - a])
+        self.pairs, self.triples = _sums(left)
+
+    def pair(self, total: int, most: int) -> tuple[int, int] | None:
+        """Two available lengths of this sum, none above ``most``; of several the pair with the longest."""
+        low, high = -(-total // 2), min(most, total - 1)
+        if total < 2 or high < low or not self.pairs[total]:
+            return None
+        a = np.arange(low, high + 1)
+        there = (self.left[a] > 0) & (self.left[total - a] > 0)
         if total % 2 == 0:
-            times[-1] = left[total // 2] // 2
-        k = int(times.argmax())
-        return int(times[k]), k + 1, total - k - 1
-
-
-def _times(left: np.ndarray, lengths: Counter) -> int:
-    return min(int(left[x]) // n for x, n in lengths.items())
+            there[0] = self.left[low] > 1
+        found = np.flatnonzero(there)
+        if not len(found):
+            return None
+        return int(a[found[-1]]), int(total - a[found[-1]])
+
+    def complement(self, gap: int, most: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that fill the gap exactly; fewer before more, longer before shorter,
+        so that short lengths stay for gaps that nothing else fills."""
+        if self.left[gap]:
+            return (gap,)
+        if found := self.pair(gap, most):
+            return found
+        if gap > 2 and self.triples[gap]:
+            first = np.flatnonzero(self.left[1 : min(most, gap - 2) + 1])[::-1] + 1
+            for x in first[self.pairs[gap - first]].tolist():
+                self.left[x] -= 1
+                rest = self.pair(gap - x, x)
+                self.left[x] += 1
+                if rest:
+                    return (x, *rest)
+        return None
+
+
+#: How far down exact filling may go, as shares of the capacity; below, best fit takes over.
+FLOORS = (0.0, 1 / 3, 1 / 2, 2 / 3, 5 / 6, 1.0)
 
 
 def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
@@ -77,55 +111,45 @@ def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
     long as such combinations are available, each taken as often as its rarest length allows. What has no
     exact complement is packed best fit decreasing, many equal items at a time.
 
+    Exact filling spends short lengths early, which costs more than it saves where lengths are spread evenly. So
+    plans are made with the exact part going down to several lengths (``FLOORS``), the last of them best fit alone,
+    until one reaches the least number there can be; the one with the fewest containers is taken. It is never
+    worse than best fit.
+
     Works on counts per length, so time and memory follow the capacity and not the number of items.
     """
-    plan = Plan(capacity)
-    left = np.zeros(capacity + 1, dtype=np.int64)
+    counts = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         if not 1 <= length <= capacity:
             raise ValueError(f"length {length} does not fit into {capacity}")
-        left[length] = n
-    index = SumIndex(left)
-
-    def take(lengths: Counter) -> bool:
-        if times := _times(left, lengths):
-            for x, n in lengths.items():
-                left[x] -= n * times
-            plan.add(lengths, times)
-        return times > 0
-
-    def pair(longest: int, total: int, more: tuple[int, ...] = ()) -> bool:
-        """Fill ``total`` by two lengths beside those already chosen."""
-        rest = left
-        chosen = Counter((longest, *more))
-        if any(left[x] < n for x, n in chosen.items()):
-            return False
-        for _ in range(2):
-            times, a, b = index.best_pair(total, rest)
-            if not times:
-                if rest is left:
-                    index.pairs[total] = False
-                return False
-            if take(chosen + Counter((a, b))):
-                return True
-            rest = left.copy()  # the best pair needs items that are chosen already: look without those
-            for x, n in chosen.items():
-                rest[x] -= n
-        return False
-
-    for longest in range(capacity, 0, -1):
+        counts[length] = n
+    size = np.arange(capacity + 1)
+    least = max(-(-int((size * counts).sum()) // capacity), int(counts[size * 2 > capacity].sum()))
+    best = None
+    for floor in FLOORS:
+        plan = _plan(counts.copy(), capacity, floor)
+        if best is None or plan.containers < best.containers:
+            best = plan
+        if best.containers <= least:
+            break
+    return best
+
+
+def _plan(left: np.ndarray, capacity: int, floor: float) -> Plan:
+    plan, index = Plan(capacity), SumIndex(left)
+    for longest in range(capacity, int(capacity * floor), -1):
         gap = capacity - longest
-        if left[longest] and not gap:
-            take(Counter({longest: 1}))
-        while left[longest] and gap and left[gap] and take(Counter((longest, gap))):
-            pass
-        while left[longest] and gap > 1 and index.pairs[gap] and pair(longest, gap):
-            pass
-        while left[longest] and gap > 2:
-            third = np.flatnonzero(left[1 : gap - 1]) + 1
-            third = third[index.pairs[gap - third]]
-            if not any(pair(longest, gap - int(x), (int(x),)) for x in third[::-1]):
+        while left[longest] and gap:
+            left[longest] -= 1
+            found = index.complement(gap, longest)
+            left[longest] += 1
+            if found is None:
                 break
+            together = Counter((longest, *found))
+            times = min(int(left[x]) // n for x, n in together.items())
+            for x, n in together.items():
+                left[x] -= n * times
+            plan.add(together, times)
     _best_fit(left, plan)
     return plan
 

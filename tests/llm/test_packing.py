@@ -1,10 +1,12 @@
+import bisect
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.llm.packing import fill_containers, pack_documents, plan_containers
+from lodestrata.llm.packing import SumIndex, fill_containers, pack_documents, plan_containers
 
 
 def check(plan, histogram, capacity):
@@ -55,6 +57,37 @@ def test_never_far_from_the_lower_bound():
     assert sum(t for _, t in plan.patterns) <= least * 1.002 + 1
 
 
+LENGTHS = {
+    "uniform": lambda rng, c: rng.integers(1, c + 1, 20_000),
+    "gaps": lambda rng, c: rng.choice(rng.choice(np.arange(1, c + 1), c // 20, replace=False), 20_000),
+    "normal": lambda rng, c: np.clip(rng.normal(0.42 * c, 0.12 * c, 20_000), 1, c).astype(int),
+    "lognormal": lambda rng, c: np.clip(rng.lognormal(np.log(c / 12), 1.0, 20_000), 1, c).astype(int),
+}
+
+
+@pytest.mark.parametrize("capacity", [256, 1024, 4096])
+@pytest.mark.parametrize("kind", LENGTHS)
+def test_never_worse_than_best_fit(kind, capacity):
+    """Against best fit decreasing, item by item."""
+    lengths = LENGTHS[kind](np.random.default_rng(capacity), capacity).tolist()
+    gaps = []
+    for x in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, x)
+        gap = gaps.pop(at) if at < len(gaps) else capacity
+        bisect.insort(gaps, gap - x)
+    plan = plan_containers(Counter(lengths), capacity)
+    check(plan, Counter(lengths), capacity)
+    assert plan.containers <= len(gaps)
+
+
+def test_sums_of_three():
+    left = np.zeros(31, dtype=np.int64)
+    left[[3, 7, 12]] = 1, 2, 1
+    index = SumIndex(left)
+    assert index.complement(17, 30) == (7, 7, 3) and index.complement(14, 30) == (7, 7) and index.complement(12, 30) == (12,)
+    assert index.complement(6, 30) is None and index.complement(21, 30) is None and index.complement(22, 30) == (12, 7, 3)
+
+
 def brute_force_least(lengths, capacity):
     best = len(lengths)
 
