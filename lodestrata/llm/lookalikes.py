@@ -4,176 +4,247 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache, cached_property
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.session import written
 
-# Letters of other scripts that are drawn like a Latin letter, by script.
-LOOKALIKES = {
-    "CYRILLIC": {
-        "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
-        "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "Ѕ": "S", "І": "I", "Ј": "J", "Ԛ": "Q", "Ԝ": "W",
-    },
-    "GREEK": {"ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J"},
-    "ARMENIAN": {"օ": "o", "հ": "h", "ո": "n", "ս": "u", "ց": "g", "Օ": "O", "Ս": "U", "Տ": "S", "Լ": "L"},
-}
 # Characters without width that no general category tells: joiners, selectors, fillers.
 WIDTHLESS = (0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D, 0x180E, 0x180F, 0x3164, 0xFFA0, 0xFEFF)
 WIDTHLESS_RANGES = ((0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF))
-# Other characters drawn like one or more common ones, whatever stands beside them.
-DRAWN_LIKE = {"\u2010": "-", "\u2011": "-", "\ufe63": "-", "\u0261": "g", "\u2028": "\n", "\u2029": "\n"}
+# Signs drawn like a common one, whatever stands beside them. Longer dashes and curved quotes are not.
+DRAWN_LIKE = {"\u2010": "-", "\u2011": "-", "\u2212": "-", "\ufe63": "-", "\u2028": "\n", "\u2029": "\n"}
+# Latin-1 and Latin Extended-A hold letters of living alphabets, which stand for themselves; the dotless i is drawn like i.
+OWN_LETTERS, DOTLESS = range(0xC0, 0x180), 0x131
+#: Letters are looked for up to here; beyond are ideographs.
+LAST = 0x20000
+_MARKS = "\u0300-\u036f\u0483-\u0487"
+#: The rest of a run of letters with their marks.
+RUN = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
+_IN_RUN = re.compile(rf"[^\W\d_]|[{_MARKS}]")
+
+
+def script(ch: str) -> str:
+    """The script of a letter, as the first word of its Unicode name."""
+    return unicodedata.name(ch, "").partition(" ")[0]
+
+
+def _rarity(c: int) -> tuple[int, int]:
+    """ASCII, then the main letters of Cyrillic and Greek, then all others."""
+    return (0 if c < 0x80 else 1 if 0x410 <= c < 0x450 else 2 if 0x391 <= c < 0x3CA else 3), c
+
+
+@cache
+def lookalikes(spark: SparkSession) -> dict[int, str]:
+    """Letters outside ASCII -> the letter drawn alike that stands for them, from Unicode's confusables.
+
+    The data are those of the ICU library that Spark itself brings (``SpoofChecker``), asked once on the driver. All
+    letters of one skeleton are drawn alike; for them stands the ASCII letter of the same case (capital, where
+    a script has no case), or the most common letter of the same case where there is none in ASCII. Letters of scripts
+    with case are taken, and Lisu, which is drawn as Latin capitals.
+    """
+    letters = [c for c in range(0x41, LAST) if unicodedata.category(chr(c)) in ("Lu", "Ll") or script(chr(c)) == "LISU" and unicodedata.category(chr(c)) == "Lo"]
+    letters = [c for c in letters if unicodedata.decomposition(chr(c)).partition(" ")[0] in ("", "<compat>")]  # others are folded
+    checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
+    skeletons = checker.getSkeleton("\n".join(map(chr, letters))).split("\n")
+    classes: dict[str, list[int]] = {}
+    for c, s in zip(letters, skeletons, strict=True):
+        if len(s) == 1:
+            classes.setdefault(s, []).append(c)
+    table = {}
+    for members in classes.values():
+        by_case = {}
+        for c in sorted(members, key=_rarity):
+            by_case.setdefault("Ll" if unicodedata.category(chr(c)) == "Ll" else "Lu", c)
+        for c in members:
+            stands = by_case["Ll" if unicodedata.category(chr(c)) == "Ll" else "Lu"]
+            if unicodedata.category(chr(c)) == "Lo" and stands >= 0x80:
+                stands = min(members, key=_rarity)
+            if c >= 0x80 and c != stands and (c not in OWN_LETTERS or c == DOTLESS):
+                table[c] = chr(stands)
+    return table
 
 
 def _folds() -> dict[int, str]:
-    """Wide and narrow forms, ligatures, number letters, spaces and widthless characters, by Unicode's own tables."""
+    """Wide, narrow and mathematical forms, ligatures, digraphs, number letters, dots, spaces and widthless characters,
+    by Unicode's own tables."""
     table: dict[int, str] = {}
-    for c in range(0x80, 0x10000):  # beyond, no character has such a form
+    for c in range(0x80, LAST):
         ch = chr(c)
         kind, _, rest = unicodedata.decomposition(ch).partition(" ")
-        if kind in ("<wide>", "<narrow>"):
+        parts = [chr(int(x, 16)) for x in rest.split()] if kind == "<compat>" else []
+        if kind in ("<wide>", "<narrow>", "<font>"):
             table[c] = unicodedata.normalize("NFKC", ch)
-        elif kind == "<compat>" and (0xFB00 <= c <= 0xFB4F or 0x2160 <= c <= 0x217F):
-            table[c] = "".join(chr(int(x, 16)) for x in rest.split())
+        elif parts and (0xFB00 <= c <= 0xFB4F or 0x2160 <= c <= 0x217F or len(parts) > 1 and all(x.isalpha() for x in parts) or all(x in "!?." for x in parts)):
+            table[c] = "".join(parts)
         elif unicodedata.category(ch) == "Zs":
             table[c] = " "
     table |= {c: "" for lo, hi in WIDTHLESS_RANGES for c in range(lo, hi + 1)} | dict.fromkeys(WIDTHLESS, "")
     return table | {ord(k): v for k, v in DRAWN_LIKE.items()}
 
 
-FOLDS = _folds()
-TO_LATIN = {ord(k): v for letters in LOOKALIKES.values() for k, v in letters.items()}
-SCRIPT_OF = {k: s for s, letters in LOOKALIKES.items() for k in letters}
-FROM_LATIN = {s: {ord(v): k for k, v in letters.items()} for s, letters in LOOKALIKES.items()}
-LATIN_SHARED = {v for letters in LOOKALIKES.values() for v in letters.values()}
-_MARKS = "\u0300-\u036f\u0483-\u0487"
-#: Letters of the scripts above: a token with one of them is judged, look-alikes or not, as its Latin letters may be.
-_BLOCKS = "\u0370-\u03ff\u0400-\u0482\u048a-\u052f\u0531-\u0587\u1f00-\u1fff"
-FOREIGN = re.compile(f"[{_BLOCKS}]")
-#: The rest of a run of letters with their marks.
-RUN = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
-_IN_RUN = re.compile(rf"[^\W\d_]|[{_MARKS}]")
-#: A text in composed form without any of these is in its one form already.
-_LOW = "".join(re.escape(chr(c)) for c in FOLDS if c < 0x10000)
-UNEVEN = re.compile(f"[{_LOW}{_BLOCKS}\U000e0000-\U000e0fff]")
-
+def compose(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFC", text)
 
-def script(ch: str) -> str:
-    return unicodedata.name(ch, "").partition(" ")[0]
 
+class Reader:
+    """Reads texts by a table of look-alike letters (``lookalikes``)."""
+
+    def __init__(self, table: dict[int, str]) -> None:
+        self.folds, self.stands = _folds(), {}
+        self.home: dict[str, dict[int, str]] = {}
+        first: dict[tuple[str, str], str] = {}
+        for c, v in sorted(table.items(), key=lambda x: _rarity(x[0])):  # the common letters of a script first
+            of = script(chr(c))
+            one = v if script(v) == of else first.setdefault((v, of), chr(c))
+            if one != chr(c):  # within a script there is nothing to judge
+                self.folds[c] = one
+            else:
+                self.stands[c] = v
+                self.home.setdefault(of, {})[ord(v)] = chr(c)
+        self.script_of = {chr(c): script(chr(c)) for c in self.stands}
+        #: Letters that stand for others: their own script does not tell where a token belongs.
+        self.shared = set(self.stands.values())
+
+    @cached_property
+    def foreign(self) -> re.Pattern:
+        """Letters of the scripts in question: a token with one of them is judged, as its Latin letters may be the wrong ones."""
+        return re.compile(f"[{_spans(c for c in range(0x80, LAST) if script(chr(c)) in self.home and chr(c).isalpha())}]")
+
+    @cached_property
+    def uneven(self) -> re.Pattern:
+        """A text in composed form without any of these is in its one form already."""
+        return re.compile(f"[{_spans(self.folds)}{self.foreign.pattern[1:-1]}]")
+
+    def fold(self, text: str) -> str:
+        """Wide forms, kinds of space and widthless characters set aside; accents in their decomposed form."""
+        return text if text.isascii() else unicodedata.normalize("NFD", text.translate(self.folds))
+
+    def judge(self, token: str) -> tuple[str, str, bool, bool]:
+        """(repaired, fallback, certain, mixed) of a folded token with letters of another script in it.
+
+        Letters that no other script shares decide the token's script, else the script of most letters, Latin if
+        equal. Letters from others are put into it: that is the repair. fallback is the token with the Latin, or
+        most common, form of every look-alike. certain: the fallback is the form whatever the vocabulary says, as the token
+        belongs to Latin, to several scripts or to look-alikes only, or its script lacks a letter.
+        """
+        fallback = token.translate(self.stands)
+        scripts = Counter(self.script_of.get(c) or script(c) for c in token if c.isalpha())
+        mixed = len(scripts) > 1
+        decisive = {script(c) for c in token if c.isalpha() and c not in self.script_of and c not in self.shared}
+        if len(decisive) == 1:
+            home = next(iter(decisive))
+        elif decisive:
+            return fallback, fallback, True, mixed
+        else:
+            home = max(scripts, key=lambda s: (scripts[s], s == "LATIN"))
+        if home == "LATIN" or home not in self.home:
+            return fallback, fallback, True, mixed
+        if not mixed:
+            return (token, token, True, False) if decisive else (fallback, fallback, True, False)
+        repaired = fallback.translate(self.home[home])
+        if any(c.isalpha() and script(c) != home for c in repaired):
+            return fallback, fallback, True, mixed
+        return repaired, fallback, not decisive, True
+
+    def runs(self, folded: str) -> Iterator[tuple[int, int]]:
+        """Start and end of each run of letters that holds a letter of another script; linear in the text."""
+        done = 0
+        while m := self.foreign.search(folded, done):
+            start = m.start()
+            while start > done and _IN_RUN.match(folded[start - 1]):
+                start -= 1
+            done = RUN.match(folded, m.start()).end()
+            yield start, done
+
+    def dissect(self, text: str, every: bool = False) -> tuple[list[str], list[dict], list[str]]:
+        """(segments, open choices between them, words of the vocabulary) of one whole text. every: a token that the
+        form changes is a choice also where its form is certain."""
+        if text.isascii() or (unicodedata.is_normalized("NFC", text) and not self.uneven.search(text)):
+            return [text], [], []
+        folded = self.fold(text)
+        segments, choices, words, done, here = [], [], set(), 0, []
+        memo: dict[str, tuple[str, str, bool, bool]] = {}
+        for start, end in self.runs(folded):
+            token = folded[start:end]
+            if token not in memo:
+                memo[token] = self.judge(token)
+            repaired, fallback, certain, mixed = memo[token]
+            here.append(folded[done:start])
+            done = end
+            if not mixed:  # written in one script other than Latin: a word repairs can aim at
+                words.add(compose(token))
+            if certain and not (every and fallback != token):
+                here.append(fallback)
+            else:
+                segments.append(compose("".join(here)))
+                here = []
+                choices.append({"repaired": compose(repaired), "fallback": compose(fallback), "token": compose(token), "certain": certain, "mixed": mixed})
+        here.append(folded[done:])
+        segments.append(compose("".join(here)))
+        return segments, choices, sorted(words)
 
-def fold(text: str) -> str:
-    """Wide forms, kinds of space and widthless characters set aside; accents in their decomposed form."""
-    return text if text.isascii() else unicodedata.normalize("NFD", text.translate(FOLDS))
 
+def _spans(codes) -> str:
+    """The inside of a character class."""
+    out, codes = [], sorted(codes)
+    for i, c in enumerate(codes):
+        if not i or c != codes[i - 1] + 1:
+            out.append([c, c])
+        out[-1][1] = c
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in out)
 
-def compose(text: str) -> str:
-    return text if text.isascii() else unicodedata.normalize("NFC", text)
 
+@cache
+def reader(table: tuple[tuple[int, str], ...]) -> Reader:
+    """One per process."""
+    return Reader(dict(table))
 
-def judge(token: str) -> tuple[str, str, bool]:
-    """(repaired, fallback, certain) of a folded token with look-alikes in it.
 
-    Letters that no other script shares decide the token's script. If they are of one script, look-alikes
-    from others are put into it: that is the repair, and whether it stands is for the corpus vocabulary to
-    say (certain is False). Without such letters, or with ones of several scripts, or where the dominant
-    script lacks the letter, the token takes the Latin forms of all look-alikes.
-    """
-    fallback = token.translate(TO_LATIN)
-    shared = [c for c in token if c in SCRIPT_OF or c in LATIN_SHARED]
-    decisive = {script(c) for c in token if c.isalpha() and c not in SCRIPT_OF and c not in LATIN_SHARED}
-    if len(decisive) != 1:
-        return fallback, fallback, True
-    home = decisive.pop()
-    if home == "LATIN":
-        return fallback, fallback, True
-    if all(SCRIPT_OF.get(c) == home for c in shared):
-        return token, token, True
-    if home not in FROM_LATIN:
-        return fallback, fallback, True
-    repaired = fallback.translate(FROM_LATIN[home])
-    if any(c in LATIN_SHARED for c in repaired):
-        return fallback, fallback, True
-    return repaired, fallback, False
-
-
-def foreign_runs(folded: str) -> Iterator[tuple[int, int]]:
-    """Start and end of each run of letters that holds a letter of another script; linear in the text."""
-    done = 0
-    while m := FOREIGN.search(folded, done):
-        if not folded[m.start()].isalpha():  # signs of those blocks
-            done = m.end()
-            continue
-        start = m.start()
-        while start > done and _IN_RUN.match(folded[start - 1]):
-            start -= 1
-        done = RUN.match(folded, m.start()).end()
-        yield start, done
-
-
-def dissect(text: str) -> tuple[list[str], list[tuple[str, str]], list[str]]:
-    """(segments, open choices between them, words of the vocabulary) of one whole text."""
-    if text.isascii() or (unicodedata.is_normalized("NFC", text) and not UNEVEN.search(text)):
-        return [text], [], []
-    folded = fold(text)
-    segments, choices, words, done, here = [], [], set(), 0, []
-    memo: dict[str, tuple[str, str, bool]] = {}
-    for start, end in foreign_runs(folded):
-        token = folded[start:end]
-        if token not in memo:
-            memo[token] = judge(token)
-        repaired, fallback, certain = memo[token]
-        here.append(folded[done:start])
-        done = end
-        if certain:
-            here.append(repaired)
-            if repaired == token and any(c in SCRIPT_OF for c in token):  # written in one script other than Latin: a word repairs can aim at
-                words.add(compose(token))
-        else:
-            segments.append(compose("".join(here)))
-            here = []
-            choices.append((compose(repaired), compose(fallback)))
-    here.append(folded[done:])
-    segments.append(compose("".join(here)))
-    return segments, choices, sorted(words)
+_CHOICE = pa.struct([("repaired", pa.string()), ("fallback", pa.string()), ("token", pa.string()), ("certain", pa.bool_()), ("mixed", pa.bool_())])
 
 
-def _dissect(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+def _dissect(batches: Iterator[pa.RecordBatch], schema: pa.Schema, table: tuple, every: bool) -> Iterator[pa.RecordBatch]:
+    read = reader(table)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):  # a few texts at a time, whole, however long they are
             part = batch.slice(lo, 256)
-            found = [dissect(t) for t in part.column(1).to_pylist()]
-            choices = [[{"repaired": a, "fallback": b} for a, b in c] for _, c, _ in found]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([s for s, _, _ in found], schema.field(2).type), pa.array(choices, schema.field(3).type), pa.array([w for _, _, w in found], schema.field(4).type)], schema=schema)
+            segments, choices, words = zip(*(read.dissect(t, every) for t in part.column(1).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(segments, schema.field(2).type), pa.array(choices, schema.field(3).type), pa.array(words, schema.field(4).type)], schema=schema)
 
 
 def canonical_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
-    """(doc_id, raw_hash, form_hash[, form]): each text's one form and the 128-bit hashes of both.
+    """(doc_id, raw_hash, form_hash[, form, repaired]): each text's one form and the 128-bit hashes of both.
 
     Texts have equal forms exactly when they read alike character by character once wide forms, characters
-    without width, kinds of space, the order and composition of accents, ligatures and look-alike letters of
-    other scripts are set aside. Case, accents, digits and raised digits, other letters and word order stay.
-
-    1. Each text is folded and its tokens with foreign look-alikes are judged by the letters that only one
-       script has (``judge``). ASCII texts pass through at once.
-    2. Tokens of mixed script get their repair only when it occurs in the corpus vocabulary: the words written
-       in one non-Latin script throughout. The distinct repairs in question are semi-joined with it; both are
-       reduced by partial aggregation first, and neither goes to the driver.
+    without width, kinds of space, the order and composition of accents, ligatures and look-alike letters are set
+    aside. Case, accents, digits and raised digits, other letters and word order stay.
+
+    1. Each text is folded and its tokens with letters of other scripts are judged by the letters that only one
+       script has (``Reader.judge``). ASCII texts pass through at once.
+    2. Tokens of mixed script get their repair only when it occurs in the corpus vocabulary: words written in one
+       script throughout. The distinct repairs in question are semi-joined with it; both are reduced by partial
+       aggregation first, and neither goes to the driver.
     3. The texts in question are put together again. All others are finished after step 1.
 
+    ``repaired`` is what this rule alone gives. It cannot make all texts equal that read alike: tokens of look-alikes
+    only are of one script, and two disguises of a word that nobody wrote plainly have no vocabulary to go to.
+    In ``form`` such tokens take the Latin, or most common, letter of each look-alike.
+
     doc_id must be an integer. Nulls: null and empty texts are no cases and get no row. A text of nothing but
     widthless characters has the empty form. Repeated texts get equal hashes, repeated ids a row each only if
     they are unique; an empty table gives no rows. Other columns are not read.
     """
-    schema = pa.schema([
-        ("doc_id", pa.int64()), ("raw_hash", pa.string()), ("segments", pa.list_(pa.string())),
-        ("choices", pa.list_(pa.struct([("repaired", pa.string()), ("fallback", pa.string())]))), ("words", pa.list_(pa.string())),
-    ])
+    ddl = "doc_id bigint, raw_hash string, segments array<string>, choices array<struct<repaired:string,fallback:string,token:string,certain:boolean,mixed:boolean>>, words array<string>"
+    schema = pa.schema([("doc_id", pa.int64()), ("raw_hash", pa.string()), ("segments", pa.list_(pa.string())), ("choices", pa.list_(_CHOICE)), ("words", pa.list_(pa.string()))])
+    table = tuple(sorted(lookalikes(documents.sparkSession).items()))
     texts = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("raw_hash")).where("length(text) > 0")
-    parts = texts.mapInArrow(lambda b: _dissect(b, schema), "doc_id bigint, raw_hash string, segments array<string>, choices array<struct<repaired:string,fallback:string>>, words array<string>")
+    parts = texts.mapInArrow(lambda b: _dissect(b, schema, table, keep_text), ddl)
     whole = F.element_at("segments", 1)
     settled = F.size("choices") == 0
     kept = parts.select(
@@ -182,14 +253,29 @@ def canonical_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     kept = written(kept, "dissected")
     open_texts = kept.where("form_hash is null")
     asked = open_texts.select("doc_id", F.posexplode("choices").alias("at", "choice")).select("doc_id", "at", "choice.*")
-    vocabulary = kept.select(F.explode("words").alias("repaired")).distinct()
-    known = vocabulary.join(asked.select("repaired").distinct(), "repaired", "left_semi").withColumn("known", F.lit(True))
-    decided = asked.join(known, "repaired", "left").select("doc_id", F.struct("at", F.when(F.col("known"), F.col("repaired")).otherwise(F.col("fallback")).alias("word")).alias("c"))
-    words = decided.groupBy("doc_id").agg(F.expr("transform(array_sort(collect_list(c)), x -> x.word)").alias("chosen"))
-    form = F.expr("array_join(zip_with(segments, chosen, (s, c) -> concat(s, coalesce(c, ''))), '')")
-    rebuilt = open_texts.join(words, "doc_id").withColumn("form", form).withColumn("form_hash", F.md5("form"))
-    columns = ["doc_id", "raw_hash", "form_hash", *(["form"] if keep_text else [])]
-    return kept.where("form_hash is not null").select(columns).unionByName(rebuilt.select(columns))
+    wanted = asked.select("repaired").distinct()
+    vocabulary = kept.select(F.explode("words").alias("repaired"))
+    if keep_text:  # Latin words decide no form, but they do decide repairs
+        plain = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}[\p{L}\p{Mn}]*)"), 1))).alias("repaired"))
+        vocabulary = vocabulary.unionByName(plain.where(F.col("repaired").rlike(r"^[\p{IsLatin}\p{Mn}]+$")))
+    known = vocabulary.join(wanted, "repaired", "left_semi").distinct().withColumn("known", F.lit(True))
+    decided = asked.join(known, "repaired", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    word = F.when(~F.col("certain") & F.col("known"), F.col("repaired")).otherwise(F.col("fallback"))
+    strict = F.when(F.col("mixed") & F.col("known"), F.col("repaired")).otherwise(F.col("token"))
+    words = decided.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", word.alias("word"), strict.alias("strict")))).alias("chosen"))
+    joined = lambda c: F.expr(f"array_join(zip_with(segments, transform(chosen, x -> x.{c}), (s, c) -> concat(s, coalesce(c, ''))), '')")
+    rebuilt = open_texts.drop("form").join(words, "doc_id").withColumn("form", joined("word")).withColumn("repaired", joined("strict")).withColumn("form_hash", F.md5("form"))
+    columns = ["doc_id", "raw_hash", "form_hash", *(["form", "repaired"] if keep_text else [])]
+    done = kept.where("form_hash is not null")
+    done = done.withColumn("repaired", F.col("form")) if keep_text else done
+    return done.select(columns).unionByName(rebuilt.select(columns))
+
+
+def look_classes(forms: DataFrame) -> DataFrame:
+    """(doc_id, class_id, texts): one row per document: the least document that looks like it, and how many different
+    texts look so. Equal to all pairs of ``lookalike_pairs``, in as many rows as there are documents."""
+    of_class = forms.groupBy("form_hash").agg(F.min("doc_id").alias("class_id"), F.countDistinct("raw_hash").alias("texts"))
+    return forms.select("doc_id", "form_hash").join(of_class, "form_hash").select("doc_id", "class_id", "texts")
 
 
 def lookalike_pairs(forms: DataFrame) -> DataFrame:

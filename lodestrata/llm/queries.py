@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.functions.cleaning import clean_key
-from lodestrata.llm.lookalikes import canonical_texts, lookalike_pairs
+from lodestrata.llm.lookalikes import canonical_texts, look_classes, lookalike_pairs
 from lodestrata.llm.mixing import Target, mixture, quality_weight, shares
 from lodestrata.llm.packing import pack_documents
 from lodestrata.llm.tokens import sized
@@ -63,5 +63,10 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike_pairs(canonical_texts(table(spark, sf_dir, "documents"), keep_text=False))
 
 
-QUERIES = {f.__name__: f for f in (p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_forms)}
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with its class of texts that look the same: what p10_found says, without all pairs."""
+    return look_classes(canonical_texts(table(spark, sf_dir, "documents"), keep_text=False))
+
+
+QUERIES = {f.__name__: f for f in (p8_packed, p8_fill, p9_mixture, p9_shares, p10_found, p10_forms, p10_classes)}
 ORACLE: dict[str, str] = {}

@@ -40,5 +40,5 @@ def token_count(text: str | Column, path: str = VOCABULARY) -> Column:
 
 
 def sized(documents: DataFrame, doc_id: str, text: str, path: str = VOCABULARY, **more: Column) -> DataFrame:
-    """(doc_id, tokens, more...) spread over the cluster: few large files would else be few tasks."""
+    """(doc_id, tokens, more...): one pass over the texts, in the tasks that read them; ``path`` must exist on every worker."""
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), *(c.alias(n) for n, c in more.items())).select("doc_id", *more, token_count("__text", path).alias("tokens"))

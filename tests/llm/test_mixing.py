@@ -15,7 +15,7 @@ def many(n=2000):
 
 @pytest.mark.parametrize("bucket", [100_000, 17])
 def test_shares_caps_and_epochs(spark, monkeypatch, bucket):
-    monkeypatch.setattr("lodestrata.llm.mixing.BUCKET_ROWS", bucket)
+    monkeypatch.setattr("lodestrata.llm.mixing.SORT_ROWS", bucket)
     targets = [Target("a", 0.5, 1), Target("b", 0.2, 3), Target("c", 0.3, 2), Target("none", 0.0, 5)]
     data = many()
     have = Counter()
@@ -40,7 +40,7 @@ def test_shares_caps_and_epochs(spark, monkeypatch, bucket):
 def test_same_selection_however_bucketed(spark, monkeypatch):
     t = [Target("a", 0.2, 1), Target("b", 0.8, 1)]
     one = {(r.doc_id, r.repeats) for r in mixture(docs(spark, many()), t).collect()}
-    monkeypatch.setattr("lodestrata.llm.mixing.BUCKET_ROWS", 9)
+    monkeypatch.setattr("lodestrata.llm.mixing.SORT_ROWS", 9)
     assert one == {(r.doc_id, r.repeats) for r in mixture(docs(spark, many()).repartition(7), t).collect()}
 
 
@@ -65,7 +65,34 @@ def test_dirty_and_empty(spark):
     assert mixture(docs(spark, data), []).count() == 0
 
 
+def test_sorted_piece_stays_small_whatever_the_weights(spark, monkeypatch):
+    """A third of the records with the least weight lie far from the others' keys."""
+    from pyspark.sql import functions as F
+
+    from lodestrata.llm import mixing
+
+    monkeypatch.setattr(mixing, "SORT_ROWS", 50)
+    n = 30_000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(1).cast("bigint").alias("tokens"), F.when(F.expr("id % 10 < 3"), 0.05).otherwise(1.0).alias("weight"))
+    key = -F.log((F.shiftrightunsigned(F.xxhash64(F.lit(17), F.lit("mix"), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)) / F.col("weight")
+    keyed = df.withColumn("key", key)
+    keys = sorted(r.key for r in keyed.collect())
+    for rest in (1, 20_000, 24_000, n - 1):
+        low, high, before = mixing.limit_pieces(keyed, {"a": rest}, {"a": n})["a"]
+        assert 0 < sum(low <= k <= high for k in keys) <= 50 and sum(k < low for k in keys) == before <= rest <= sum(k <= high for k in keys)
+        got = {r.doc_id for r in mixture(df, [Target("a", 1.0, 1)], total=rest).collect()}
+        assert got == {r.doc_id for r in keyed.orderBy("key").limit(rest).collect()}
+
+
+def test_equal_keys_end_the_cutting(spark, monkeypatch):
+    monkeypatch.setattr("lodestrata.llm.mixing.SORT_ROWS", 5)
+    got = mixture(docs(spark, [(7, "a", 2, 1.0, "")] * 40), [Target("a", 1.0, 1)], total=41).collect()
+    assert sum(r.tokens * r.repeats for r in got) in (40, 42)
+
+
 def test_quality(spark):
-    texts = [("word " * 60,), ("1234 5678 " * 30,), ("",), (None,), ("hi",)]
+    prose = "The service was slow this morning and several customers wrote to us about it. We found the cause after an hour. "
+    texts = [(prose * 3,), ("word " * 300,), ("1234 5678 " * 30,), ("<td>a</td>|{x}={y}|" * 30,), ("x" * 500,), ("",), (None,), ("hi",), (prose * 400,)]
     got = [r.w for r in spark.createDataFrame(texts, "t string").select(quality_weight("t").alias("w")).collect()]
-    assert got[0] == 1.0 and got[1] < 0.4 and got[2:] == [0.05, 0.05, 0.05]
+    assert got[0] > 0.9 and got[8] > 0.2
+    assert all(w < 0.6 for w in got[1:8]) and got[5:7] == [0.05, 0.05]
