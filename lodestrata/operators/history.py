@@ -153,8 +153,9 @@ def attribute_history(snapshots: DataFrame, key: Column, day: Column, attributes
         .agg(F.max("__row").alias("__row"))
         .select("__key", "__day", *(F.col(f"__row.`{n}`").alias(n) for n in names))
     )
-    marked = latest.withColumn("__leaf", F.pmod(F.xxhash64(F.lit("leaf"), "__key"), F.lit(LEAVES)).cast("int")).withColumn("__hash", F.xxhash64("__key", *names))
-    placed = together(marked, "__key").sortWithinPartitions("__day")
+    # digests are taken after the exchange: hashes do not compress
+    marked = together(latest, "__key").withColumn("__leaf", F.pmod(F.xxhash64(F.lit("leaf"), "__key"), F.lit(LEAVES)).cast("int")).withColumn("__hash", F.xxhash64("__key", *names))
+    placed = marked.sortWithinPartitions("__day")
     text = pa.string()
     out = pa.schema([(key_name, text), *((n, text) for n in names), ("valid_from", pa.date32()), ("valid_to", pa.date32()), ("last_seen", pa.date32())])
     ddl = ", ".join(f"`{n}` string" for n in (key_name, *names)) + ", valid_from date, valid_to date, last_seen date"
