@@ -4,7 +4,9 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.operators.rolling import rolling_totals, two_stack
+from pyspark.sql import functions as F
+
+from lodestrata.operators.rolling import Monoid, rolling_totals, two_stack
 from tests.conftest import rows
 
 D = dt.date(2024, 1, 1)
@@ -32,6 +34,21 @@ def test_quiet_days_and_edges(spark):
     assert got["b", day(3)].v_3d == 1.5
 
 
+def test_other_monoids_and_keys(spark):
+    """A real value equal to the identity is a value; any ufunc and key type will do."""
+    least = np.iinfo(np.int64).min
+    data = [(dt.date(2024, 5, 1), day(0), 4, least), (dt.date(2024, 5, 1), day(2), 6, None), (dt.date(2024, 5, 1), day(3), 9, None)]
+    df = spark.createDataFrame(data, "e date, d date, n bigint, m bigint")
+    gcd = Monoid(np.gcd, 0, 0.0, F.max, 0)
+    longest = Monoid(lambda a, b: max(a, b, key=abs), 0, 0.0, F.max)
+    got = rolling_totals(df.withColumn("k", F.col("n")), "e", "d", {"n": gcd, "m": "max", "k": longest}, (3,)).orderBy("d").collect()
+    assert [r.n_3d for r in got] == [4, 4, 2, 3]
+    assert [r.m_3d for r in got] == [least, least, least, None]
+    assert [r.k_3d for r in got] == [4, 4, 6, 9]
+    decimals = spark.createDataFrame([(1, day(0), 2.5)], "e int, d date, v double").withColumn("e", F.col("e").cast("decimal(5,2)"))
+    assert rolling_totals(decimals, "e", "d", {"v": "product"}, (3,)).first().v_3d == 2.5
+
+
 def test_many_entities_equal_brute_force(spark):
     rng = np.random.default_rng(3)
     data = [(f"e{rng.integers(40)}", day(int(rng.integers(200))), int(rng.integers(-5, 6))) for _ in range(3000)]
