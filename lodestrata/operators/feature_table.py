@@ -14,28 +14,32 @@ def feature_table(records: DataFrame, entity: str, kind: str, day: str, amount:
 
     One pass over the records by partial aggregation: map tasks reduce them to one partial row per entity
     and kind, so what moves is bounded by entities x kinds, and a hot entity by the number of kinds. The
-    partials of an entity then meet in its partition and conditional count, maximum-time and sum expressions
-    spread them over the columns in one grouped aggregation, without another exchange: wide rows never move.
+    partials of an entity then meet in its partition, where the conditional count, maximum-time and sum
+    of each listed kind are taken in one grouped aggregation, without another exchange: wide rows never move. The
+    conditions all ask for one value of the kind, so they are stated as a pivot over the fixed list: Spark then finds
+    a partial's column by one lookup in place of a test of every column, and the time of a row does not grow with
+    the list. Taken straight from the records, the same expressions would move a row of all columns per entity
+    and map task.
 
     Nulls: records without entity are left out. A kind not in the list, or none, counts under ``other``. A
     null day does not count for the latest day, a null amount not for the total; the total of a kind without
     amounts is null, the number of a kind without records 0. Repeated rows count each time. An empty input
     gives no rows. Days come out as they come in (cast to date); columns not named are not read.
     """
-    slots = {k: i for i, k in enumerate(kinds)}
-    table = F.create_map(*(x for k, i in slots.items() for x in (F.lit(k), F.lit(i))))
+    rank = F.when(F.col("__kind").isin(list(kinds)), F.col("__kind")).otherwise(F.lit(other))
     partial = (
         records.where(F.col(entity).isNotNull())
-        .groupBy(F.col(entity).alias("__e"), F.col(kind).alias("__kind"))
-        .agg(F.count(F.lit(1)).alias("__n"), F.max(F.col(day).cast("date")).alias("__last"), F.sum(amount).alias("__total"))
+        .select(F.col(entity).alias("__e"), F.col(kind).alias("__kind"), F.col(day).cast("date").alias("__day"), F.col(amount).alias("__amount"))
+        .withColumn("__kind", rank)
+        .groupBy("__e", "__kind")
+        .agg(F.count(F.lit(1)).alias("__n"), F.unix_date(F.max("__day")).alias("__last"), F.sum("__amount").alias("__total"))
         .repartition("__e")
     )
-    coded = partial.withColumn("__slot", F.coalesce(F.try_element_at(table, F.col("__kind")), F.lit(len(kinds))))
-    wide = []
-    for i, name in enumerate([*kinds, other]):
-        mine = F.col("__slot") == i
-        wide.append(F.coalesce(F.sum(F.when(mine, F.col("__n"))), F.lit(0)).alias(f"{name}_n"))
-        wide.append(F.max(F.when(mine, F.col("__last"))).alias(f"{name}_last"))
+    names = [*kinds, other]
+    wide = partial.groupBy("__e").pivot("__kind", names).agg(F.first("__n").alias("n"), F.first("__last").alias("last"), F.first("__total").alias("total"))
+    columns = []
+    for name in names:
+        columns += [F.coalesce(F.col(f"`{name}_n`"), F.lit(0)).cast("bigint").alias(f"{name}_n"), F.date_from_unix_date(f"`{name}_last`").alias(f"{name}_last")]
         if name in with_amount:
-            wide.append(F.sum(F.when(mine, F.col("__total"))).alias(f"{name}_total"))
-    return coded.groupBy(F.col("__e").alias(entity)).agg(*wide)
+            columns.append(F.col(f"`{name}_total`").alias(f"{name}_total"))
+    return wide.select(F.col("__e").alias(entity), *columns)

@@ -130,13 +130,15 @@ def p6_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def records(name: str, number: str, prefix: str, kind, day: str, amount) -> DataFrame:
         tagged = F.concat(F.lit(f"{prefix}_"), F.coalesce(kind, F.lit("untyped")))
-        rows = table(spark, sf_dir, name).select(number, sid, tagged.alias("kind"), F.col(day).cast("date").alias("day"), amount.alias("amount"))
-        return rows.where("subscription_id is not null").dropDuplicates([number]).drop(number)
+        rows = table(spark, sf_dir, name).select(F.col(number).alias("number"), sid, tagged.alias("kind"), F.col(day).cast("date").alias("day"), amount.alias("amount"))
+        return rows.where("subscription_id is not null")
 
+    # a record that arrives twice is the same once keys and words are clean, so equal rows are one record
     every = (
         records("subscription_events", "event_no", "event", clean_word("event_type"), "event_date", none)
         .unionByName(records("limit_events", "hit_no", "limit", clean_word("limit_type"), "hit_at", none))
         .unionByName(records("invoices", "invoice_no", "invoice", clean_key("status"), "invoice_date", _micro("amount_usd")))
+        .distinct()
     )
     wide = feature_table(every, "subscription_id", "kind", "day", "amount", [*EVENT_KINDS, *LIMIT_KINDS, *INVOICE_KINDS], INVOICE_KINDS)
     money = {f"{k}_total": F.col(f"{k}_total") / MICRO for k in INVOICE_KINDS}
