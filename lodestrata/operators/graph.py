@@ -9,6 +9,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.operators.temporal import numbered_within
 from lodestrata.session import written
 
 
@@ -115,45 +116,72 @@ def undirected(edges: DataFrame, distance: str) -> DataFrame:
     return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), w.alias("w")).groupBy("a", "b").agg(F.max("w").alias("weight"))
 
 
-def propagate_labels(links: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, label): communities by synchronous weighted label propagation, deterministic.
+def _whole(weight: str = "weight") -> Column:
+    """A weight in whole millionths: sums are exact and the same in any order."""
+    return F.floor(F.col(weight) * 1_000_000 + 0.5).cast("decimal(20,0)")
 
-    Each node takes the label with the most weight among its neighbours and itself (its own counts half the
-    weight of its heaviest link, which keeps two nodes from swapping labels for ever); ties go to the least
-    label. A label's weight is an aggregate with partial sums, so hubs are reduced before they move. Weights
-    are added as whole millionths, so the order of adding does not matter. Each round is written once.
+
+def merge_communities(links: DataFrame, rounds: int = 200) -> DataFrame:
+    """(node, label): communities of an undirected graph (a, b, weight), by greedy merging for modularity.
+
+    Every node starts on its own. In each round every community picks the neighbour with which a merger gains most
+    modularity, if any gains; pairs that picked each other merge. The gains of disjoint pairs add up, so modularity
+    rises with each round, and the best pair of all always picks each other, so the rounds end: when no merger
+    gains. Ties go to the pair of least labels; gains are whole numbers, so the result is the same at every run. A
+    community is named by its least node.
+
+    Works on the contracted graph: a round is one aggregate over community links and two joins, and is written to the
+    shared folder. Picks are partial maxima, so a hub is reduced before it moves. Raises after ``rounds``.
     """
-    both = links.select(F.col("a").alias("x"), F.col("b").alias("y"), "weight").union(links.select("b", "a", "weight"))
-    both = both.withColumn("weight", F.floor(F.col("weight") * 1_000_000 + 0.5))
-    own = both.groupBy("x").agg(F.max("weight").alias("weight"))
-    votes_to = written(both.union(own.select("x", F.col("x").alias("y"), (F.col("weight") / 2).cast("bigint").alias("weight"))), "links")
-    state = written(own.select(F.col("x").alias("node"), F.col("x").alias("label")), "labels")
+    both = links.where("a <> b").select("a", "b", _whole().alias("w"))
+    both = written(both.union(both.select("b", "a", "w")), "links")
+    nodes = written(both.groupBy(F.col("a").alias("label")).agg(F.sum("w").cast("decimal(20,0)").alias("deg")), "communities")
+    total = nodes.agg(F.sum("deg")).first()[0]
+    members, edges = nodes.select(F.col("label").alias("node"), "label"), both
+    if total is None:
+        return members
     for _ in range(rounds):
-        votes = votes_to.join(state, votes_to["y"] == state["node"]).groupBy("x", "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("x").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b")).select(F.col("x").alias("node"), F.col("b.label").alias("label"))
-        new = written(best, "labels")
-        moved = new.join(state.withColumnRenamed("label", "old"), "node").where("label <> old")
-        state = new
-        if moved.isEmpty():
-            break
-    return state
+        ends = [nodes.select(F.col("label").alias(x), F.col("deg").alias(f"deg_{x}")) for x in ("a", "b")]
+        gain = F.lit(total).cast("decimal(20,0)") * F.col("w") - F.col("deg_a") * F.col("deg_b")
+        gains = edges.join(ends[0], "a").join(ends[1], "b").select("a", "b", gain.alias("gain")).where("gain > 0")
+        best = gains.groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("g"), F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))).alias("p"))
+        # the community picked by both its ends
+        pairs = best.groupBy("p.x", "p.y").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select(F.col("y").alias("label"), F.col("x").alias("into"))
+        pairs = written(pairs, "mergers")
+        if pairs.isEmpty():
+            return members
+        moved = lambda df, c: df.join(pairs.withColumnRenamed("label", c), c, "left").withColumn(c, F.coalesce("into", c)).drop("into")  # noqa: B023, E731
+        members = written(moved(members, "label"), "members")
+        nodes = written(moved(nodes, "label").groupBy("label").agg(F.sum("deg").cast("decimal(20,0)").alias("deg")), "communities")
+        edges = written(moved(moved(edges, "a"), "b").where("a <> b").groupBy("a", "b").agg(F.sum("w").cast("decimal(20,0)").alias("w")), "community-links")
+    raise RuntimeError(f"communities did not settle in {rounds} rounds")
 
 
 def ranked_groups(members: DataFrame, label: str = "label", node: str = "node") -> DataFrame:
-    """Members with ``cohort`` 1, 2, ...: groups by size, larger first, then by least member."""
+    """Members with ``cohort`` 1, 2, ...: groups by size, larger first, then by least member (a whole number).
+
+    Groups are numbered within their size, in ranges of members, and larger sizes are counted before: only the
+    distinct sizes, few by nature, meet in one task.
+    """
     groups = members.groupBy(label).agg(F.count(F.lit(1)).alias("size"), F.min(node).alias("least"))
-    order = Window.orderBy(F.desc("size"), "least")  # one row per group
-    return members.join(groups.withColumn("cohort", F.row_number().over(order)), label).select(node, "cohort", "size")
+    numbered = numbered_within(groups, "size", F.floor(F.col("least") / 1_000_000), [F.col("least")], "place")
+    sizes = groups.groupBy("size").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, -1))  # a row per distinct size
+    offsets = sizes.select("size", F.coalesce(before, F.lit(0)).alias("before"))
+    ranked = numbered.join(offsets, "size").select(label, "size", (F.col("before") + F.col("place")).cast("int").alias("cohort"))
+    return members.join(ranked, label).select(node, "cohort", "size")
 
 
 def modularity(links: DataFrame, membership: DataFrame, group: str = "cohort") -> DataFrame:
-    """(modularity): weighted, of an undirected graph (a, b, weight) and (node, group)."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("node"), "weight").groupBy("node").agg(F.sum("weight").alias("degree"))
-    totals = ends.join(membership, "node").groupBy(group).agg(F.sum("degree").alias("degree"))
+    """(modularity): weighted, of an undirected graph (a, b, weight) and (node, group), to nine digits."""
+    whole = links.select("a", "b", _whole().alias("w"))
+    ends = whole.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.sum("w").cast("decimal(20,0)").alias("degree"))
+    totals = ends.join(membership, "node").groupBy(group).agg(F.sum("degree").cast("decimal(19,0)").alias("degree"))
     ma, mb = membership.select(F.col("node").alias("a"), F.col(group).alias("ga")), membership.select(F.col("node").alias("b"), F.col(group).alias("gb"))
-    inner = links.join(ma, "a").join(mb, "b").agg(F.sum(F.when(F.col("ga") == F.col("gb"), F.col("weight"))).alias("inside"), F.sum("weight").alias("m"))
-    squares = totals.agg(F.sum(F.col("degree") * F.col("degree")).alias("squares"))
-    return inner.crossJoin(squares).select((F.col("inside") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m"))).alias("modularity"))
+    inner = whole.join(ma, "a").join(mb, "b").agg(F.sum(F.when(F.col("ga") == F.col("gb"), F.col("w"))).cast("double").alias("inside"), F.sum("w").cast("double").alias("m"))
+    squares = totals.agg(F.sum(F.col("degree") * F.col("degree")).cast("double").alias("squares"))
+    q = F.col("inside") / F.col("m") - F.col("squares") / (4 * F.col("m") * F.col("m"))
+    return inner.crossJoin(squares).select((F.floor(q * 1e9 + 0.5) / 1e9).alias("modularity"))  # one row x one row
 
 
 def hidden_unless(visible: Column, value: Column, otherwise: Column) -> Column:

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.operators.temporal import numbered_within
+from lodestrata.session import written
+
 
 def neighbour_rate(edges: DataFrame, labels: DataFrame, label: str, allowed: Column | None = None, prior: float = 0.0, weight: float = 0.0) -> DataFrame:
     """(src, score): the share of a row's neighbours with the label, smoothed towards ``prior`` by ``weight`` rows.
@@ -23,38 +26,49 @@ def neighbour_rate(edges: DataFrame, labels: DataFrame, label: str, allowed: Col
     return seen.groupBy("src").agg(((k + prior * weight) / (n + weight)).alias("score"))
 
 
-def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, ridge: float = 1.0, rounds: int = 12) -> np.ndarray:
-    """Coefficients (intercept first) by Newton steps with L2. Each step is one pass: tasks send a gradient and a
-    Hessian of the number of features squared, whatever the number of rows; the driver solves that system."""
-    d = len(features) + 1
-    beta = np.zeros(d)
-    data = rows.select(*(F.col(c).cast("double").alias(c) for c in features), F.col(label).cast("double").alias("__y")).na.drop()
+def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Coefficients (intercept first) by Newton steps with L2, until they move less than 1e-8; raises after ``rounds``."""
+    return fit_folds(rows.withColumn("__fold", F.lit(-1)), [list(features)], label, "__fold", ridge, rounds)[0]
+
 
-    def step(now: np.ndarray) -> np.ndarray:
+def fit_folds(rows: DataFrame, features: Sequence[Sequence[str]], label: str, fold: str, ridge: float = 1.0, rounds: int = 50) -> list[np.ndarray]:
+    """One model per entry of ``features``: the i-th is fitted on the rows whose fold is not i, on its own columns.
+
+    All models take each Newton step in one pass: a task sends a gradient and a Hessian per model, of the number of
+    features squared, whatever the number of rows; the driver solves those systems.
+    """
+    d = len(features[0]) + 1
+    betas = [np.zeros(d) for _ in features]
+    every = sorted({c for f in features for c in f})
+    lists = [list(f) for f in features]
+    data = rows.select(*(F.col(c).cast("double").alias(c) for c in every), F.col(label).cast("double").alias("__y"), F.col(fold).alias("__f")).na.drop()
+
+    def step(now: list[np.ndarray]) -> list[np.ndarray]:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((d, d + 1))
+            total = np.zeros((len(now), d, d + 1))
             for b in batches:
-                x = np.column_stack((np.ones(len(b)), b[list(features)].to_numpy()))
-                p = 1 / (1 + np.exp(-np.clip(x @ now, -30, 30)))
-                total[:, :d] += (x * (p * (1 - p))[:, None]).T @ x
-                total[:, d] += x.T @ (b["__y"].to_numpy() - p)
-            yield pd.DataFrame({"at": np.arange(d * (d + 1)), "v": total.ravel()})
-
-        sums = data.mapInPandas(part, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # d x (d + 1) rows
-        out = np.zeros(d * (d + 1))
+                for i, (beta, mine) in enumerate(zip(now, lists, strict=True)):
+                    train = b[b["__f"] != i]
+                    x = np.column_stack((np.ones(len(train)), train[mine].to_numpy()))
+                    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+                    total[i, :, :d] += (x * (p * (1 - p))[:, None]).T @ x
+                    total[i, :, d] += x.T @ (train["__y"].to_numpy() - p)
+            yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+        sums = data.mapInPandas(part, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # models x d x (d + 1) rows
+        out = np.zeros(len(now) * d * (d + 1))
         for r in sums:
             out[r["at"]] = r["v"]
-        return out.reshape(d, d + 1)
+        return list(out.reshape(len(now), d, d + 1))
 
     penalty = ridge * np.eye(d)
     penalty[0, 0] = 0
     for _ in range(rounds):
-        m = step(beta)
-        move = np.linalg.solve(m[:, :d] + penalty + 1e-9 * np.eye(d), m[:, d] - penalty @ beta)
-        beta = beta + move
-        if np.abs(move).max() < 1e-8:
-            break
-    return beta
+        moves = [np.linalg.solve(m[:, :d] + penalty + 1e-9 * np.eye(d), m[:, d] - penalty @ beta) for m, beta in zip(step(betas), betas, strict=True)]
+        betas = [b + m for b, m in zip(betas, moves, strict=True)]
+        if max(np.abs(m).max() for m in moves) < 1e-8:
+            return betas
+    raise RuntimeError(f"the regression did not settle in {rounds} steps")
 
 
 def logistic_score(features: Sequence[str], beta: np.ndarray) -> Column:
@@ -64,11 +78,51 @@ def logistic_score(features: Sequence[str], beta: np.ndarray) -> Column:
     return 1 / (1 + F.exp(-z))
 
 
+def stratified_folds(rows: DataFrame, key: str, label: str, folds: int, seed: int, name: str = "fold") -> DataFrame:
+    """Rows with a fold 0..folds-1: within each label the rows are dealt out in the order of a hash of seed and key, so
+    every fold has its share of each label, to one row. Ranges of hashes are numbered by different tasks."""
+    mixed = F.xxhash64(F.lit(seed), key)
+    dealt = numbered_within(rows.withColumn("__mix", mixed), label, F.shiftright("__mix", 52), [F.col("__mix"), F.col(key)], "__place")
+    return dealt.withColumn(name, F.pmod(F.col("__place"), F.lit(folds)).cast("int")).drop("__mix", "__place")
+
+
 def out_of_fold(rows: DataFrame, key: str, features: Sequence[str], label: str, folds: int = 5, seed: int = 1) -> DataFrame:
-    """(key, label, fold, score): each row scored by a model that was fitted on the other folds (by hash of the key)."""
-    marked = rows.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(folds)).cast("int"))
-    score = None
-    for f in range(folds):
-        s = logistic_score(features, fit_logistic(marked.where(F.col("fold") != f), features, label))
-        score = F.when(F.col("fold") == f, s) if score is None else score.when(F.col("fold") == f, s)
-    return marked.select(key, label, "fold", score.alias("score"))
+    """(key, label, fold, score): each row scored by a model that was fitted on the other folds."""
+    marked = written(stratified_folds(rows, key, label, folds, seed), "folds")
+    betas = fit_folds(marked, [features] * folds, label, "fold")
+    return marked.select(key, label, "fold", _by_fold([logistic_score(features, b) for b in betas]).alias("score"))
+
+
+def _by_fold(scores: Sequence[Column]) -> Column:
+    out = None
+    for f, s in enumerate(scores):
+        out = F.when(F.col("fold") == f, s) if out is None else out.when(F.col("fold") == f, s)
+    return out
+
+
+def cross_validated(rows: DataFrame, key: str, features: Sequence[str], label: str, neighbours: dict[str, DataFrame | None], folds: int = 5, repeats: int = 3) -> DataFrame:
+    """(variant, repeat, fold, key, label, score): held-out scores over ``repeats`` stratified splits into ``folds``.
+
+    neighbours: variant -> edges (src, dst) whose label rate becomes one more feature, or None for none. The rate of a
+    row counts neighbours of the training folds only, smoothed by one row of the training rate, so no label of a
+    test fold is in any feature of its model: counts are taken per fold once and the test fold's are left out.
+    """
+    out = None
+    for repeat in range(repeats):
+        marked = written(stratified_folds(rows, key, label, folds, 1 + repeat), "folds")
+        base = {r.fold: (r.n, r.k) for r in marked.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("k")).collect()}  # a row per fold
+        all_n, all_k = (sum(v[i] for v in base.values()) for i in (0, 1))
+        labels = marked.select(F.col(key).alias("dst"), F.col(label).cast("double").alias("__l"), F.col("fold").alias("__f"))
+        for name, edges in neighbours.items():
+            table, used = marked, [list(features)] * folds
+            if edges is not None:
+                sums = [x for f in range(folds) for x in (F.sum(F.when(F.col("__f") != f, F.col("__l"))).alias(f"__k{f}"), F.count(F.when(F.col("__f") != f, 1)).alias(f"__n{f}"))]
+                counts = edges.join(labels, "dst").groupBy(F.col("src").alias(key)).agg(*sums)
+                prior = [(all_k - base[f][1]) / max(1, all_n - base[f][0]) if f in base else 0.0 for f in range(folds)]
+                rate = [((F.coalesce(f"__k{f}", F.lit(0.0)) + prior[f]) / (F.coalesce(f"__n{f}", F.lit(0)) + 1)).alias(f"__rate{f}") for f in range(folds)]
+                table = written(marked.join(counts, key, "left").select(key, label, "fold", *features, *rate), "rates")
+                used = [[*features, f"__rate{f}"] for f in range(folds)]
+            betas = fit_folds(table, used, label, "fold")
+            scored = table.select(F.lit(name).alias("variant"), F.lit(repeat).alias("repeat"), "fold", key, label, _by_fold([logistic_score(u, b) for u, b in zip(used, betas, strict=True)]).alias("score"))
+            out = scored if out is None else out.unionByName(scored)
+    return out

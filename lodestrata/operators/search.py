@@ -13,12 +13,34 @@ from pyspark.sql import functions as F
 PREFIX_WEIGHT, FUZZY_WEIGHT, FUZZY_CUTOFF, EXACT_ID_BONUS = 0.7, 0.6, 0.75, 100.0
 
 
-def tokens(text: Column) -> Column:
-    """Distinct lower-case tokens: runs of letters and digits, joined runs (by _ : -) also whole."""
-    whole = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:[_:-][\p{L}\p{N}]+)*)"), 1)
-    parts = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+# Words of a question that name nothing, and the part of an id that every id has.
+STOP_WORDS = (
+    "a an the of for in on at to and or by with about from is was find show me please what which who whose look up get id ids "
+    "renewal renewals subscription subscriptions user users customer customers account sub"
+).split()
+ID_NOISE = ("sub",)
+
+
+def tokens(text: Column, without: Sequence[str] = ID_NOISE) -> Column:
+    """Distinct lower-case tokens of free text.
+
+    A word or id stays whole and is also split: at ``:``, where a day stays whole and also counts as its month, then at
+    ``_`` and ``-``; a number with leading zeros also counts without them.
+    """
+    whole = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}][\p{L}\p{N}_:%-]*)"), 1), lambda t: F.regexp_replace(t, "[_:-]+$", ""))
+    filled = lambda a: F.filter(a, lambda x: x != "")
+    pieces = filled(F.flatten(F.transform(whole, lambda t: F.split(t, ":"))))
+    is_day = lambda p: p.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    months = F.transform(F.filter(pieces, is_day), lambda p: F.substring(p, 1, 7))
+    parts = filled(F.flatten(F.transform(F.filter(pieces, lambda p: ~is_day(p)), lambda p: F.split(p, "[_-]"))))
     bare = F.transform(F.filter(parts, lambda t: t.rlike("^0+[1-9][0-9]*$")), lambda t: F.regexp_replace(t, "^0+", ""))
-    return F.array_distinct(F.concat(whole, parts, bare))
+    return F.filter(F.array_distinct(F.concat(whole, pieces, months, parts, bare)), lambda t: ~t.isin(list(without)) & (t != ""))
+
+
+def day_words(first: Column, last: Column) -> Column:
+    """Every day of a span as words: the day, its month by number and by name, short and long."""
+    days = F.sequence(first, last, F.expr("interval 1 day"))
+    return F.lower(F.array_join(F.transform(days, lambda d: F.date_format(d, "yyyy-MM-dd yyyy-MM MMMM MMM")), " "))
 
 
 def build_index(entities: DataFrame, kind: str, id_: str, text: Column) -> DataFrame:
@@ -27,7 +49,7 @@ def build_index(entities: DataFrame, kind: str, id_: str, text: Column) -> DataF
 
 
 def search(index: DataFrame, queries: DataFrame, query: str, n_entities: int | None = None, kinds: Sequence[str] = (), limit: int = 5) -> DataFrame:
-    """(query, place, kind, id, score, how): the best entities for each query text.
+    """(query, place, kind, id, score, how): the best entities for each query text; ``STOP_WORDS`` are not asked for.
 
     Each query token adds idf = ln(1 + N / df) per entity that has it; without an exact hit 0.7 x idf for each
     indexed token it begins (3 characters or more), else 0.6 x similarity x idf for its up to three closest
@@ -41,7 +63,7 @@ def search(index: DataFrame, queries: DataFrame, query: str, n_entities: int | N
     asked = queries.select(F.col(query).alias("query")).where("query is not null").distinct()
     n = index.select("kind", "id").distinct().count() if n_entities is None else n_entities
     vocabulary = index.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(1 + F.lit(float(max(1, n))) / F.col("df")))
-    wanted = asked.select("query", F.explode(tokens(F.col("query"))).alias("asked"))
+    wanted = asked.select("query", F.explode(tokens(F.col("query"), (*ID_NOISE, *STOP_WORDS))).alias("asked"))
     distinct = wanted.select("asked").distinct()
     exact = distinct.join(vocabulary, F.col("asked") == F.col("token")).select("asked", "token", F.lit(1.0).alias("w"), F.lit("token").alias("how"), "idf")
     left = distinct.join(exact.select("asked"), "asked", "left_anti").where("length(asked) >= 3")

@@ -39,6 +39,17 @@ def bounded_join(spine: DataFrame, events: DataFrame, key: str, day: str, until:
     return spine.join(right, (spine[key] == right["__key"]) & (right[day] <= until), "left").drop("__key")
 
 
+def salted_join(events: DataFrame, rows: DataFrame, key: str, spread: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Events with the row of their key, for keys that hold a large part of all events.
+
+    Events of one key are spread over ``salts`` groups by a hash of ``spread``, and each row, of which a key has few, is
+    sent to every group; so no task gets more of a key than its share. ``how``: inner or left (events stay).
+    """
+    right = rows.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = events.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    return left.join(right, [key, "__salt"], how).drop("__salt")
+
+
 def inside_any(day: str | Column, spans: Sequence[tuple[str, str]]) -> Column:
     """Whether a day lies in any of a few fixed spans, both ends included; tested in an array, without a join."""
     if not spans:

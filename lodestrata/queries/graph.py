@@ -11,9 +11,10 @@ from functools import cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.graph import components, degree_histogram, hidden_unless, modularity, propagate_labels, ranked_groups, reach, shortest_paths, split_wide, undirected, union_wide
+from lodestrata.operators.graph import components, degree_histogram, hidden_unless, merge_communities, modularity, ranked_groups, reach, shortest_paths, split_wide, undirected, union_wide
 from lodestrata.operators.similarity import feature_shares, fit_scaler, mutual_flag, nearest, z_scores
-from lodestrata.operators.temporal import numbered_within, overlapping, within
+from lodestrata.operators.temporal import half_up, numbered_within, overlapping, salted_join, within
+from lodestrata.operators.stats import Z95, rates
 from lodestrata.queries import renewals as R
 from lodestrata.session import written
 from lodestrata.sources.files import inline
@@ -31,11 +32,11 @@ def _tables(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     return {}
 
 
-def _once(spark: SparkSession, d: str, name: str, make) -> DataFrame:
+def _once(spark: SparkSession, d: str, name: str, make, by: str | None = None) -> DataFrame:
     """Tables that many of these queries share are written once a session and folder."""
     kept = _tables(spark, d)
     if name not in kept:
-        kept[name] = written(make(), name)
+        kept[name] = written(make(), name, by)
     return kept[name]
 
 
@@ -78,7 +79,7 @@ def nodes(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def node_table(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, d, "nodes", lambda: union_wide(nodes(spark, d)))
+    return _once(spark, d, "nodes", lambda: union_wide(nodes(spark, d)), "label")
 
 
 EVENT_EDGES = {"HIT_LIMIT": "LimitHit", "CHANGED_OVERAGE": "OverageChange", "CHARGED_OVERAGE": "OverageCharge", "OPENED": "Ticket", "BILLED": "BillingEvent"}
@@ -104,7 +105,7 @@ def edges(spark: SparkSession, d: str) -> dict[str, DataFrame]:
 
 
 def edge_table(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, d, "edges", lambda: union_wide(edges(spark, d), "rel_type"))
+    return _once(spark, d, "edges", lambda: union_wide(edges(spark, d), "rel_type"), "rel_type")
 
 
 def rel(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -181,15 +182,17 @@ def graph_renewals_per_subscription(spark, d):
 
 
 def _events_of(spark, d, relation: str) -> DataFrame:
+    """Renewals with their subscription's events, reduced to one row per day and kind (n of them) before they move."""
     r = gold(spark, d)
-    e = rel(spark, d, relation).select(F.col("src").alias("e_sid"), "event_date", "amount_usd", "state", "type", "outcome_evidence", "dst")
+    micro = F.round(F.col("amount_usd") * 1_000_000).cast("bigint")
+    e = rel(spark, d, relation).groupBy(F.col("src").alias("e_sid"), "event_date", "state", "type", "outcome_evidence").agg(F.count(F.lit(1)).alias("n"), F.sum(micro).alias("micro"))
     return r.join(e, r["sid"] == e["e_sid"], "left")
 
 
 def _pit(relation: str, days: int, column: str):
     def query(spark, d):
         g = _events_of(spark, d, relation).groupBy("renewal_id", column).agg(
-            F.coalesce(F.sum(F.when(within("event_date", "as_of", days), 1)), F.lit(0)).cast("bigint").alias("pit"), F.coalesce(F.sum(F.when(F.col("event_date") > F.date_sub("as_of", days), 1)), F.lit(0)).cast("bigint").alias("naive")
+            F.coalesce(F.sum(F.when(within("event_date", "as_of", days), F.col("n"))), F.lit(0)).alias("pit"), F.coalesce(F.sum(F.when(F.col("event_date") > F.date_sub("as_of", days), F.col("n"))), F.lit(0)).alias("naive")
         )
         if relation == "EXPOSED_TO":
             g = g.withColumns({c: (F.col(c) > 0).cast("bigint") for c in ("pit", "naive")})
@@ -204,8 +207,7 @@ graph_pit_incidents = _pit("EXPOSED_TO", 28, "incident_exposed_28d")
 
 
 def graph_pit_overage(spark, d):
-    micro = F.round(F.col("amount_usd") * 1_000_000).cast("bigint")
-    g = _events_of(spark, d, "CHARGED_OVERAGE").groupBy("renewal_id", "overage_usd_28d").agg(F.coalesce(F.sum(F.when(within("event_date", "as_of", 28), micro)), F.lit(0)).alias("m"))
+    g = _events_of(spark, d, "CHARGED_OVERAGE").groupBy("renewal_id", "overage_usd_28d").agg(F.coalesce(F.sum(F.when(within("event_date", "as_of", 28), F.col("micro"))), F.lit(0)).alias("m"))
     return g.select("renewal_id", F.col("overage_usd_28d").alias("gold"), (F.floor(F.col("m") / 1_000_000 * 100.0 + 0.5).cast("double") / 100.0).alias("pit"))
 
 
@@ -222,15 +224,16 @@ def graph_pit_first_after(spark, d):
 
 
 def graph_billed(spark, d):
-    c = lambda cond: F.coalesce(F.sum(F.when(cond, 1)), F.lit(0)).cast("bigint")
+    c = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     early = F.col("event_date") <= F.col("as_of")
     return _events_of(spark, d, "BILLED").groupBy("renewal_id", "route").agg(c(early).alias("on_or_before"), c(early & (F.col("type") == "cancel_scheduled")).alias("scheduled"), c(~F.col("outcome_evidence")).alias("not_outcome_evidence"))
 
 
 def graph_leak_surface(spark, d):
     r = gold(spark, d).select(F.col("sid").alias("src"), F.col("as_of").alias("cut"))
-    late = edge_table(spark, d).where(F.col("rel_type").isin(*EVENT_EDGES, "EXPOSED_TO")).join(r, "src").where("event_date > cut")
-    return late.groupBy("rel_type", "src").agg(F.count(F.lit(1)).alias("n")).groupBy("rel_type").agg(F.sum("n").alias("edges"), F.count(F.lit(1)).alias("renewals"))
+    daily = edge_table(spark, d).where(F.col("rel_type").isin(*EVENT_EDGES, "EXPOSED_TO")).groupBy("rel_type", "src", "event_date").agg(F.count(F.lit(1)).alias("n"))
+    late = daily.join(r, "src").where("event_date > cut")
+    return late.groupBy("rel_type", "src").agg(F.sum("n").alias("n")).groupBy("rel_type").agg(F.sum("n").alias("edges"), F.count(F.lit(1)).alias("renewals"))
 
 
 def graph_first_after_unknown(spark, d):
@@ -240,7 +243,7 @@ def graph_first_after_unknown(spark, d):
 def _evidence(spark, d) -> DataFrame:
     r = gold(spark, d).select("sid", "renewal_id", F.col("as_of").alias("cut"), F.col("plan_tier").alias("plan"))
     e = edge_table(spark, d).where(F.col("rel_type").isin(*EVENT_EDGES, "EXPOSED_TO"))
-    one = e.join(r, e["src"] == r["sid"]).where((F.col("event_date") <= F.col("cut")) & ~F.coalesce("outcome_evidence", F.lit(False))).select("renewal_id", "event_date", F.col("rel_type").alias("relation"), F.col("dst").alias("target_id"), F.lit(False).alias("declared_exception"))
+    one = salted_join(e, r.withColumnRenamed("sid", "src"), "src", "dst").where((F.col("event_date") <= F.col("cut")) & ~F.coalesce("outcome_evidence", F.lit(False))).select("renewal_id", "event_date", F.col("rel_type").alias("relation"), F.col("dst").alias("target_id"), F.lit(False).alias("declared_exception"))
     two = rel(spark, d, "FIRST_RENEWAL_AFTER").join(r, F.col("src") == r["renewal_id"]).select("renewal_id", "event_date", F.lit("FIRST_RENEWAL_AFTER").alias("relation"), F.col("dst").alias("target_id"), (~F.col("known_by_as_of")).alias("declared_exception"))
     cut = rel(spark, d, "CUT_CAP")
     three = r.join(cut, r["plan"] == cut["dst"]).where("event_date <= cut").select("renewal_id", "event_date", F.lit("CUT_CAP").alias("relation"), F.col("src").alias("target_id"), F.lit(False).alias("declared_exception"))
@@ -254,8 +257,8 @@ def graph_evidence(spark, d):
 
 def graph_evidence_hidden(spark, d):
     r = gold(spark, d).select("sid", "renewal_id", F.col("as_of").alias("cut"))
-    e = edge_table(spark, d).where(F.col("rel_type").isin(*EVENT_EDGES, "EXPOSED_TO")).select("src", "event_date")
-    return r.join(e, (r["sid"] == e["src"]) & (e["event_date"] > r["cut"]), "left").groupBy("renewal_id").agg(F.count("event_date").alias("hidden"))
+    e = edge_table(spark, d).where(F.col("rel_type").isin(*EVENT_EDGES, "EXPOSED_TO")).groupBy("src", "event_date").agg(F.count(F.lit(1)).alias("n"))
+    return r.join(e, (r["sid"] == e["src"]) & (e["event_date"] > r["cut"]), "left").groupBy("renewal_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hidden"))
 
 
 def graph_header(spark, d):
@@ -373,7 +376,7 @@ def graph_first_after_by_plan(spark, d):
 def _pruned(spark, d) -> tuple[DataFrame, DataFrame]:
     r = gold(spark, d).select(F.col("sid").alias("src"), F.col("as_of").alias("cut"))
     e = edge_table(spark, d).where(F.col("rel_type").isin(*EVENT_EDGES, "EXPOSED_TO"))
-    kept = e.join(r, "src").where((F.col("event_date") <= F.col("cut")) & ~F.coalesce("outcome_evidence", F.lit(False))).drop("cut", "outcome_evidence", "type")
+    kept = salted_join(e, r, "src", "dst").where((F.col("event_date") <= F.col("cut")) & ~F.coalesce("outcome_evidence", F.lit(False))).drop("cut", "outcome_evidence", "type")
     n = node_table(spark, d).where(F.col("label").isin(*EVENT_EDGES.values(), "Incident"))
     return n.join(kept.select(F.col("dst").alias("node_id")).distinct(), "node_id", "left_semi"), kept
 
@@ -385,11 +388,21 @@ def graph_pruned(spark, d):
 
 
 def graph_pruned_proof(spark, d):
-    """On the pruned graph even an unbounded count gives the gold feature: mismatches must be 0."""
+    """On the pruned graph even reads without an upper bound give the gold features: mismatches must be 0."""
     _, e = _pruned(spark, d)
-    naive = e.where("rel_type = 'HIT_LIMIT'").select("src", "event_date").join(gold(spark, d).select(F.col("sid").alias("src"), "as_of"), "src").groupBy(F.col("src").alias("sid")).agg(F.sum((F.col("event_date") > F.date_sub("as_of", 14)).cast("bigint")).alias("n"))
-    both = gold(spark, d).join(naive, "sid", "left")
-    return both.agg(F.count(F.lit(1)).alias("renewals"), F.sum((F.coalesce("n", F.lit(0)) != F.col("limit_hits_14d")).cast("bigint")).alias("mismatches"))
+    micro = F.round(F.col("amount_usd") * 1_000_000).cast("bigint")
+    daily = e.groupBy("src", "rel_type", "event_date", "state").agg(F.count(F.lit(1)).alias("n"), F.sum(micro).alias("micro"))
+    of = daily.join(gold(spark, d).select(F.col("sid").alias("src"), "as_of"), "src")
+    since = lambda r, days, x: F.coalesce(F.sum(F.when((F.col("rel_type") == r) & (F.col("event_date") > F.date_sub("as_of", days)), F.col(x))), F.lit(0))
+    last = lambda state: F.max(F.when((F.col("rel_type") == "CHANGED_OVERAGE") & (F.col("state") == state), F.col("event_date")))
+    naive = {
+        "limit_hits_14d": since("HIT_LIMIT", 14, "n"), "support_tickets_90d": since("OPENED", 90, "n"), "incident_exposed_28d": (since("EXPOSED_TO", 28, "n") > 0).cast("bigint"),
+        "overage_usd_28d": half_up(since("CHARGED_OVERAGE", 28, "micro") / 1_000_000, 2), "overage_toggled_off": F.coalesce((last("disabled") > last("enabled")).cast("bigint"), F.lit(0)),
+    }
+    found = of.groupBy(F.col("src").alias("sid")).agg(*(c.alias(f"naive_{n}") for n, c in naive.items()))
+    both = gold(spark, d).join(found, "sid", "left")
+    pairs = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("gold"), F.coalesce(F.col(f"naive_{n}").cast("double"), F.lit(0.0)).alias("naive")) for n in naive))
+    return both.select(F.inline(pairs)).groupBy("feature").agg(F.count(F.lit(1)).alias("renewals"), F.sum((F.col("gold") != F.col("naive")).cast("bigint")).alias("mismatches"))
 
 
 def similar_route_leak(spark, d):
@@ -410,38 +423,104 @@ def similar_within_two(spark, d):
     return found.groupBy("start", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _cohorts(spark, d) -> tuple[DataFrame, DataFrame]:
-    links = written(undirected(similar_all(spark, d), "dist"), "links")
-    return links, written(ranked_groups(propagate_labels(links)), "cohorts")
+def _reference_links(spark, d) -> DataFrame:
+    """The undirected graph of the reference renewals."""
+
+    def make() -> DataFrame:
+        reference = scaled(spark, d).where("route = 'model'").select(F.col("no").alias("src"))
+        return undirected(similar_all(spark, d).join(reference, "src", "left_semi"), "dist")
+
+    return _once(spark, d, "links", make)
+
+
+def _members(spark, d) -> DataFrame:
+    """(node, cohort, size, via): reference renewals in their community, others in that of their nearest neighbour."""
+
+    def make() -> DataFrame:
+        members = ranked_groups(merge_communities(_reference_links(spark, d)))
+        nearest_one = similar_all(spark, d).where("rank = 1").select(F.col("src").alias("other"), F.col("dst").alias("node"))
+        assigned = nearest_one.join(members, "node").join(members.select(F.col("node").alias("other")), "other", "left_anti")
+        return members.withColumn("via", F.lit("member")).unionByName(assigned.select(F.col("other").alias("node"), "cohort", "size", F.lit("nearest").alias("via")))
+
+    return _once(spark, d, "cohorts", make)
 
 
 def cohort_members(spark, d):
-    """Communities of the similarity graph: (node, cohort, size)."""
-    return _cohorts(spark, d)[1]
+    """Communities of the similarity graph: (node, cohort, size, via); size counts reference renewals."""
+    return _members(spark, d)
 
 
 def cohort_quality(spark, d):
-    links, members = _cohorts(spark, d)
+    members = _members(spark, d).where("via = 'member'")
     plan = members.join(_by_no(spark, d, "a"), F.col("node") == F.col("a_no")).groupBy("cohort", "a_plan_tier").agg(F.count(F.lit(1)).alias("n")).groupBy("cohort").agg(F.max("n").alias("top"), F.sum("n").alias("n"))
-    return modularity(links, members).crossJoin(plan.agg((F.sum("top") / F.sum("n")).alias("plan_purity"), F.count(F.lit(1)).alias("cohorts")))  # one row x one row
+    return modularity(_reference_links(spark, d), members).crossJoin(plan.agg((F.sum("top") / F.sum("n")).alias("plan_purity"), F.count(F.lit(1)).alias("cohorts")))  # one row x one row
 
 
 def cohort_profile(spark, d):
-    """The five features whose mean lies furthest from the reference mean, per cohort."""
+    """The five features whose mean lies furthest from the reference mean, per cohort of at least five."""
     from pyspark.sql import Window
 
-    z = scaled(spark, d).join(_cohorts(spark, d)[1], F.col("no") == F.col("node"))
-    means = z.groupBy("cohort").agg(*(F.avg(f"z_{c}").alias(c) for c in R.FEATURES))
+    z = scaled(spark, d).join(_members(spark, d).where("via = 'member' and size >= 5"), F.col("no") == F.col("node"))
+    means = z.groupBy("cohort").agg(*((F.floor(F.avg(f"z_{c}") * 1e6 + 0.5) / 1e6).alias(c) for c in R.FEATURES))
     long = means.select("cohort", F.inline(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_z")) for c in R.FEATURES))))
     place = F.row_number().over(Window.partitionBy("cohort").orderBy(F.abs("mean_z").desc(), "feature"))
-    return long.withColumn("place", place).where("place <= 5")
+    return long.where("mean_z <> 0").withColumn("place", place.cast("bigint")).where("place <= 5")
 
 
 def cohort_assigned(spark, d):
-    """Renewals of the stated set outside the reference, in the cohort of their nearest neighbour."""
-    one = similar(spark, d).where("rank = 1 and src % 100 = 0").select("src", F.col("dst").alias("node"))
-    outside = one.join(_by_no(spark, d, "a").where("a_route <> 'model'"), F.col("src") == F.col("a_no"))
-    return outside.join(_cohorts(spark, d)[1], "node", "left").select("src", "node", "cohort")
+    """Renewals outside the reference, in the cohort of their nearest neighbour."""
+    return _members(spark, d).where("via = 'nearest'").select("node", "cohort")
+
+
+LEAST = 5
+
+
+def _withheld(sizes: DataFrame) -> DataFrame:
+    """(cohort, hidden) of (cohort, plan, size): cohorts below ``LEAST``, and where the hidden ones of a plan are one or
+    hold fewer than ``LEAST`` together also the smallest other, so that the plan's total gives none back."""
+    small = F.col("size") < LEAST
+    per = sizes.groupBy("plan").agg(F.sum(small.cast("int")).alias("few"), F.coalesce(F.sum(F.when(small, F.col("size"))), F.lit(0)).alias("held"), F.min(F.when(~small, F.struct("size", "cohort"))).alias("next"))
+    exposed = (F.col("few") > 0) & ((F.col("few") == 1) | (F.col("held") < LEAST))
+    return sizes.join(per, "plan").select("cohort", (small | F.coalesce(exposed & (F.col("cohort") == F.col("next.cohort")), F.lit(False))).alias("hidden"))
+
+
+def _cohort_facts(spark, d) -> DataFrame:
+    """Reference members with plan, outcome and the day it was seen."""
+    return _members(spark, d).where("via = 'member'").join(_by_no(spark, d, "a"), F.col("node") == F.col("a_no")).select("node", "cohort", "size", F.col("a_plan_tier").alias("plan"), F.col("a_churned").alias("churned"), F.col("a_outcome_observed_on").alias("seen_on"))
+
+
+def cohort_list(spark, d):
+    """Every cohort: name, size, lapses as of today with rate and interval; small cells and what gives them back hidden."""
+    facts = _cohort_facts(spark, d)
+    counts = facts.groupBy("cohort", "plan").agg(F.count(F.lit(1)).alias("size"), F.sum("churned").alias("lapses"))
+    outside = _members(spark, d).where("via = 'nearest'").groupBy("cohort").agg(F.count(F.lit(1)).alias("assigned"))
+    side = F.when(F.col("mean_z") > 0, "higher ").otherwise("lower ")
+    names = cohort_profile(spark, d).where("place <= 2").groupBy("cohort").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", F.concat(side, "feature").alias("t")))), lambda x: x["t"]), ", ").alias("told"))
+    shown = rates(counts.join(_withheld(counts), "cohort").join(names, "cohort", "left").join(outside, "cohort", "left"), "size", "lapses")
+    keep = lambda c: F.when(~F.col("hidden"), F.col(c)).alias(c)
+    name = F.concat("plan", F.when(F.col("hidden"), ": withheld").otherwise(F.concat(F.lit(": "), F.coalesce("told", F.lit("no distinguishing feature")))))
+    return shown.select("cohort", name.alias("name"), *map(keep, ("size", "lapses", "rate", "lower", "upper")), F.when(F.coalesce("assigned", F.lit(0)) >= LEAST, F.col("assigned")).alias("assigned"), "hidden")
+
+
+def cohort_seen(spark, d):
+    """For every renewal of the stated set: its cohort's outcomes as far as they were observed by its as_of, itself left
+    out; hidden where few are counted or few separate this view from today's. Members are counted per cohort and day
+    of observation first, so no source meets members one by one."""
+    facts = _cohort_facts(spark, d)
+    daily = facts.groupBy("cohort", "seen_on").agg(F.count(F.lit(1)).alias("n"), F.sum("churned").alias("lapses"))
+    size = facts.groupBy("cohort", "plan").agg(F.count(F.lit(1)).alias("size"))
+    asked = scaled(spark, d).where("no % 100 = 0").select("no", "as_of", "route", F.col("churned").alias("own"), F.col("outcome_observed_on").alias("own_on"))
+    of = _members(spark, d).select(F.col("node").alias("no"), "cohort", F.col("via").alias("via"))
+    now = F.col("route").isin("score_today", "pending")
+    seen = F.coalesce(F.col("seen_on") <= F.col("as_of"), F.lit(False)) | now
+    sums = asked.join(of, "no").join(daily, "cohort").groupBy("no", "cohort", "as_of", "route", "own", "own_on", "via").agg(F.coalesce(F.sum(F.when(seen, F.col("n"))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(seen, F.col("lapses"))), F.lit(0)).alias("lapses"))
+    itself = F.col("via") == "member"
+    counted = (itself & (now | F.coalesce(F.col("own_on") <= F.col("as_of"), F.lit(False)))).cast("bigint")
+    less = sums.withColumns({"lapses": F.col("lapses") - counted * F.col("own"), "n": F.col("n") - counted}).join(size, "cohort").join(_withheld(size), "cohort")
+    behind = F.col("size") - F.col("n")
+    less = less.withColumn("hidden", F.col("hidden") | (F.col("n") < LEAST) | ((behind > 0) & (behind < LEAST)))
+    keep = lambda c: F.when(~F.col("hidden"), F.col(c)).alias(c)
+    return rates(less, "n", "lapses").select("no", "cohort", F.when(now, "today").otherwise("source_as_of").alias("visibility"), *map(keep, ("n", "lapses", "rate", "lower", "upper")), "hidden")
 
 
 QUERIES = {
@@ -511,6 +590,61 @@ def _shares_sql() -> str:
     return f"{KNN} SELECT src, dst, row_number() OVER (PARTITION BY src, dst ORDER BY floor(part * 1e9 + 0.5) DESC, feature) AS place, feature, floor(part / d2 * 1e6 + 0.5) / 1e6 AS share FROM ({parts}) QUALIFY place <= 3"
 
 
+def _proof_sql() -> str:
+    since = lambda r, days, x: f"coalesce(sum(CASE WHEN rel = '{r}' AND day > as_of - {days} THEN {x} END), 0)"
+    last = lambda state: f"max(CASE WHEN rel = 'CHANGED_OVERAGE' AND state = '{state}' THEN day END)"
+    naive = {
+        "limit_hits_14d": since("HIT_LIMIT", 14, "1"), "support_tickets_90d": since("OPENED", 90, "1"), "incident_exposed_28d": f"CAST({since('EXPOSED_TO', 28, '1')} > 0 AS INT)",
+        "overage_usd_28d": f"floor(CAST({since('CHARGED_OVERAGE', 28, 'micro')} AS DOUBLE) / 1000000.0::DOUBLE * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE", "overage_toggled_off": f"CAST(coalesce({last('disabled')} > {last('enabled')}, FALSE) AS INT)",
+    }
+    found = f"SELECT e.sid, {', '.join(f'{x} AS {n}' for n, x in naive.items())} FROM {_KEEP} GROUP BY e.sid"
+    one = lambda n: f"SELECT '{n}' AS feature, count(*) AS renewals, CAST(sum(CAST(coalesce(CAST(x.{n} AS DOUBLE), 0) <> CAST(g.{n} AS DOUBLE) AS INT)) AS BIGINT) AS mismatches FROM g LEFT JOIN x ON x.sid = g.sid"
+    return f"{GRAPH}, x AS ({found}) " + " UNION ALL ".join(map(one, naive))
+
+
+def _cohort_sql() -> str:
+    """CTEs up to coh (node, cohort, size, via)."""
+    two = "SELECT a, b, w FROM lk UNION ALL SELECT b, a, w FROM lk"
+    return KNN_ALL.replace("WITH snap", "WITH RECURSIVE snap", 1) + f""", lk AS MATERIALIZED (SELECT least(src, dst) AS a, greatest(src, dst) AS b, max(1.0::DOUBLE / (1.0::DOUBLE + sqrt(d2))) AS weight, CAST(floor(max(1.0::DOUBLE / (1.0::DOUBLE + sqrt(d2))) * 1000000 + 0.5) AS HUGEINT) AS w
+  FROM sim JOIN z ON z.no = src WHERE route = 'model' AND src <> dst GROUP BY 1, 2),
+duo AS MATERIALIZED ({two}), dg AS MATERIALIZED (SELECT a AS node, sum(w) AS deg FROM duo GROUP BY a), tot AS (SELECT sum(deg) AS m2 FROM dg),
+st(round, node, c) AS (SELECT 0, node, node FROM dg UNION ALL (
+  WITH cd AS (SELECT c, sum(deg) AS deg FROM st JOIN dg USING (node) GROUP BY c),
+  ce AS (SELECT x.c AS a, y.c AS b, sum(w) AS w FROM duo JOIN st x ON x.node = duo.a JOIN st y ON y.node = duo.b WHERE x.c <> y.c GROUP BY 1, 2),
+  gn AS (SELECT a, b, m2 * w - p.deg * q.deg AS gain FROM ce JOIN cd p ON p.c = a JOIN cd q ON q.c = b, tot),
+  best AS (SELECT a, b FROM gn WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY gain DESC, least(a, b), greatest(a, b)) = 1),
+  mp AS (SELECT x.a AS c, least(x.a, x.b) AS into_c FROM best x JOIN best y ON x.a = y.b AND x.b = y.a)
+  SELECT round + 1, node, coalesce(into_c, st.c) FROM st LEFT JOIN mp ON mp.c = st.c WHERE EXISTS (SELECT 1 FROM mp))),
+lb AS MATERIALIZED (SELECT node, c FROM st WHERE round = (SELECT max(round) FROM st)),
+gr AS (SELECT c, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, min(node)) AS cohort FROM lb GROUP BY c),
+mem AS MATERIALIZED (SELECT node, cohort, size FROM lb JOIN gr USING (c)),
+coh AS MATERIALIZED (SELECT node, CAST(cohort AS INT) AS cohort, size, 'member' AS via FROM mem UNION ALL SELECT s.src, CAST(cohort AS INT), size, 'nearest' FROM sim s JOIN mem ON mem.node = s.dst WHERE s.rank = 1 AND s.src NOT IN (SELECT node FROM mem)),
+fact AS (SELECT coh.node, cohort, size, z.plan_tier AS plan, z.churned, z.outcome_observed_on AS seen_on FROM coh JOIN z ON z.no = coh.node WHERE via = 'member'),
+cnt AS (SELECT cohort, plan, count(*) AS size, CAST(sum(churned) AS BIGINT) AS lapses FROM fact GROUP BY 1, 2),
+hid AS (SELECT cohort, size < {LEAST} OR (few > 0 AND (few = 1 OR held < {LEAST}) AND rn = few + 1) AS hidden FROM (SELECT cohort, size, count(*) FILTER (size < {LEAST}) OVER (PARTITION BY plan) AS few, sum(size) FILTER (size < {LEAST}) OVER (PARTITION BY plan) AS held, row_number() OVER (PARTITION BY plan ORDER BY size, cohort) AS rn FROM cnt)),
+prof AS (SELECT cohort, feature, mean_z, row_number() OVER (PARTITION BY cohort ORDER BY abs(mean_z) DESC, feature) AS place FROM ({_means_sql()}) WHERE mean_z <> 0 QUALIFY place <= 5)
+"""
+
+
+def _means_sql() -> str:
+    return " UNION ALL ".join(f"SELECT cohort, '{c}' AS feature, floor(avg(z{i}) * 1e6 + 0.5) / 1e6 AS mean_z FROM coh JOIN z ON z.no = coh.node WHERE via = 'member' AND size >= {LEAST} GROUP BY cohort" for i, c in enumerate(R.FEATURES))
+
+
+def rates_sql(n: str, k: str) -> str:
+    """rate, lower and upper as ``stats.rates`` has them."""
+    p, z2 = f"(CAST({k} AS DOUBLE) / CAST({n} AS DOUBLE))", f"{Z95 * Z95!r}::DOUBLE"
+    den = f"(1 + {z2} / {n})"
+    half = f"({Z95!r}::DOUBLE * sqrt({p} * (1 - {p}) / {n} + {z2} / (4 * CAST({n} AS DOUBLE) * {n})) / {den})"
+    bound = lambda sign: f"CASE WHEN {n} > 0 THEN floor(least(greatest(({p} + {z2} / (2 * CAST({n} AS DOUBLE))) / {den} {sign} {half}, 0.0), 1.0) * 1000.0::DOUBLE + 0.5) / 1000.0::DOUBLE END"
+    return f"CASE WHEN {n} > 0 THEN floor({p} * 10000.0::DOUBLE + 0.5) / 10000.0::DOUBLE END AS rate, {bound('-')} AS lower, {bound('+')} AS upper"
+
+
+COHORT = _cohort_sql()
+_SHOWN = ", ".join(f"CASE WHEN NOT hidden THEN {c} END AS {c}" for c in ("rate", "lower", "upper"))
+_NOW = "route IN ('score_today', 'pending')"
+_SEEN = f"""SELECT a.no, c.cohort, a.as_of, a.route, a.churned AS own, a.outcome_observed_on AS own_on, c.via, count(*) FILTER (f.seen_on <= a.as_of OR a.{_NOW}) AS n, CAST(coalesce(sum(f.churned) FILTER (f.seen_on <= a.as_of OR a.{_NOW}), 0) AS BIGINT) AS lapses
+ FROM z a JOIN coh c ON c.node = a.no JOIN fact f ON f.cohort = c.cohort WHERE a.no % 100 = 0 GROUP BY ALL"""
+_LESS = f"SELECT s.no, s.cohort, s.route, cnt.size, n - k AS n, lapses_ - k * own AS lapses, hid.hidden FROM (SELECT * EXCLUDE (lapses), lapses AS lapses_, CAST(via = 'member' AND ({_NOW} OR coalesce(own_on <= as_of, FALSE)) AS BIGINT) AS k FROM ({_SEEN})) s JOIN cnt ON cnt.cohort = s.cohort JOIN hid ON hid.cohort = s.cohort"
 _VIS = "coalesce(b.outcome_observed_on <= a.as_of OR a.route IN ('score_today', 'pending'), FALSE)"
 _COUNTS = {"Subscription": "g", "Renewal": "g", "Plan": R._values(R.PLANS, "plan, price, cap"), "Incident": "incident", "PricingChange": "change", "LimitHit": "n_hit", "OverageChange": "n_set", "OverageCharge": "n_chg", "Ticket": "n_tick", "BillingEvent": "n_bill"}
 _EDGES = {"HAS_RENEWAL": ("g", "renewal_id"), "ON_PLAN": ("g", "plan_tier"), "HIT_LIMIT": ("n_hit", "node_id"), "CHANGED_OVERAGE": ("n_set", "node_id"), "CHARGED_OVERAGE": ("n_chg", "node_id"), "OPENED": ("n_tick", "node_id"), "BILLED": ("n_bill", "node_id"), "EXPOSED_TO": ("e_exp", "node_id"), "FIRST_RENEWAL_AFTER": ("e_first", "change_id")}
@@ -553,8 +687,17 @@ ORACLE = {
     "graph_motif": f"{GRAPH} SELECT count(*) AS renewals, CAST(coalesce(sum(churned), 0) AS BIGINT) AS lapses FROM g WHERE route = 'model' AND EXISTS (SELECT 1 FROM n_hit h JOIN n_set o ON h.sid = o.sid WHERE h.sid = g.sid AND o.state = 'disabled' AND h.day <= o.day AND o.day <= g.as_of)",
     "graph_first_after_by_plan": f"{GRAPH} SELECT plan_tier, renewal_id IN (SELECT renewal_id FROM e_first) AS first_after, count(*) AS n, CAST(sum(churned) AS BIGINT) AS lapses FROM g WHERE route = 'model' GROUP BY 1, 2",
     "graph_pruned": f"{GRAPH}, kept AS (SELECT rel, node_id FROM {_KEEP}) SELECT rel AS kind, count(*) AS n FROM kept GROUP BY rel UNION ALL SELECT CASE rel WHEN 'HIT_LIMIT' THEN 'LimitHit' WHEN 'CHANGED_OVERAGE' THEN 'OverageChange' WHEN 'CHARGED_OVERAGE' THEN 'OverageCharge' WHEN 'OPENED' THEN 'Ticket' WHEN 'BILLED' THEN 'BillingEvent' ELSE 'Incident' END, count(DISTINCT node_id) FROM kept GROUP BY rel",
-    "graph_pruned_proof": f"{GRAPH} SELECT count(*) AS renewals, CAST(0 AS BIGINT) AS mismatches FROM g",
+    "graph_pruned_proof": _proof_sql(),
     "similar_route_leak": f"{KNN_ALL} SELECT no IN (SELECT dst FROM s1) AS incoming, count(*) AS n, CAST(sum(churned) AS BIGINT) AS lapses FROM z WHERE route = 'model' GROUP BY 1",
     "similar_components": KNN_ALL.replace("WITH snap", "WITH RECURSIVE snap", 1) + ", l AS (SELECT src AS a, dst AS b FROM sim UNION SELECT dst, src FROM sim), r(x, y) AS (SELECT a, a FROM l UNION SELECT r.x, l.b FROM r JOIN l ON l.a = r.y) SELECT c AS component, count(*) AS size FROM (SELECT x, min(y) AS c FROM r GROUP BY x) GROUP BY c",
+    "cohort_members": f"{COHORT} SELECT node, cohort, size, via FROM coh",
+    "cohort_assigned": f"{COHORT} SELECT node, cohort FROM coh WHERE via = 'nearest'",
+    "cohort_profile": f"{COHORT} SELECT cohort, feature, mean_z, place FROM prof",
+    "cohort_quality": f"""{COHORT}, ins AS (SELECT CAST(sum(CASE WHEN x.cohort = y.cohort THEN w END) AS DOUBLE) AS i, CAST(sum(w) AS DOUBLE) AS m FROM lk JOIN mem x ON x.node = a JOIN mem y ON y.node = b), sq AS (SELECT CAST(sum(deg * deg) AS DOUBLE) AS s FROM (SELECT sum(deg) AS deg FROM dg JOIN mem USING (node) GROUP BY cohort)),
+ pur AS (SELECT CAST(sum(top) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS plan_purity, count(*) AS cohorts FROM (SELECT cohort, max(size) AS top, sum(size) AS n FROM cnt GROUP BY cohort)) SELECT floor((i / m - s / (4 * m * m)) * 1e9 + 0.5) / 1e9 AS modularity, plan_purity, cohorts FROM ins, sq, pur""",
+    "cohort_list": f"""{COHORT}, told AS (SELECT cohort, string_agg(CASE WHEN mean_z > 0 THEN 'higher ' ELSE 'lower ' END || feature, ', ' ORDER BY place) AS t FROM prof WHERE place <= 2 GROUP BY cohort), ass AS (SELECT cohort, count(*) AS assigned FROM coh WHERE via = 'nearest' GROUP BY cohort)
+ SELECT cohort, plan || CASE WHEN hidden THEN ': withheld' ELSE ': ' || coalesce(t, 'no distinguishing feature') END AS name, CASE WHEN NOT hidden THEN size END AS size, CASE WHEN NOT hidden THEN lapses END AS lapses, {_SHOWN}, CASE WHEN assigned >= {LEAST} THEN assigned END AS assigned, hidden
+ FROM (SELECT *, {rates_sql('size', 'lapses')} FROM cnt JOIN hid USING (cohort) LEFT JOIN told USING (cohort) LEFT JOIN ass USING (cohort))""",
+    "cohort_seen": f"{COHORT} SELECT no, cohort, CASE WHEN {_NOW} THEN 'today' ELSE 'source_as_of' END AS visibility, CASE WHEN NOT hidden THEN n END AS n, CASE WHEN NOT hidden THEN lapses END AS lapses, {_SHOWN}, hidden FROM (SELECT no, cohort, route, n, lapses, hidden OR n < {LEAST} OR (size - n > 0 AND size - n < {LEAST}) AS hidden, {rates_sql('n', 'lapses')} FROM ({_LESS}))",
     "similar_within_two": f"{KNN}, h AS (SELECT no AS start, no AS node, 0 AS d FROM z WHERE no % 100 = 0 UNION ALL SELECT src, dst, 1 FROM s1 UNION ALL SELECT a.src, b.dst, 2 FROM s1 a JOIN sim b ON b.src = a.dst) SELECT start, d AS depth, count(*) AS n FROM (SELECT start, node, min(d) AS d FROM h GROUP BY 1, 2) GROUP BY 1, 2",
 }

@@ -59,12 +59,13 @@ def forget(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors,
-    and keeps costly columns (token counts, canonical texts) from being computed twice."""
+    and keeps costly columns (token counts, canonical texts) from being computed twice. ``by``: a column of few values;
+    readers that ask for some of them read only those."""
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 def files_below(spark: SparkSession, path: str) -> int | None:

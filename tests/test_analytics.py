@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators.disclosure import Attacker, Relation, protect, ranges, suppress
-from lodestrata.operators.graph import components, degree_histogram, modularity, paths, propagate_labels, ranked_groups, reach, shortest_paths, split_wide, undirected, union_wide
+from lodestrata.operators.graph import components, degree_histogram, merge_communities, modularity, paths, ranked_groups, reach, shortest_paths, split_wide, undirected, union_wide
 from lodestrata.operators.leakage import fit_logistic, neighbour_rate, out_of_fold
 from lodestrata.operators.search import build_index, search
 from lodestrata.operators.similarity import feature_shares, fit_scaler, mutual_flag, nearest, z_scores
@@ -128,10 +128,10 @@ def test_paths_and_reach(spark):
 def test_communities(spark):
     two = [(i, j, 0.1) for base in (0, 10) for i in range(base, base + 6) for j in range(i + 1, base + 6)] + [(0, 10, 9.0)]
     links = undirected(spark.createDataFrame(two, "src bigint, dst bigint, d double"), "d")
-    groups = ranked_groups(propagate_labels(links))
+    groups = ranked_groups(merge_communities(links))
     assert sorted((r.cohort, r.size) for r in groups.select("cohort", "size").distinct().collect()) == [(1, 6), (2, 6)]
     assert modularity(links, groups).first().modularity > 0.4
-    again = ranked_groups(propagate_labels(links.orderBy(F.rand(3)).repartition(5)))
+    again = ranked_groups(merge_communities(links.orderBy(F.rand(3)).repartition(5)))
     assert rows(groups) == rows(again)
 
 
