@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +56,9 @@ def orders_by_city(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy(F.lower("city").alias("city"), "status").agg(F.count(F.lit(1)).alias("orders"), F.countDistinct("customer_id").alias("customers"))
 
 
-def _store(spark: SparkSession, d: str) -> SnapshotStore:
-    """Bronze orders in two commits split by arrival, tagged after the first."""
+@cache
+def orders_store(spark: SparkSession, d: str) -> SnapshotStore:
+    """Bronze orders in two commits split by arrival, tagged after the first; written once a session and folder."""
     store = SnapshotStore(spark, new_path(spark, "store"))
     raw = table(spark, d, "orders_day2")
     early = F.col("_ingested_at") < F.lit(SPLIT).cast("timestamp_ntz")
@@ -67,14 +70,14 @@ def _store(spark: SparkSession, d: str) -> SnapshotStore:
 
 def time_travel(spark: SparkSession, d: str) -> DataFrame:
     """Daily metrics of both versions of the orders table."""
-    store = _store(spark, d)
+    store = orders_store(spark, d)
     a = daily(silver(store.read("bronze_orders", tag="first"))).withColumn("version", F.lit("first"))
     b = daily(silver(store.read("bronze_orders", 2))).withColumn("version", F.lit("second"))
     return a.unionByName(b)
 
 
 def snapshot_log(spark: SparkSession, d: str) -> DataFrame:
-    log = _store(spark, d).snapshots("bronze_orders")
+    log = orders_store(spark, d).snapshots("bronze_orders")
     total, added = F.element_at("summary", "total-records").cast("bigint"), F.element_at("summary", "added-records").cast("bigint")
     before = F.lag("snapshot_id").over(Window.orderBy("sequence"))  # one row per snapshot
     return log.select("sequence", "operation", F.element_at("summary", "batch").alias("batch"), added.alias("added"), total.alias("total"), F.coalesce(F.col("parent_id") == before, F.lit(False)).alias("follows"))
@@ -82,7 +85,7 @@ def snapshot_log(spark: SparkSession, d: str) -> DataFrame:
 
 def merged_orders(spark: SparkSession, d: str) -> DataFrame:
     """Silver of the first version, merged with the latest deliveries of the second."""
-    store = _store(spark, d)
+    store = orders_store(spark, d)
     store.commit("silver_orders", silver(store.read("bronze_orders", tag="first")), "replace")
     now = latest(store.read("bronze_orders").select(clean_key("order_id").alias("order_id"), clean_key("customer_id").alias("customer_id"), "order_ts", clean_key("status").alias("status"), "amount", "_source_file", "_ingested_at", "delivery_no").where("order_id is not null"), ["order_id"], ["order_ts", "_ingested_at", "_source_file", "delivery_no"])
     allowed = ", ".join(f"'{s}'" for s in STATES)

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.operators.disclosure import Attacker, Relation, protect, ranges, suppress
 from lodestrata.operators.graph import components, degree_histogram, merge_communities, modularity, paths, ranked_groups, reach, shortest_paths, split_wide, undirected, union_wide
-from lodestrata.operators.leakage import fit_logistic, neighbour_rate, out_of_fold
+from lodestrata.operators.leakage import cross_validated, fit_logistic, neighbour_rate, out_of_fold, stratified_folds
 from lodestrata.operators.search import build_index, search
 from lodestrata.operators.similarity import feature_shares, fit_scaler, mutual_flag, nearest, z_scores
 from lodestrata.operators.stats import auc, banded, cube_counts, dense, rates
-from lodestrata.operators.temporal import half_up, inside_any, latest, numbered_within, overlapping, ratio, within
+from lodestrata.operators.temporal import half_up, inside_any, latest, numbered_within, overlapping, ratio, salted_join, within
 from tests.conftest import rows
 
 D = dt.date(2024, 1, 1)
@@ -211,3 +211,82 @@ def test_logistic(spark):
     edges, labels = spark.createDataFrame([(1, 2), (1, 3)], "src bigint, dst bigint"), spark.createDataFrame([(2, 1), (3, 0)], "dst bigint, l int")
     assert neighbour_rate(edges, labels, "l").first().score == 0.5
     assert neighbour_rate(edges, labels, "l", F.col("dst") == 2).first().score == 1.0
+
+
+def test_communities_settle_where_nothing_gains(spark):
+    """No two communities are left that a merger would help; modularity as by the definition."""
+    rng = random.Random(4)
+    edges = {(min(a, b), max(a, b)): rng.random() for a, b in ((rng.randrange(120), rng.randrange(120)) for _ in range(500)) if a != b}
+    links = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a bigint, b bigint, weight double")
+    groups = ranked_groups(merge_communities(links))
+    of = {r.node: r.cohort for r in groups.collect()}
+    whole = {e: int(np.floor(w * 1e6 + 0.5)) for e, w in edges.items()}
+    m2, deg, between = 2 * sum(whole.values()), defaultdict(int), defaultdict(int)
+    for (a, b), w in whole.items():
+        deg[of[a]] += w
+        deg[of[b]] += w
+        if of[a] != of[b]:
+            between[frozenset((of[a], of[b]))] += w
+    assert all(m2 * w <= np.prod([deg[c] for c in pair], dtype=object) for pair, w in between.items())
+    inside = sum(w for (a, b), w in whole.items() if of[a] == of[b])
+    want = 2 * inside / m2 - sum(d * d for d in deg.values()) / m2**2
+    assert modularity(links, groups).first().modularity == pytest.approx(want, abs=1e-8) and want > 0.2
+    sizes = sorted(((r["size"], -r["least"], r.cohort) for r in groups.groupBy("cohort", "size").agg(F.min("node").alias("least")).collect()), reverse=True)
+    assert [c for *_, c in sizes] == list(range(1, len(sizes) + 1))
+    assert merge_communities(links.where("false")).count() == 0
+
+
+def test_auc_over_many_ranges(spark):
+    rng = random.Random(9)
+    data = [(g, rng.random() if rng.random() < 0.9 else 0.5, int(rng.random() < 0.3)) for g in "ab" for _ in range(1500)]
+    got = {r.g: r.auc for r in auc(spark.createDataFrame(data, "g string, s double, y int"), "s", "y", ["g"]).collect()}
+    for g in "ab":
+        pos, neg = ([s for h, s, y in data if h == g and y == v] for v in (1, 0))
+        assert got[g] == pytest.approx(sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg))
+
+
+def test_salted_join(spark):
+    events = spark.createDataFrame([("hot" if i % 3 == 0 else f"k{i % 40}", i) for i in range(600)], "k string, i int")
+    right = spark.createDataFrame([("hot", 1), ("k1", 2), ("none", 3)], "k string, v int")
+    for how in ("inner", "left"):
+        assert rows(salted_join(events, right, "k", "i", how)) == rows(events.join(right, "k", how))
+
+
+def test_folds_are_even_and_hold_out_their_labels(spark):
+    rng = np.random.default_rng(8)
+    n = 500
+    y = (rng.random(n) < 0.2).astype(int)
+    t = spark.createDataFrame([(i, float(rng.normal()), int(v)) for i, v in enumerate(y)], "id bigint, a double, y int")
+    folds = stratified_folds(t, "id", "y", 5, 3)
+    for label in (0, 1):
+        sizes = [r["count"] for r in folds.where(f"y = {label}").groupBy("fold").count().collect()]
+        assert len(sizes) == 5 and max(sizes) - min(sizes) <= 1
+    assert rows(folds) == rows(stratified_folds(t.repartition(7), "id", "y", 5, 3))
+    # each row's only neighbour is itself: a rate that saw the test fold's labels would tell all of them
+    own = t.select(F.col("id").alias("src"), F.col("id").alias("dst"))
+    scored = cross_validated(t, "id", ["a"], "y", {"none": None, "itself": own}, 5, 1)
+    got = {r.variant: r.auc for r in auc(scored, "score", "y", ["variant"]).collect()}
+    assert got["itself"] < 0.65 and scored.groupBy("variant").count().where("count <> 500").isEmpty()
+
+
+def test_regression_that_does_not_settle_is_an_error(spark):
+    t = spark.createDataFrame([(0.0, 0), (1.0, 1)] * 5, "a double, y int")
+    with pytest.raises(RuntimeError):
+        fit_logistic(t, ["a"], "y", ridge=0.0, rounds=3)
+
+
+def test_questions_that_are_refused(spark):
+    from lodestrata.queries.metrics import lapse_rate_by
+
+    for by, only in ((("city",), {}), (("plan_tier", "band", "first_renewal_after_change"), {}), (("plan_tier", "incident_exposed_28d"), {}), (("overage_toggled_off",), {"plan_tier": "pro"}), (("plan_tier",), {"hits": (2, 5)}), ((), {"plan_tier": "gold"}), (("band", "band"), {})):
+        with pytest.raises(ValueError):
+            lapse_rate_by(spark, "unread", by, **only)
+
+
+def test_tokens_of_ids_days_and_stop_words(spark):
+    from lodestrata.operators.search import STOP_WORDS, day_words, tokens
+
+    one = lambda c: set(spark.range(1).select(c.alias("t")).first().t)
+    assert one(tokens(F.lit("sub_0042:2025-08-20 Cap-Cut!"))) == {"sub_0042:2025-08-20", "sub_0042", "2025-08-20", "2025-08", "0042", "42", "cap-cut", "cap", "cut"}
+    assert one(tokens(F.lit("show me the outage"), tuple(STOP_WORDS))) == {"outage"}
+    assert spark.range(1).select(day_words(F.lit(day(30)), F.lit(day(31))).alias("w")).first().w == "2024-01-31 2024-01 january jan 2024-02-01 2024-02 february feb"

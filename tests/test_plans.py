@@ -101,7 +101,7 @@ def test_feature_query_is_point_in_time(spark):
     sf = "/root/testdata/sf0.001"
     from lodestrata.queries.lineage import EVENTS, EXCEPTIONS, LABELS
 
-    assert require_point_in_time(R.features(spark, sf), EVENTS, ("as_of", "renewal_date"), LABELS, EXCEPTIONS)
+    assert require_point_in_time(R.features(spark, sf), EVENTS, ("as_of", "renewal_date"), LABELS, EXCEPTIONS, ("sid", "as_of"))
     with pytest.raises(ValueError, match="last_active_days_ago"):
         require_point_in_time(R.features(spark, sf, naive=True), EVENTS, ("as_of", "renewal_date"), LABELS, EXCEPTIONS)
 
@@ -112,3 +112,23 @@ def test_column_pruning_and_pushdown(spark):
 
     plan = p5_found(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "plan_tier" not in plan and "user_name" not in plan and "PushedFilters" in plan
+
+
+@pytest.mark.parametrize(
+    ("text", "why"),
+    [
+        ("SELECT s.k, s.as_of, count(a.n) AS x FROM spine s JOIN ev a ON s.k = a.k AND a.d <= s.as_of JOIN ev b ON b.k = s.k AND b.d <= s.as_of GROUP BY s.k, s.as_of", "joined with itself"),
+        (SAFE, "without as_of"),
+        ("SELECT s.k, s.as_of, e.n, sum(e.n) OVER (ORDER BY e.d) AS x FROM spine s JOIN ev e ON s.k = e.k AND e.d <= s.as_of", "window without partition"),
+        ("SELECT s.k, s.as_of, e.n AS x FROM spine s JOIN ev e ON s.k = e.k AND e.d <= s.as_of LIMIT 3", "cannot follow"),
+        ("SELECT s.k, s.as_of, e.n AS x FROM spine s JOIN ev TABLESAMPLE (10 PERCENT) e ON s.k = e.k AND e.d <= s.as_of", "cannot follow"),
+    ],
+)
+def test_plans_that_cannot_be_vouched_for(spark, views, text, why):
+    with pytest.raises(ValueError, match=why):
+        require_point_in_time(spark.sql(text), ["ev"], grain=("k", "as_of"))
+
+
+def test_a_plan_that_can(spark, views):
+    good = SAFE.replace("GROUP BY s.k", "GROUP BY s.k, s.as_of").replace("SELECT s.k,", "SELECT s.k, s.as_of,")
+    assert require_point_in_time(spark.sql(good), ["ev"], grain=("k", "as_of")).columns == ["k", "as_of", "x"]
