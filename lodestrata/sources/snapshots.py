@@ -23,9 +23,12 @@ class Conflict(RuntimeError):
 class SnapshotStore:
     """Tables below one root folder of any Hadoop file system.
 
-    ``<table>/data/<id>/`` holds immutable Parquet of one commit, ``<table>/log/<sequence>.json`` a snapshot:
-    the data folders that make it up, its schema, row count and summary. A log entry is created exclusively,
-    so of two writers one fails and nothing is half visible. Only log entries are read on the driver.
+    ``<table>/data/__commit=<id>/`` holds immutable Parquet of one commit, ``<table>/log/<sequence>.json`` a snapshot:
+    the data folders that make it up with their row counts, its schema and summary; ``<table>/ids/<id>`` names a
+    snapshot's sequence. A log entry is created exclusively, so of two writers one fails and nothing is half visible;
+    the file system must refuse to create a file that exists (HDFS, local disks, object stores with conditional writes).
+    The driver reads the one entry it needs; the log as a table is read by Spark. Every entry is whole, so a log of any
+    length needs no replay. Deletes, updates and merges rewrite only the folders that hold a row they change.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -65,23 +68,29 @@ class SnapshotStore:
             raise LookupError(f"no snapshot of {table}")
         return json.loads(self._read(f"{table}/log/{names[-1]}"))
 
-    def commit(self, table: str, df: DataFrame, mode: str = "append", summary: dict[str, str] | None = None, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> str:
-        """Write ``df`` as a new snapshot: appended to the current one, or replacing it. Returns its id."""
+    def commit(self, table: str, df: DataFrame, mode: str = "append", summary: dict[str, str] | None = None, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), keep: Sequence[str] | None = None) -> str:
+        """Write ``df`` as a new snapshot: appended to the current one, or replacing it. Returns its id. keep: the folders of
+        the current snapshot that stay (all of them for ``append``, none for ``replace``)."""
         names = [n for n in self._names(f"{table}/log") if n.endswith(".json")]
         parent = json.loads(self._read(f"{table}/log/{names[-1]}")) if names else None
         snapshot = uuid.uuid4().hex
-        folder = f"{table}/data/{snapshot}"
+        folder = f"{table}/data/__commit={snapshot}"
+        before = {f: n for f, n in (parent["counts"] if parent else {}).items() if (mode == "append" if keep is None else f in keep)}
+        if before:  # folders that are read together are laid out alike
+            if partition_by and list(partition_by) != parent["partition_by"]:
+                raise ValueError(f"{table} is partitioned by {parent['partition_by']}")
+            partition_by = parent["partition_by"]
         rows = df.sortWithinPartitions(*sort_by) if sort_by else df
         writer = rows.write.partitionBy(*partition_by) if partition_by else rows.write
         writer.parquet(f"{self.root}/{folder}")
         added = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}").count()  # from the footers
-        kept = parent["folders"] if parent and mode == "append" else []
-        total = added + (parent["rows"] if kept else 0)
+        counts = before | {folder: added}
         entry = {
             "sequence": parent["sequence"] + 1 if parent else 1, "snapshot_id": snapshot, "parent_id": parent["snapshot_id"] if parent else None, "committed_at": time.time(),
-            "operation": mode, "folders": [*kept, folder], "schema": df.schema.jsonValue(), "rows": total,
-            "summary": {"added-records": str(added), "total-records": str(total), **(summary or {})},
+            "operation": mode, "counts": counts, "partition_by": list(partition_by), "schema": df.schema.jsonValue(), "rows": sum(counts.values()),
+            "summary": {"added-records": str(added), "total-records": str(sum(counts.values())), "data-folders": str(len(counts)), **(summary or {})},
         }
+        self._create(f"{table}/ids/{snapshot}", str(entry["sequence"]))
         self._create(f"{table}/log/{entry['sequence']:010d}.json", json.dumps(entry))
         return snapshot
 
@@ -92,10 +101,14 @@ class SnapshotStore:
                 raise LookupError(f"{table} has no tag {tag}")
         if version is None:
             return self.current(table)
-        for e in self.entries(table):
-            if version in (e["snapshot_id"], e["sequence"]):
-                return e
-        raise LookupError(f"{table} has no snapshot {version}")
+        try:
+            sequence = version if isinstance(version, int) else int(self._read(f"{table}/ids/{version}"))
+            entry = json.loads(self._read(f"{table}/log/{sequence:010d}.json"))
+        except Exception as e:
+            raise LookupError(f"{table} has no snapshot {version}") from e
+        if version not in (entry["snapshot_id"], entry["sequence"]):  # a writer that lost the sequence left its id behind
+            raise LookupError(f"{table} has no snapshot {version}")
+        return entry
 
     def read(self, table: str, version: str | int | None = None, tag: str | None = None, expect_rows: int | None = None) -> DataFrame:
         """The table now, at a snapshot id or sequence number, or at a tag. Never falls back to another version.
@@ -105,14 +118,18 @@ class SnapshotStore:
         e = self._entry(table, version, tag)
         if expect_rows is not None and e["rows"] != expect_rows:
             raise ValueError(f"{table} at {e['snapshot_id']} has {e['rows']} rows, not {expect_rows}")
-        schema = StructType.fromJson(e["schema"])
-        if not e["folders"]:
+        return self._scan(e, list(e["counts"]))
+
+    def _scan(self, entry: dict, folders: Sequence[str]) -> DataFrame:
+        """One scan over all folders."""
+        schema = StructType.fromJson(entry["schema"])
+        if not folders:
             return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.schema(schema).parquet(f"{self.root}/{f}") for f in e["folders"]]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return self._files(schema, folders).select(*(F.col(f"`{c}`") for c in schema.names))
+
+    def _files(self, schema: StructType, folders: Sequence[str]) -> DataFrame:
+        base = f"{self.root}/{folders[0].rsplit('/', 1)[0]}"
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*(f"{self.root}/{f}" for f in folders))
 
     def rows(self, table: str, version: str | int | None = None) -> int:
         """The row count, from the log alone."""
@@ -120,8 +137,9 @@ class SnapshotStore:
 
     def snapshots(self, table: str) -> DataFrame:
         """The log as a table: sequence, snapshot_id, parent_id, committed_at, operation, summary."""
-        keep = [f.split()[0] for f in LOG_SCHEMA.split(", ")]
-        return self.spark.createDataFrame([tuple(e[k] for k in keep) for e in self.entries(table)], LOG_SCHEMA)
+        if not self._names(f"{table}/log"):
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+        return self.spark.read.schema(LOG_SCHEMA).json(f"{self.root}/{table}/log")
 
     def _refs(self, table: str) -> list[dict]:
         tags = [json.loads(self._read(f"{table}/refs/{n}")) for n in self._names(f"{table}/refs") if n.endswith(".json")]
@@ -152,23 +170,41 @@ class SnapshotStore:
             self.read(t, pinned[t]).createOrReplaceTempView(f"{prefix}{t}")
         return pinned
 
+    def _rewrite(self, table: str, touched: Callable[[DataFrame], DataFrame], change: Callable[[DataFrame], DataFrame], dml: str) -> str:
+        """A new snapshot in which the folders that hold a row of ``touched`` are replaced by ``change`` of their rows."""
+        entry = self.current(table)
+        schema = StructType.fromJson(entry["schema"])
+        every = list(entry["counts"])
+        hit = set()
+        if every:
+            marked = self._files(schema, every).withColumn("__folder", F.regexp_extract("_metadata.file_path", r"/(__commit=[0-9a-f]{32})/", 1))
+            names = {r[0] for r in touched(marked).select("__folder").distinct().collect()}  # a row per commit at most
+            hit = {f for f in every if f.rsplit("/", 1)[1] in names}
+        rows = change(self._scan(entry, [f for f in every if f in hit]))
+        return self.commit(table, rows.select(*(F.col(f"`{c}`") for c in schema.names)), "replace", {"dml": dml, "rewritten-folders": str(len(hit))}, entry["partition_by"], keep=[f for f in every if f not in hit])
+
     def delete(self, table: str, where: Column | None = None) -> str:
         """Rows for which ``where`` holds go (all without one), as a new snapshot."""
-        rows = self.read(table)
-        return self.commit(table, rows.where("false") if where is None else rows.where(~F.coalesce(where, F.lit(False))), "replace", {"dml": "delete"})
+        gone = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+        return self._rewrite(table, lambda rows: rows.where(gone), lambda rows: rows.where(~gone), "delete")
 
     def update(self, table: str, where: Column, values: dict[str, Column]) -> str:
-        rows = self.read(table)
-        changed = rows.withColumns({c: F.when(where, v.cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
-        return self.commit(table, changed, "replace", {"dml": "update"})
+        def change(rows: DataFrame) -> DataFrame:
+            return rows.withColumns({c: F.when(where, v.cast(rows.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()})
+
+        return self._rewrite(table, lambda rows: rows.where(where), change, "update")
 
     def merge(self, table: str, source: DataFrame, keys: Sequence[str], delete_when: str | None = None) -> str:
         """Upsert: source rows replace those of equal key, new keys are added; a source row for which
         ``delete_when`` (an expression over source columns) holds removes its key. Keys unique in the source."""
-        now = self.read(table)
-        kept = now.join(source.select(*keys), list(keys), "left_anti").select(now.columns)
         fresh = source if delete_when is None else source.where(f"not coalesce({delete_when}, false)")
-        return self.commit(table, kept.unionByName(fresh.select(now.columns)), "replace", {"dml": "merge"})
+        known = source.select(*keys)
+        return self._rewrite(table, lambda rows: rows.join(known, list(keys), "left_semi"), lambda rows: rows.join(known, list(keys), "left_anti").select(rows.columns).unionByName(fresh.select(rows.columns)), "merge")
+
+    def compact(self, table: str, sort_by: Sequence[str] = ()) -> str:
+        """The current rows in one folder, as a new snapshot; older snapshots keep theirs."""
+        entry = self.current(table)
+        return self.commit(table, self.read(table), "replace", {"dml": "compact"}, entry["partition_by"], sort_by)
 
     def publish(self, manifest: str, inputs: dict[str, str], code: Sequence[str], build: Callable[[], dict[str, DataFrame]], partition_by: dict[str, Sequence[str]] | None = None) -> tuple[str, bool]:
         """Build and publish tables once per (input snapshots, code): returns (build id, whether it was built).

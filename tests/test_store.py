@@ -107,3 +107,37 @@ def test_contracts(spark):
     assert sorted(kinds) == [("a", "rounding"), ("q", "right_only"), ("z", "beyond rounding")]
     a, b = content_hash(t), content_hash(t.repartition(3))
     assert rows(a) == rows(b) != rows(content_hash(t.union(t.limit(1))))
+
+
+def test_only_touched_folders_are_rewritten(spark, store):
+    for i in range(4):
+        store.commit("t", df(spark, [(f"k{i}", i), (f"m{i}", i)]))
+    before = set(store.current("t")["counts"])
+    store.delete("t", F.col("k") == "k1")
+    store.update("t", F.col("k") == "m2", {"v": F.lit(20)})
+    store.merge("t", df(spark, [("k3", 30), ("new", 1)]), ["k"])
+    log = {r.sequence: r.summary for r in store.snapshots("t").collect()}
+    assert [log[i]["rewritten-folders"] for i in (5, 6, 7)] == ["1", "1", "1"]
+    now = store.current("t")
+    assert len(before & set(now["counts"])) == 1 and now["rows"] == store.read("t").count() == 8
+    assert rows(store.read("t")) == [("k0", 0), ("k2", 2), ("k3", 30), ("m0", 0), ("m1", 1), ("m2", 20), ("m3", 3), ("new", 1)]
+    store.compact("t", ["k"])
+    assert len(store.current("t")["counts"]) == 1 and rows(store.read("t")) == rows(store.read("t", 7))
+    assert rows(store.read("t", 4)) == [(x + str(i), i) for x in "km" for i in range(4)]
+
+
+def test_partitioned_commits_read_and_prune(spark, store):
+    for i in range(2):
+        store.commit("p", df(spark, [("a", i), ("b", i)]), partition_by=["k"])
+    assert rows(store.read("p")) == [("a", 0), ("a", 1), ("b", 0), ("b", 1)]
+    plan = store.read("p").where("k = 'a'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(k" in plan and plan.count("FileScan") == 1
+    store.delete("p", F.col("k") == "b")
+    assert rows(store.read("p")) == [("a", 0), ("a", 1)] and store.current("p")["partition_by"] == ["k"]
+
+
+def test_empty_table_takes_dml(spark, store):
+    store.commit("t", df(spark, []))
+    store.delete("t")
+    store.merge("t", df(spark, [("a", 1)]), ["k"])
+    assert rows(store.read("t")) == [("a", 1)]
