@@ -23,6 +23,8 @@ DRAWN_LIKE = {"\u2010": "-", "\u2011": "-", "\u2212": "-", "\ufe63": "-", "\u202
 OWN_LETTERS, DOTLESS = range(0xC0, 0x180), 0x131
 #: Letters are looked for up to here; beyond are ideographs.
 LAST = 0x20000
+#: Judged tokens that a process remembers from text to text.
+MEMO = 100_000
 _MARKS = "\u0300-\u036f\u0483-\u0487"
 #: The rest of a run of letters with their marks.
 RUN = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
@@ -97,6 +99,7 @@ class Reader:
 
     def __init__(self, table: dict[int, str]) -> None:
         self.folds, self.stands = _folds(), {}
+        self.memo: dict[str, tuple[str, str, bool, bool]] = {}
         self.home: dict[str, dict[int, str]] = {}
         first: dict[tuple[str, str], str] = {}
         for c, v in sorted(table.items(), key=lambda x: _rarity(x[0])):  # the common letters of a script first
@@ -169,7 +172,9 @@ class Reader:
             return [text], [], []
         folded = self.fold(text)
         segments, choices, words, done, here = [], [], set(), 0, []
-        memo: dict[str, tuple[str, str, bool, bool]] = {}
+        memo = self.memo
+        if len(memo) > MEMO:
+            memo.clear()
         for start, end in self.runs(folded):
             token = folded[start:end]
             if token not in memo:
@@ -201,16 +206,17 @@ def _spans(codes) -> str:
 
 
 @cache
-def reader(table: tuple[tuple[int, str], ...]) -> Reader:
-    """One per process."""
-    return Reader(dict(table))
+def reader(spark: SparkSession) -> Reader:
+    """Made on the driver, once; workers get its tables and patterns."""
+    made = Reader(lookalikes(spark))
+    assert made.foreign and made.uneven
+    return made
 
 
 _CHOICE = pa.struct([("repaired", pa.string()), ("fallback", pa.string()), ("token", pa.string()), ("certain", pa.bool_()), ("mixed", pa.bool_())])
 
 
-def _dissect(batches: Iterator[pa.RecordBatch], schema: pa.Schema, table: tuple, every: bool) -> Iterator[pa.RecordBatch]:
-    read = reader(table)
+def _dissect(batches: Iterator[pa.RecordBatch], schema: pa.Schema, read: Reader, every: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):  # a few texts at a time, whole, however long they are
             part = batch.slice(lo, 256)
@@ -242,9 +248,9 @@ def canonical_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     ddl = "doc_id bigint, raw_hash string, segments array<string>, choices array<struct<repaired:string,fallback:string,token:string,certain:boolean,mixed:boolean>>, words array<string>"
     schema = pa.schema([("doc_id", pa.int64()), ("raw_hash", pa.string()), ("segments", pa.list_(pa.string())), ("choices", pa.list_(_CHOICE)), ("words", pa.list_(pa.string()))])
-    table = tuple(sorted(lookalikes(documents.sparkSession).items()))
+    read = reader(documents.sparkSession)
     texts = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.md5(text).alias("raw_hash")).where("length(text) > 0")
-    parts = texts.mapInArrow(lambda b: _dissect(b, schema, table, keep_text), ddl)
+    parts = texts.mapInArrow(lambda b: _dissect(b, schema, read, keep_text), ddl)
     whole = F.element_at("segments", 1)
     settled = F.size("choices") == 0
     kept = parts.select(

@@ -34,23 +34,27 @@ def quality_weight(text: str) -> Column:
 
     Whole texts are read, by built-in expressions. A null or empty text, or one without words, gets the least weight.
     """
-    t, n = F.col(text), F.length(text)
-    words = F.filter(F.split(F.lower(t), r"\s+"), lambda w: w != "")
+    # nothing here is a lambda or a branch, so the words are split once for all signals
+    t = F.trim(text)
+    n = F.nullif(F.length(t), F.lit(0))
+    words = F.split(t, r"\s+")
     count = F.size(words)
-    kept = lambda pattern: F.length(F.regexp_replace(t, pattern, ""))
-    mean = kept(r"\s+") / F.greatest(count, F.lit(1))
+    blanks = n - F.length(F.translate(t, " \t\r\n\u00a0", ""))
+    letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]++", ""))
+    signs = n - F.length(F.translate(t, "{}[]<>|\\^~=_#*@", ""))
+    mean = (n - blanks) / count
     unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
     signals = [
-        unit(kept(r"[^\p{L}\p{M}\s]+") / n / 0.9),
+        unit((letters + blanks) / n / 0.9),
         unit(F.least((mean - 1) / 2, (18 - mean) / 9)),
-        unit(1 - 10 * (n - kept(r"[{}\[\]<>|\\^~=_#*@]+")) / n),
-        unit(2 * F.size(F.array_distinct(words)) / F.greatest(F.lit(1.0), F.least(count.cast("double"), 10 * F.sqrt(count.cast("double"))))),
+        unit(1 - 10 * signs / n),
+        unit(2 * F.size(F.array_distinct(words)) / F.least(count.cast("double"), 10 * F.sqrt(count.cast("double")))),
         unit(n / 200),
     ]
     product = signals[0]
     for x in signals[1:]:
         product = product * x
-    return F.greatest(F.lit(0.05), F.coalesce(F.when(n > 0, F.pow(product, 1 / len(signals))), F.lit(0.0)))
+    return F.greatest(F.lit(0.05), F.coalesce(F.pow(product, 1 / len(signals)), F.lit(0.0)))
 
 
 def mixture(documents: DataFrame, targets: list[Target], total: int | None = None, seed: int = 17) -> DataFrame:
