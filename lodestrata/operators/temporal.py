@@ -59,6 +59,21 @@ def inside_any(day: str | Column, spans: Sequence[tuple[str, str]]) -> Column:
     return F.exists(listed, lambda x: (day >= x["a"]) & (day <= x["z"]))
 
 
+def inside_collected(points: DataFrame, day: str, spans: DataFrame, begin: str, end: str, name: str, most: int = 10_000) -> DataFrame:
+    """Points with a flag ``name``: whether their day lies in any span of a table, both ends included; points are not
+    multiplied where spans overlap. A null day is in none.
+
+    Spans are counted first. Up to ``most`` they are collected into one array that goes to every task; beyond,
+    the days of the points are reduced to distinct ones and looked up by ``overlapping``.
+    """
+    flag = lambda x: F.coalesce(x, F.lit(False)).alias(name)
+    if spans.limit(most + 1).count() <= most:
+        one = spans.agg(F.collect_list(F.struct(F.col(begin).alias("a"), F.col(end).alias("z"))).alias("__spans"))
+        return points.crossJoin(F.broadcast(one)).select(*points.columns, flag(F.exists("__spans", lambda s: (F.col(day) >= s["a"]) & (F.col(day) <= s["z"]))))  # one row
+    days = overlapping(points.select(day).where(F.col(day).isNotNull()).distinct(), day, spans.select(begin, end), begin, end, most).select(F.col(day).alias("__day")).distinct().withColumn("__in", F.lit(True))
+    return points.join(days, F.col(day) == F.col("__day"), "left").select(*points.columns, flag(F.col("__in")))
+
+
 def numbered_within(df: DataFrame, key: str, segment: Column, order: Sequence[Column], name: str = "seq") -> DataFrame:
     """A running number of each key's rows in ``order``, from 1.
 

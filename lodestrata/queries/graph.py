@@ -320,6 +320,32 @@ def similar_visible(spark, d):
     return e.select("src", F.col("rank").cast("bigint").alias("rank"), "dst", hidden_unless(_visible(), F.col("b_outcome"), F.lit("not_yet_observed")).alias("outcome"), hidden_unless(_visible(), F.col("b_outcome_observed_on").cast("string"), F.lit(None)).alias("outcome_observed_on"))
 
 
+def similar_top_k(spark, d):
+    """Neighbours of the stated set with distance and today's outcome, in rank order."""
+    e = similar(spark, d).where("src % 100 = 0").join(_by_no(spark, d, "b"), F.col("dst") == F.col("b_no"))
+    return e.select("src", F.col("rank").cast("bigint").alias("rank"), "dst", half_up(F.col("dist"), 6).alias("dist"), F.col("b_outcome").alias("outcome"), F.col("b_outcome_observed_on").cast("string").alias("observed_on"))
+
+
+def similar_invariants(spark, d):
+    """What must hold of the whole graph: ranks rise with distance without a gap, no renewal has more than k neighbours or
+    fewer than its plan offers, mutual edges have their opposite. Counts of violations."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("src").orderBy("rank")  # at most k rows
+    e = similar_all(spark, d).withColumns({"before": F.lag("d2_q").over(w), "before_dst": F.lag("dst").over(w), "before_rank": F.lag("rank").over(w)})
+    order = (F.col("before") > F.col("d2_q")) | ((F.col("before") == F.col("d2_q")) & (F.col("before_dst") >= F.col("dst")))
+    c = lambda x: F.coalesce(F.sum(F.coalesce(x, F.lit(False)).cast("bigint")), F.lit(0))
+    ranks = e.agg(c(order).alias("order"), c(F.col("rank") != F.coalesce("before_rank", F.lit(0)) + 1).alias("gaps"))
+    z = scaled(spark, d).where("plan_tier is not null")
+    offers = z.where("route = 'model'").groupBy("plan_tier").agg(F.count(F.lit(1)).alias("offered"))
+    degrees = similar_all(spark, d).groupBy(F.col("src").alias("no")).agg(F.count(F.lit(1)).alias("n"))
+    want = F.least(F.lit(K), F.coalesce("offered", F.lit(0)) - (F.col("route") == "model").cast("int"))
+    wrong = z.join(offers, "plan_tier", "left").join(degrees, "no", "left").agg(c(F.coalesce("n", F.lit(0)) != want).alias("degree"))
+    back = similar_all(spark, d).select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("opposite"))
+    flag = similar_all(spark, d).join(back, ["src", "dst"], "left").agg(c(F.col("mutual") != F.coalesce("opposite", F.lit(False))).alias("mutual"))
+    return ranks.crossJoin(wrong).crossJoin(flag)  # one row each
+
+
 def similar_nearest_lapses(spark, d):
     """Least path distance, of any number of hops, to renewals that lapsed, and whether that was known at the source's cut-off."""
     e = similar_all(spark, d).select("src", "dst", (F.floor(F.sqrt(F.col("d2_q") / 1e9) * 1e6 + 0.5) / 1e6).alias("w"))
@@ -679,6 +705,9 @@ ORACLE = {
     "similar_nearest_lapses": KNN_ALL.replace("WITH snap", "WITH RECURSIVE snap", 1) + """, w AS MATERIALIZED (SELECT src, dst, floor(sqrt(d2_q / 1e9) * 1e6 + 0.5) / 1e6 AS w FROM sim), p(source, node, cost) USING KEY (source, node) AS (SELECT no, no, 0.0::DOUBLE FROM z WHERE no % 100 = 0
  UNION SELECT p.source, w.dst, min(p.cost + w.w) FROM p JOIN w ON w.src = p.node LEFT JOIN recurring.p k ON k.source = p.source AND k.node = w.dst WHERE k.cost IS NULL OR p.cost + w.w < k.cost GROUP BY p.source, w.dst)
  SELECT source, node, floor(cost * 1e4 + 0.5) / 1e4 AS path_dist, coalesce(b.outcome_observed_on <= a.as_of, FALSE) AS known FROM p JOIN z b ON b.no = node AND b.churned = 1 JOIN z a ON a.no = source WHERE source <> node""",
+    "similar_top_k": f"{KNN} SELECT src, rank, dst, floor(sqrt(d2) * 1e6::DOUBLE + 0.5) / 1e6::DOUBLE AS dist, b.outcome, strftime(b.outcome_observed_on, '%Y-%m-%d') AS observed_on FROM s1 JOIN z b ON b.no = dst",
+    "similar_invariants": f"""{KNN_ALL}, o AS (SELECT *, lag(d2_q) OVER w AS pq, lag(dst) OVER w AS pd, lag(rank) OVER w AS pr FROM sim WINDOW w AS (PARTITION BY src ORDER BY rank)), dgr AS (SELECT z.no, z.route, count(s.dst) AS n, (SELECT count(*) FROM z c WHERE c.route = 'model' AND c.plan_tier = z.plan_tier) AS offered FROM z LEFT JOIN sim s ON s.src = z.no WHERE z.plan_tier IS NOT NULL GROUP BY z.no, z.route, z.plan_tier)
+ SELECT count(*) FILTER (pq > d2_q OR pq = d2_q AND pd >= dst) AS "order", count(*) FILTER (rank <> coalesce(pr, 0) + 1) AS gaps, (SELECT count(*) FILTER (n <> least({K}, offered - CAST(route = 'model' AS INT))) FROM dgr) AS degree, (SELECT count(*) FILTER (mutual <> EXISTS (SELECT 1 FROM sim b WHERE b.src = a.dst AND b.dst = a.src)) FROM sim a) AS mutual FROM o""",
     "similar_sharing": f"{KNN} SELECT src, route, count(*) AS renewals FROM (SELECT DISTINCT a.src, b.src AS other FROM s1 a JOIN s1 b ON a.dst = b.dst AND a.src <> b.src) JOIN z ON no = other GROUP BY src, route",
     "similar_shares": _shares_sql(),
     "graph_exposure_by_plan": f"{GRAPH} SELECT incident_id, plan_tier, count(*) AS exposed, count(*) FILTER (route = 'model') AS model, CAST(coalesce(sum(CASE WHEN route = 'model' THEN churned END), 0) AS BIGINT) AS voluntary_lapses, count(*) FILTER (route = 'cancel_flow') AS cancel_flow, count(*) FILTER (route = 'dunning') AS dunning FROM (SELECT DISTINCT node_id AS incident_id, renewal_id, plan_tier, route, churned FROM g JOIN e_exp x ON x.sid = g.sid AND x.day > as_of - 28 AND x.day <= as_of) GROUP BY incident_id, plan_tier",

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.cleaning import clean_key, clean_word
 from lodestrata.operators.contract import content_hash, duplicate_keys, parity, table_checks, violations
-from lodestrata.operators.temporal import half_up, latest, numbered_within
-from lodestrata.queries.renewals import hits, snapshots
+from lodestrata.operators.temporal import half_up, inside_collected, latest, numbered_within
+from lodestrata.queries.renewals import INCIDENTS, hits, incidents, snapshots
 from lodestrata.session import new_path
 from lodestrata.sources.files import csv_as_text, csv_with_schema, export_folder
 from lodestrata.sources.snapshots import SnapshotStore
@@ -153,6 +153,12 @@ def numbered_hits(spark: SparkSession, d: str) -> DataFrame:
     return numbered.select("hit_no", F.format_string("lh:%s:%03d", "sid", "seq").alias("event_id"))
 
 
+def hits_in_incidents(spark: SparkSession, d: str) -> DataFrame:
+    """Hits per month, and those on a day of any incident."""
+    flagged = inside_collected(hits(spark, d), "day", incidents(spark), "starts_on", "ends_on", "inside")
+    return flagged.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("hits"), F.sum(F.col("inside").cast("bigint")).alias("inside"))
+
+
 def status_changes(spark: SparkSession, d: str) -> DataFrame:
     """Transitions between a subscription's consecutive snapshots (lag in order)."""
     w = Window.partitionBy("sid").orderBy("day")  # one row per key and day
@@ -172,7 +178,7 @@ def key_sets(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (key_sets, silver_orders, gold_daily, orders_by_city, time_travel, snapshot_log, merged_orders, dml, csv_round_trip, gold_parity, snapshot_contract, duplicate_lines, latest_lines, same_content, numbered_hits, status_changes)}
+QUERIES = {f.__name__: f for f in (key_sets, silver_orders, gold_daily, orders_by_city, time_travel, snapshot_log, merged_orders, dml, csv_round_trip, gold_parity, snapshot_contract, duplicate_lines, latest_lines, same_content, numbered_hits, hits_in_incidents, status_changes)}
 
 _K = "nullif(lower(trim({0})), '')".format
 _W = "translate(nullif(lower(trim({0})), ''), ' -', '__')".format
@@ -227,5 +233,6 @@ ORACLE = {
     "latest_lines": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / 100.0::DOUBLE AS price FROM (SELECT * FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_discount DESC, l_tax DESC, l_returnflag DESC, l_linestatus DESC) = 1) GROUP BY 1, 2",
     "same_content": "SELECT count(*) AS rows, CAST(1 AS BIGINT) AS digests FROM orders",
     "numbered_hits": f"SELECT hit_no, printf('lh:%s:%03d', sid, row_number() OVER (PARTITION BY sid ORDER BY hit_at, hit_no)) AS event_id FROM ({_HIT})",
+    "hits_in_incidents": f"SELECT strftime(hit_at, '%Y-%m') AS month, count(*) AS hits, count(*) FILTER ({' OR '.join(f"CAST(hit_at AS DATE) BETWEEN DATE '{a}' AND DATE '{z}'" for _, a, z in INCIDENTS)}) AS inside FROM ({_HIT}) GROUP BY 1",
     "status_changes": f"SELECT before, status, count(*) AS n FROM (SELECT status, lag(status) OVER (PARTITION BY sid ORDER BY day) AS before FROM ({_SNAP}) WHERE sid IS NOT NULL) WHERE before <> status GROUP BY 1, 2",
 }

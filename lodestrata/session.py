@@ -45,7 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _own_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}"
+    path = f"{shared_dir(spark)}/lodestrata/{spark.sparkContext.applicationId}"
+    context = spark.sparkContext
+    if not getattr(context, "_lodestrata_cleans", False):  # what this application wrote goes when it stops
+        context._lodestrata_cleans, stop = True, context.stop
+
+        def clean_and_stop() -> None:
+            try:
+                forget(spark)
+            finally:
+                stop()
+
+        context.stop = clean_and_stop
+    return path
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -54,7 +66,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def forget(spark: SparkSession) -> None:
-    """Delete what this application wrote to the shared folder; results not yet read from it become unreadable."""
+    """Delete what this application wrote to the shared folder; results not yet read from it become unreadable. Done of
+    itself when the Spark context is stopped."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -49,6 +49,27 @@ def not_dates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.inline(pairs)).where(F.col("value").isNotNull() & ~F.trim("value").rlike(r"^\d{4}-\d{2}-\d{2}$"))
 
 
+def require_dates(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """A CSV with header as text, or an error that names file, line, column and value of the first text in a date column that
+    is not a plain calendar day. Lines are counted within each file, so quoted line breaks count as lines do."""
+    df = csv_as_text(spark, path).withColumn("__file", F.col("_metadata.file_path"))
+    bad = not_dates_in(df, columns).agg(F.min(F.struct("__file", "column", "value")).alias("b")).first().b
+    if bad is None:
+        return df.drop("__file")
+    lines = spark.read.text(bad["__file"], wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("at", "line"))
+    hit = lines.where((F.col("at") > 0) & F.contains("line", F.lit(bad["value"]))).agg(F.min("at")).first()[0]
+    raise ValueError(f"{bad['__file']}, line {'?' if hit is None else hit + 1}, column {bad['column']}: {bad['value']!r} is not a day")
+
+
+def not_dates_in(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``not_dates`` with the file of each text (__file)."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
+    return df.select("__file", F.inline(pairs)).where(F.col("value").isNotNull() & ~F.trim("value").rlike(_DAY))
+
+
+_DAY = r"^\d{4}-\d{2}-\d{2}$"
+
+
 def _plain(x):
     return float(x) if isinstance(x, decimal.Decimal) else x.isoformat() if isinstance(x, (datetime.date, datetime.datetime)) else x
 

@@ -120,6 +120,16 @@ class SnapshotStore:
             raise ValueError(f"{table} at {e['snapshot_id']} has {e['rows']} rows, not {expect_rows}")
         return self._scan(e, list(e["counts"]))
 
+    def verify(self, table: str, version: str | int | None = None) -> int:
+        """The rows of the data itself; an error unless every folder has what the log recorded of it."""
+        e = self._entry(table, version, None)
+        found = self._files(StructType.fromJson(e["schema"]), list(e["counts"])).groupBy(F.regexp_extract("_metadata.file_path", r"/(__commit=[0-9a-f]{32})/", 1).alias("f")).agg(F.count(F.lit(1)).alias("n")) if e["counts"] else None
+        have = {r.f: r.n for r in found.collect()} if found is not None else {}  # a row per commit
+        bad = {f: (n, have.get(f.rsplit("/", 1)[1], 0)) for f, n in e["counts"].items() if have.get(f.rsplit("/", 1)[1], 0) != n}
+        if bad:
+            raise ValueError(f"{table} at {e['snapshot_id']}: recorded and found rows differ: {bad}")
+        return e["rows"]
+
     def _scan(self, entry: dict, folders: Sequence[str]) -> DataFrame:
         """One scan over all folders."""
         schema = StructType.fromJson(entry["schema"])

@@ -14,7 +14,7 @@ from lodestrata.operators.leakage import cross_validated, fit_logistic, neighbou
 from lodestrata.operators.search import build_index, search
 from lodestrata.operators.similarity import feature_shares, fit_scaler, mutual_flag, nearest, z_scores
 from lodestrata.operators.stats import auc, banded, cube_counts, dense, rates
-from lodestrata.operators.temporal import half_up, inside_any, latest, numbered_within, overlapping, ratio, salted_join, within
+from lodestrata.operators.temporal import half_up, inside_any, inside_collected, latest, numbered_within, overlapping, ratio, salted_join, within
 from tests.conftest import rows
 
 D = dt.date(2024, 1, 1)
@@ -39,6 +39,9 @@ def test_windows_and_overlaps(spark):
     assert [r.d for r in t.where(within("d", "a", 3, 3)).collect()] == [day(5), day(6), day(7)]
     assert t.where(inside_any("d", [("2024-01-03", "2024-01-04"), ("2024-01-04", "2024-01-05")])).count() == 3
     assert t.where(inside_any("d", [])).count() == 0
+    few = spark.createDataFrame([(day(2), day(4)), (day(4), day(5))], "b date, e date")
+    for most in (10, 1):
+        assert [r.d for r in inside_collected(t.select("d").unionByName(spark.createDataFrame([(None,)], "d date")), "d", few, "b", "e", "i", most).where("i").orderBy("d").collect()] == [day(i) for i in (2, 3, 4, 5)]
     spans = spark.createDataFrame([("s", day(2), day(40)), ("t", day(3), day(3)), ("bad", day(9), day(1))], "n string, b date, e date")
     one, two = (rows(overlapping(t.select("d"), "d", spans, "b", "e", most)) for most in (10, 1))
     assert one == two and len(one) == 13

@@ -141,3 +141,43 @@ def test_empty_table_takes_dml(spark, store):
     store.delete("t")
     store.merge("t", df(spark, [("a", 1)]), ["k"])
     assert rows(store.read("t")) == [("a", 1)]
+
+
+def test_verify_finds_lost_and_torn_data(spark, store, tmp_path):
+    import shutil
+
+    store.commit("t", df(spark, [("a", 1)]))
+    store.commit("t", df(spark, [("b", 2), ("c", 3)]))
+    assert store.verify("t") == 3
+    gone = store.current("t")["counts"]
+    shutil.rmtree(tmp_path / "store" / next(f for f, n in gone.items() if n == 1))
+    (tmp_path / "store" / next(f for f, n in gone.items() if n == 1)).mkdir()
+    with pytest.raises(ValueError, match="differ"):
+        store.verify("t")
+
+
+def test_offender_is_named(spark, tmp_path):
+    from lodestrata.sources.files import require_dates
+
+    (tmp_path / "a.csv").write_text("k,day\n1,2024-01-01\n2,2024-01-02 10:00\n")
+    with pytest.raises(ValueError, match=r"a.csv, line 3, column day: '2024-01-02 10:00'"):
+        require_dates(spark, f"file://{tmp_path}/a.csv", ["day"])
+    (tmp_path / "b.csv").write_text("k,day\n1,2024-01-01\n2,\n")
+    assert require_dates(spark, f"file://{tmp_path}/b.csv", ["day"]).count() == 2
+
+
+def test_intermediates_go_when_the_context_stops(tmp_path):
+    """In a process of its own, as it ends a context."""
+    import subprocess
+    import sys
+
+    code = f"""
+from lodestrata.session import build_session, written
+s = build_session("x", "local[1]", 1, spark__checkpoint__dir="file://{tmp_path}/shared")
+written(s.range(3), "t").count()
+import pathlib
+assert list(pathlib.Path("{tmp_path}/shared").rglob("*.parquet"))
+s.stop()
+assert not list(pathlib.Path("{tmp_path}/shared").rglob("*.parquet"))
+"""
+    assert subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).parents[1]), capture_output=True).returncode == 0
