@@ -167,6 +167,14 @@ def graph_edge_counts(spark, d):
     return edge_table(spark, d).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("dst").alias("targets"))
 
 
+def graph_describe(spark, d):
+    """What the graph holds: per node label and edge type the number, the first and last id and the days it covers."""
+    days = lambda c: (F.min(c).cast("string").alias("first_day"), F.max(c).cast("string").alias("last_day"))
+    n = node_table(spark, d).groupBy(F.col("label").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("first_id"), F.max("node_id").alias("last_id"), *days(F.coalesce("day", "as_of", "starts_on", "effective_date")))
+    e = edge_table(spark, d).groupBy(F.col("rel_type").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.min("dst").alias("first_id"), F.max("dst").alias("last_id"), *days(F.coalesce("event_date", "as_of")))
+    return n.unionByName(e)
+
+
 def graph_split(spark, d):
     """The typed tables back out of the wide one."""
     parts = split_wide(node_table(spark, d), "label", {"LimitHit": ["node_id", "sid", "limit_type"], "Ticket": ["node_id", "sid"]})
@@ -616,6 +624,20 @@ def _shares_sql() -> str:
     return f"{KNN} SELECT src, dst, row_number() OVER (PARTITION BY src, dst ORDER BY floor(part * 1e9 + 0.5) DESC, feature) AS place, feature, floor(part / d2 * 1e6 + 0.5) / 1e6 AS share FROM ({parts}) QUALIFY place <= 3"
 
 
+def _describe_sql() -> str:
+    text = lambda f, c: f"strftime({f}({c}), '%Y-%m-%d')"
+    one = lambda part, source, id_, day: f"SELECT '{part}' AS part, count(*) AS n, min({id_}) AS first_id, max({id_}) AS last_id, {text('min', day)} AS first_day, {text('max', day)} AS last_day FROM {source}"
+    plans = R._values(R.PLANS, "plan, price, cap")
+    parts = [
+        ("Subscription", "g", "sid", "CAST(NULL AS DATE)"), ("Renewal", "g", "renewal_id", "as_of"), ("Plan", plans, "plan", "CAST(NULL AS DATE)"), ("Incident", "incident", "incident_id", "starts_on"), ("PricingChange", "change", "change_id", "effective_date"),
+        ("LimitHit", "n_hit", "node_id", "day"), ("OverageChange", "n_set", "node_id", "day"), ("OverageCharge", "n_chg", "node_id", "day"), ("Ticket", "n_tick", "node_id", "day"), ("BillingEvent", "n_bill", "node_id", "day"),
+        ("HAS_RENEWAL", "g", "renewal_id", "as_of"), ("ON_PLAN", "g", "plan_tier", "as_of"), ("HIT_LIMIT", "n_hit", "node_id", "day"), ("CHANGED_OVERAGE", "n_set", "node_id", "day"), ("CHARGED_OVERAGE", "n_chg", "node_id", "day"), ("OPENED", "n_tick", "node_id", "day"), ("BILLED", "n_bill", "node_id", "day"),
+        ("EXPOSED_TO", "e_exp", "node_id", "day"), ("FIRST_RENEWAL_AFTER", "e_first", "change_id", "day"), ("CUT_CAP", f"change, {plans}", "plan", "effective_date"),
+    ]
+    # a part of the graph without rows has no row
+    return f"{GRAPH} SELECT * FROM ({' UNION ALL '.join(one(*p) for p in parts)}) WHERE n > 0"
+
+
 def _proof_sql() -> str:
     since = lambda r, days, x: f"coalesce(sum(CASE WHEN rel = '{r}' AND day > as_of - {days} THEN {x} END), 0)"
     last = lambda state: f"max(CASE WHEN rel = 'CHANGED_OVERAGE' AND state = '{state}' THEN day END)"
@@ -677,6 +699,7 @@ _EDGES = {"HAS_RENEWAL": ("g", "renewal_id"), "ON_PLAN": ("g", "plan_tier"), "HI
 ORACLE = {
     "graph_node_counts": f"{GRAPH} " + " UNION ALL ".join(f"SELECT '{n}' AS label, count(*) AS n, count(*) AS ids FROM {t}" for n, t in _COUNTS.items()),
     "graph_edge_counts": f"{GRAPH} " + " UNION ALL ".join(f"SELECT '{n}' AS rel_type, count(*) AS n, count(DISTINCT {c}) AS targets FROM {t}" for n, (t, c) in _EDGES.items()) + f" UNION ALL SELECT 'CUT_CAP', {len(R.CHANGES) * len(R.PLANS)}, {len(R.PLANS)}",
+    "graph_describe": _describe_sql(),
     "graph_split": f"{GRAPH} SELECT 'LimitHit' AS label, sid, count(*) AS n FROM n_hit GROUP BY sid UNION ALL SELECT 'Ticket', sid, count(*) FROM n_tick GROUP BY sid",
     "graph_routes": f"{GRAPH} SELECT route, count(*) AS n, CAST(sum(churned) AS BIGINT) AS lapses FROM g GROUP BY route",
     "graph_renewals_per_subscription": f"{GRAPH} SELECT n AS degree, count(*) AS nodes FROM (SELECT sid, count(*) AS n FROM g GROUP BY sid) GROUP BY n",

@@ -51,6 +51,11 @@ def lineage_windows(spark, d):
     return lineage_graph(spark, d).ask("pit_windows")
 
 
+def lineage_rules(spark, d):
+    """Rules found in the plan: a day that must lie so many days from another."""
+    return lineage_graph(spark, d).ask("pit_rule")
+
+
 def lineage_trace(spark, d):
     return lineage_graph(spark, d).trace("bronze.limit_events.hit_at", upstream=False)
 
@@ -78,7 +83,7 @@ def lineage_templates(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (lineage_reads, lineage_pit, lineage_windows, lineage_trace, lineage_guards, lineage_unused, lineage_paths, lineage_templates)}
+QUERIES = {f.__name__: f for f in (lineage_reads, lineage_pit, lineage_windows, lineage_rules, lineage_trace, lineage_guards, lineage_unused, lineage_paths, lineage_templates)}
 
 _STATUS = {f: "compliant" for f in R.FEATURES} | dict.fromkeys(("sid", "renewal_id", "as_of", "renewal_date", "plan_tier", "started_at", "user_name", "city"), "as_of_row") | dict.fromkeys(LABELS, "label_side") | {"renewals_completed": "declared_exception", "first_renewal_after_change": "as_of_row"}
 _CLAMPED = ("engagement_trend", "last_active_days_ago", "allowance_used_pct", "share_change")
@@ -126,6 +131,7 @@ _CHECKED = ("engagement_trend", "share_change", "overage_toggled_off")
 ORACLE = {
     "lineage_pit": " UNION ALL ".join(f"SELECT '{GOLD}.{c}' AS id, '{c}' AS name, '{s}' AS status, '{'sql_clamp' if c in _CLAMPED else 'window_length' if c in _LENGTH else 'data_dependent'}' AS guarantee" for c, s in _STATUS.items()),
     "lineage_windows": _rows_sql({"id": "VARCHAR", "anchor": "VARCHAR", "begin_days": "INT", "end_days": "INT"}, _window_rows()),
+    "lineage_rules": "SELECT 'day' AS name, 'period_end -7 days' AS detail",
     "lineage_trace": _rows_sql({"node": "VARCHAR", "depth": "INT"}, [("bronze.limit_events.hit_at", 0), *((f"{GOLD}.{c}", 1) for c in _FED), *((f"export.model_rows.{c}", 2) for c in _FED if c in R.FEATURES), ("consumer.similar", 2), ("consumer.lapse_rate", 2)]),
     "lineage_guards": _rows_sql({"id": "VARCHAR"}, [(f"{GOLD}.{c}",) for c in _ALL_COLUMNS if c not in _CHECKED]),
     "lineage_unused": f"SELECT 'bronze.' || table_name || '.' || column_name AS id, CAST(0 AS BIGINT) AS readers FROM information_schema.columns WHERE {_unread()}",

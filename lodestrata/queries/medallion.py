@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 from lodestrata.functions.cleaning import clean_key, clean_word
 from lodestrata.operators.contract import content_hash, duplicate_keys, parity, table_checks, violations
 from lodestrata.operators.temporal import half_up, inside_collected, latest, numbered_within
+from lodestrata.plans.guard import guarded
 from lodestrata.queries.renewals import INCIDENTS, hits, incidents, snapshots
 from lodestrata.session import new_path
-from lodestrata.sources.files import csv_as_text, csv_with_schema, export_folder
+from lodestrata.sources.files import csv_as_text, csv_with_schema, export_folder, inline, not_dates, with_lineage, without_lineage
 from lodestrata.sources.snapshots import SnapshotStore
 from lodestrata.sources.tables import table
 
@@ -83,6 +85,46 @@ def snapshot_log(spark: SparkSession, d: str) -> DataFrame:
     return log.select("sequence", "operation", F.element_at("summary", "batch").alias("batch"), added.alias("added"), total.alias("total"), F.coalesce(F.col("parent_id") == before, F.lit(False)).alias("follows"))
 
 
+def snapshot_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Branches and tags of the orders table with the rows each one holds."""
+    store = orders_store(spark, d)
+    found = store.refs("bronze_orders").collect()  # a row per ref
+    return inline(spark, [(r.name, r.type, store.verify("bronze_orders", r.snapshot_id)) for r in found], "name string, type string, rows bigint")
+
+
+def published_daily(spark: SparkSession, d: str) -> DataFrame:
+    """Daily metrics published from a pinned snapshot, asked for twice and built once, read back at the newest build."""
+    store = orders_store(spark, d)
+    pins = store.pin(["bronze_orders"], "pinned_")
+    build = lambda: {"daily_metrics": daily(silver(store.read("bronze_orders", pins["bronze_orders"])))}
+    store.publish("manifest", pins, ["daily"], build)
+    if store.publish("manifest", pins, ["daily"], build)[1]:
+        raise RuntimeError("the same inputs and code were built twice")
+    return store.newest("manifest", "daily_metrics")
+
+
+def ingested(spark: SparkSession, d: str) -> DataFrame:
+    """Customers written as CSV and taken in with their file and one time of arrival: rows, files and times per city."""
+    path = new_path(spark, "landing")
+    export_folder(customers_latest(spark, d), path)
+    rows = with_lineage(csv_with_schema(spark, path, "customer_id STRING, city STRING, signup_date DATE"), datetime.datetime(2026, 7, 1))
+    counted = rows.groupBy("city").agg(F.count(F.lit(1)).alias("n"), F.count("_source_file").alias("with_file"), F.countDistinct("_ingested_at").alias("times"))
+    return counted.withColumn("columns", F.lit(len(without_lineage(rows).columns)))
+
+
+def guarded_sql(spark: SparkSession, d: str) -> DataFrame:
+    """A question in SQL, let through as it only reads the view it may."""
+    table(spark, d, "orders_day2").createOrReplaceTempView("asked_orders")
+    return guarded(spark, "SELECT lower(trim(status)) AS status, count(*) AS n, count(DISTINCT delivery_no) AS deliveries FROM asked_orders GROUP BY 1", ["asked_orders"])
+
+
+def not_days(spark: SparkSession, d: str) -> DataFrame:
+    """Texts in columns of days that are more than a day, by column."""
+    text = lambda n, *cs: not_dates(table(spark, d, n).select(*(F.col(c).cast("string").alias(c) for c in cs)), cs)
+    every = text("orders_day2", "order_ts").unionByName(text("subscription_snapshots", "snapshot_date", "started_at"))
+    return every.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+
+
 def merged_orders(spark: SparkSession, d: str) -> DataFrame:
     """Silver of the first version, merged with the latest deliveries of the second."""
     store = orders_store(spark, d)
@@ -178,7 +220,7 @@ def key_sets(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-QUERIES = {f.__name__: f for f in (key_sets, silver_orders, gold_daily, orders_by_city, time_travel, snapshot_log, merged_orders, dml, csv_round_trip, gold_parity, snapshot_contract, duplicate_lines, latest_lines, same_content, numbered_hits, hits_in_incidents, status_changes)}
+QUERIES = {f.__name__: f for f in (key_sets, silver_orders, gold_daily, orders_by_city, time_travel, snapshot_log, merged_orders, dml, csv_round_trip, gold_parity, snapshot_contract, duplicate_lines, latest_lines, same_content, numbered_hits, hits_in_incidents, status_changes, snapshot_refs, published_daily, ingested, guarded_sql, not_days)}
 
 _K = "nullif(lower(trim({0})), '')".format
 _W = "translate(nullif(lower(trim({0})), ''), ' -', '__')".format
@@ -224,6 +266,11 @@ ORACLE = {
     "orders_by_city": f"SELECT lower(c.city) AS city, o.status, count(*) AS orders, count(DISTINCT o.customer_id) AS customers FROM ({_silver()}) o JOIN ({_CUST}) c ON o.customer_id = c.customer_id GROUP BY 1, 2",
     "time_travel": f"SELECT *, 'first' AS version FROM ({_daily(_silver(_EARLY))}) UNION ALL SELECT *, 'second' FROM ({_daily(_silver())})",
     "snapshot_log": f"SELECT CAST(1 AS BIGINT) AS sequence, 'append' AS operation, 'first' AS batch, count(*) AS added, count(*) AS total, FALSE AS follows FROM orders_day2 WHERE {_EARLY} UNION ALL SELECT 2, 'append', 'second', count(*) FILTER (NOT {_EARLY}), count(*), TRUE FROM orders_day2",
+    "snapshot_refs": f"SELECT 'main' AS name, 'BRANCH' AS type, count(*) AS rows FROM orders_day2 UNION ALL SELECT 'first', 'TAG', count(*) FILTER ({_EARLY}) FROM orders_day2",
+    "published_daily": _daily(_silver()),
+    "ingested": f"SELECT city, count(*) AS n, count(*) AS with_file, CAST(1 AS BIGINT) AS times, 3 AS columns FROM ({_CUST}) GROUP BY city",
+    "guarded_sql": "SELECT lower(trim(status)) AS status, count(*) AS n, count(DISTINCT delivery_no) AS deliveries FROM orders_day2 GROUP BY 1",
+    "not_days": "SELECT 'order_ts' AS \"column\", count(order_ts) AS n FROM orders_day2",
     "merged_orders": f"SELECT status, count(*) AS orders FROM ({_silver()}) GROUP BY 1",
     "dml": f"SELECT customer_id, coalesce(city, 'unknown') AS city, strftime(signup_date, '%Y-%m-%d') AS signup_date FROM ({_CUST}) WHERE signup_date IS NULL OR signup_date >= DATE '2024-01-01'",
     "csv_round_trip": f"SELECT 'rows' AS kind, count(*) AS n FROM ({_CUST})",

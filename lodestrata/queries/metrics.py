@@ -144,9 +144,9 @@ def population_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def route_counts(spark: SparkSession, d: str) -> DataFrame:
-    """Six fixed (route, outcome) rows per plan."""
-    g = G.renewals(spark, d).withColumn("pair", F.concat_ws("/", "route", "outcome"))
-    grid = dense(g, {"plan_tier": PLAN_NAMES, "pair": ["/".join(r) for r in ROUTES]}, {"n": F.count(F.lit(1))})
+    """Six fixed (route, outcome) rows per plan, and for all plans."""
+    g = G.renewals(spark, d).withColumn("pair", F.concat_ws("/", "route", "outcome")).select("pair", F.explode(F.array("plan_tier", F.lit("all"))).alias("plan_tier"))
+    grid = dense(g, {"plan_tier": (*PLAN_NAMES, "all"), "pair": ["/".join(r) for r in ROUTES]}, {"n": F.count(F.lit(1))})
     return grid.select("plan_tier", F.split("pair", "/")[0].alias("route"), F.split("pair", "/")[1].alias("outcome"), "n")
 
 
@@ -350,7 +350,7 @@ _ALL = f"{R.BASE}, g AS (SELECT * FROM feat)"
 _LATE = f"(SELECT count(DISTINCT f.sid) FROM (SELECT * FROM feat WHERE as_of <= DATE '{R.UNTIL}' QUALIFY row_number() OVER (PARTITION BY sid ORDER BY as_of DESC) = 1) f JOIN change ON effective_date >= renewal_date - 30 AND effective_date < renewal_date AND started_at < effective_date AND effective_date > as_of)"
 ORACLE = {
     "lapse_rate": f"{_ALL} SELECT plan_tier, band, n, lapses, {_rates('n', 'lapses')} FROM (SELECT p.plan_tier, b.band, count(g.sid) AS n, CAST(coalesce(sum(g.churned), 0) AS BIGINT) AS lapses FROM {_grid('plan_tier', PLAN_NAMES)} p CROSS JOIN {_grid('band', BAND_NAMES)} b LEFT JOIN (SELECT *, {_BAND} AS band FROM g WHERE route = 'model') g ON g.plan_tier = p.plan_tier AND g.band = b.band GROUP BY 1, 2)",
-    "route_counts": f"{_ALL} SELECT p.plan_tier, r.route, r.outcome, count(g.sid) AS n FROM {_grid('plan_tier', PLAN_NAMES)} p CROSS JOIN (VALUES {', '.join(map(str, ROUTES))}) AS r(route, outcome) LEFT JOIN g ON g.plan_tier = p.plan_tier AND g.route = r.route AND g.outcome = r.outcome GROUP BY ALL",
+    "route_counts": f"{_ALL} SELECT p.plan_tier, r.route, r.outcome, count(g.sid) AS n FROM {_grid('plan_tier', (*PLAN_NAMES, 'all'))} p CROSS JOIN (VALUES {', '.join(map(str, ROUTES))}) AS r(route, outcome) LEFT JOIN g ON (g.plan_tier = p.plan_tier OR p.plan_tier = 'all') AND g.route = r.route AND g.outcome = r.outcome GROUP BY ALL",
     "lapse_cube": f"{_ALL} SELECT coalesce(plan_tier, '*') AS plan_tier, coalesce(exposed, '*') AS exposed, coalesce(band, '*') AS band, count(*) AS n, CAST(sum(churned) AS BIGINT) AS lapses FROM (SELECT plan_tier, CAST(incident_exposed_28d AS VARCHAR) AS exposed, {_BAND} AS band, churned FROM g WHERE route = 'model') GROUP BY CUBE (plan_tier, exposed, band)",
     "feature_cards": f"{_ALL} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({_WINDOW[c]} AS BIGINT) AS window_days, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high, count(*) FILTER ({c} <> 0) AS nonzero, {_LATE if c == 'first_renewal_after_change' else 'CAST(0 AS BIGINT)'} AS exceptions FROM g" for c in R.FEATURES),
     "similar_summary": f"""{G.KNN}, near AS (SELECT source, min(path_dist) AS nearest_known_lapse FROM ({G.ORACLE['similar_nearest_lapses']}) WHERE known GROUP BY source), lead AS (SELECT h.src, h.feature, h.share FROM ({G.ORACLE['similar_shares']}) h JOIN s1 ON s1.src = h.src AND s1.dst = h.dst WHERE s1.rank = 1 AND h.place = 1)

@@ -9,7 +9,7 @@ import json
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -93,6 +93,13 @@ def export_file(df: DataFrame, path: str, order_by: Sequence[str], kind: str = "
     return n
 
 
+def export_splits(df: DataFrame, path: str, splits: dict[str, tuple[Column, Sequence[str]]], kind: str = "csv") -> None:
+    """Folders ``path``/<name> of one table: each with the rows of its condition and its columns (a model's rows without what
+    tells the outcome, the audit's rows with it). The table is read once per split: write it first if it is costly."""
+    for name, (condition, columns) in splits.items():
+        export_folder(df.where(condition).select(*columns), f"{path}/{name}", kind)
+
+
 def export_folder(df: DataFrame, path: str, kind: str = "csv") -> None:
     """CSV or JSON part files, written by the executors."""
     writer = df.write.mode("overwrite")

@@ -94,6 +94,18 @@ class SnapshotStore:
         self._create(f"{table}/log/{entry['sequence']:010d}.json", json.dumps(entry))
         return snapshot
 
+    def create_as(self, table: str, text: str, **commit) -> str:
+        """A table made of a query's rows (``CREATE OR REPLACE TABLE ... AS``)."""
+        return self.commit(table, self.spark.sql(text), "replace", **commit)
+
+    def tables(self, namespace: str = "") -> list[str]:
+        """Tables below a namespace (a folder path), by name."""
+        return [n for n in self._names(namespace) if self._names(f"{namespace}/{n}/log" if namespace else f"{n}/log")]
+
+    def drop(self, table: str) -> bool:
+        """The table with all its snapshots and data; whether there was one."""
+        return bool(self._fs.delete(self._path(table), True))
+
     def _entry(self, table: str, version: str | int | None, tag: str | None) -> dict:
         if tag is not None:
             version = next((r["snapshot_id"] for r in self._refs(table) if r["name"] == tag), None)

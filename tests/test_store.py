@@ -181,3 +181,19 @@ s.stop()
 assert not list(pathlib.Path("{tmp_path}/shared").rglob("*.parquet"))
 """
     assert subprocess.run([sys.executable, "-c", code], cwd=str(__import__("pathlib").Path(__file__).parents[1]), capture_output=True).returncode == 0
+
+
+def test_tables_from_sql_listed_and_dropped(spark, store):
+    df(spark, [("a", 1), ("b", 2)]).createOrReplaceTempView("src_rows")
+    store.create_as("ns/t", "SELECT k, v + 1 AS v FROM src_rows WHERE k = 'a'")
+    store.create_as("ns/u", "SELECT 1 AS x")
+    assert store.tables("ns") == ["t", "u"] and rows(store.read("ns/t")) == [("a", 2)]
+    assert store.drop("ns/t") and not store.drop("ns/t") and store.tables("ns") == ["u"]
+
+
+def test_splits(spark, tmp_path):
+    from lodestrata.sources.files import export_splits
+
+    export_splits(df(spark, [("a", 1), ("b", None)]), f"file://{tmp_path}/out", {"model": (F.col("v").isNotNull(), ["k"]), "audit": (F.lit(True), ["k", "v"])})
+    assert rows(csv_with_schema(spark, f"file://{tmp_path}/out/model", "k STRING")) == [("a",)]
+    assert rows(csv_with_schema(spark, f"file://{tmp_path}/out/audit", "k STRING, v INT")) == [("a", 1), ("b", None)]
