@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,7 +26,7 @@ class Target:
 def quality_weight(text: str) -> Column:
     """A weight in [0.05, 1] from the text alone: the geometric mean of five signals, each in [0, 1].
 
-    * letters and blanks among all characters, as running text has (full from 90 % on)
+    * characters other than digits and ASCII signs, as running text has (full from 90 % on)
     * words of a plausible mean length (full from 3 to 9 characters, falling to 0 at 1 and 18)
     * few signs that markup, code and tables have: ``{}[]<>|\\^~=_#*@`` (none at all is full, 10 % is 0)
     * words that are not said again and again: distinct among all words, or the square root of the number of words where
@@ -40,12 +41,12 @@ def quality_weight(text: str) -> Column:
     words = F.split(t, r"\s+")
     count = F.size(words)
     blanks = n - F.length(F.translate(t, " \t\r\n\u00a0", ""))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{M}]++", ""))
+    plain = F.length(F.translate(t, "0123456789" + string.punctuation, ""))
     signs = n - F.length(F.translate(t, "{}[]<>|\\^~=_#*@", ""))
     mean = (n - blanks) / count
     unit = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
     signals = [
-        unit((letters + blanks) / n / 0.9),
+        unit(plain / n / 0.9),
         unit(F.least((mean - 1) / 2, (18 - mean) / 9)),
         unit(1 - 10 * signs / n),
         unit(2 * F.size(F.array_distinct(words)) / F.least(count.cast("double"), 10 * F.sqrt(count.cast("double")))),
