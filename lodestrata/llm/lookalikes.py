@@ -28,6 +28,8 @@ MEMO = 100_000
 _MARKS = "\u0300-\u036f\u0483-\u0487"
 #: The rest of a run of letters with their marks.
 RUN = re.compile(rf"(?:[^\W\d_][{_MARKS}]*)+")
+#: Characters beyond the basic plane.
+ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 _IN_RUN = re.compile(rf"[^\W\d_]|[{_MARKS}]")
 
 
@@ -115,18 +117,27 @@ class Reader:
         self.shared = set(self.stands.values())
 
     @cached_property
-    def foreign(self) -> re.Pattern:
-        """Letters of the scripts in question: a token with one of them is judged, as its Latin letters may be the wrong ones."""
-        return re.compile(f"[{_spans(c for c in range(0x80, LAST) if script(chr(c)) in self.home and chr(c).isalpha())}]")
+    def foreign(self) -> tuple[re.Pattern, re.Pattern]:
+        """Letters of the scripts in question: a token with one of them is judged, as its Latin letters may be the wrong ones.
+        For texts within the basic plane, whose class is a bitmap to the matcher, and for others."""
+        return _classes(c for c in range(0x80, LAST) if script(chr(c)) in self.home and chr(c).isalpha())
 
     @cached_property
-    def uneven(self) -> re.Pattern:
+    def folded(self) -> tuple[re.Pattern, re.Pattern]:
+        """Characters that are folded."""
+        return _classes(self.folds)
+
+    @cached_property
+    def uneven(self) -> tuple[re.Pattern, re.Pattern]:
         """A text in composed form without any of these is in its one form already."""
-        return re.compile(f"[{_spans(self.folds)}{self.foreign.pattern[1:-1]}]")
+        return _classes({*self.folds, *(c for c in range(0x80, LAST) if self.foreign[1].match(chr(c)))})
 
     def fold(self, text: str) -> str:
         """Wide forms, kinds of space and widthless characters set aside; accents in their decomposed form."""
-        return text if text.isascii() else unicodedata.normalize("NFD", text.translate(self.folds))
+        if text.isascii():
+            return text
+        folds = self.folds  # few characters of a text are folded, so they are looked for, not every character looked up
+        return unicodedata.normalize("NFD", self.folded[ASTRAL.search(text) is not None].sub(lambda m: folds[ord(m[0])], text))
 
     def judge(self, token: str) -> tuple[str, str, bool, bool]:
         """(repaired, fallback, certain, mixed) of a folded token with letters of another script in it.
@@ -157,8 +168,8 @@ class Reader:
 
     def runs(self, folded: str) -> Iterator[tuple[int, int]]:
         """Start and end of each run of letters that holds a letter of another script; linear in the text."""
-        done = 0
-        while m := self.foreign.search(folded, done):
+        done, foreign = 0, self.foreign[ASTRAL.search(folded) is not None]
+        while m := foreign.search(folded, done):
             start = m.start()
             while start > done and _IN_RUN.match(folded[start - 1]):
                 start -= 1
@@ -168,7 +179,7 @@ class Reader:
     def dissect(self, text: str, every: bool = False) -> tuple[list[str], list[dict], list[str]]:
         """(segments, open choices between them, words of the vocabulary) of one whole text. every: a token that the
         form changes is a choice also where its form is certain."""
-        if text.isascii() or (unicodedata.is_normalized("NFC", text) and not self.uneven.search(text)):
+        if text.isascii() or (unicodedata.is_normalized("NFC", text) and not self.uneven[ASTRAL.search(text) is not None].search(text)):
             return [text], [], []
         folded = self.fold(text)
         segments, choices, words, done, here = [], [], set(), 0, []
@@ -195,9 +206,15 @@ class Reader:
         return segments, choices, sorted(words)
 
 
-def _spans(codes) -> str:
+def _classes(codes) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of one of these characters: of the basic plane only, and of all planes."""
+    codes = sorted(codes)
+    return re.compile(f"[{_spans([c for c in codes if c <= 0xFFFF])}]"), re.compile(f"[{_spans(codes)}]")
+
+
+def _spans(codes: list[int]) -> str:
     """The inside of a character class."""
-    out, codes = [], sorted(codes)
+    out = []
     for i, c in enumerate(codes):
         if not i or c != codes[i - 1] + 1:
             out.append([c, c])
@@ -209,7 +226,7 @@ def _spans(codes) -> str:
 def reader(spark: SparkSession) -> Reader:
     """Made on the driver, once; workers get its tables and patterns."""
     made = Reader(lookalikes(spark))
-    assert made.foreign and made.uneven
+    assert made.foreign and made.folded and made.uneven
     return made
 
 
