@@ -14,6 +14,8 @@ from lodestrata.operators.placing import together
 
 #: Ordinals under one container of a bitmap; a sparse container keeps its members, a dense one its bits.
 CONTAINER, SPARSE = 65_536, 4_096
+#: Rows whose keys get ordinals together: several containers; only bounds a task's memory.
+GATHER = 4 * CONTAINER
 
 
 class Bitmap:
@@ -112,7 +114,7 @@ def _compare(batches: Iterator[pa.RecordBatch], keys: Sequence[str], fields: dic
             continue
         if held is not None:
             t = pa.concat_tables([held, t])
-        if t.num_rows < CONTAINER:  # gather about a container's worth of rows
+        if t.num_rows < GATHER:
             held = t
             continue
         cut = t.num_rows - 1  # rows of one key (at most two) stay together
@@ -136,7 +138,7 @@ def differences(left: DataFrame, right: DataFrame, keys: dict[str, Column], fiel
     fields, nulls least), so a key brings two rows at most. Both sides meet in the key's partition, sorted;
     there the keys get ordinals shared by both sides, each side's presence becomes a compressed bitmap, and
     AND-NOT gives the missing rows, AND the ordinals whose columns are lined up and compared as arrays. Only
-    a container's worth of rows is in memory.
+    a few containers' worth of rows is in memory.
 
     Nulls: a null key is a key like others. An empty side makes every key of the other ``only_in``. Columns
     not named are not read, so further or clashing ones do no harm.
