@@ -281,7 +281,7 @@ def canonical_texts(documents: DataFrame, doc_id: str = "doc_id", text: str = "t
     if keep_text:  # Latin words decide no form, but they do decide repairs
         plain = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\p{L}[\p{L}\p{Mn}]*)"), 1))).alias("repaired"))
         vocabulary = vocabulary.unionByName(plain.where(F.col("repaired").rlike(r"^[\p{IsLatin}\p{Mn}]+$")))
-    known = vocabulary.join(wanted, "repaired", "left_semi").distinct().withColumn("known", F.lit(True))
+    known = vocabulary.distinct().join(wanted, "repaired", "left_semi").withColumn("known", F.lit(True))
     decided = asked.join(known, "repaired", "left").withColumn("known", F.coalesce("known", F.lit(False)))
     word = F.when(~F.col("certain") & F.col("known"), F.col("repaired")).otherwise(F.col("fallback"))
     strict = F.when(F.col("mixed") & F.col("known"), F.col("repaired")).otherwise(F.col("token"))
