@@ -34,8 +34,9 @@ def fit_logistic(rows: DataFrame, features: Sequence[str], label: str, ridge: fl
 def fit_folds(rows: DataFrame, features: Sequence[Sequence[str]], label: str, fold: str, ridge: float = 1.0, rounds: int = 50) -> list[np.ndarray]:
     """One model per entry of ``features``: the i-th is fitted on the rows whose fold is not i, on its own columns.
 
-    All models take each Newton step in one pass: a task sends a gradient and a Hessian per model, of the number of
-    features squared, whatever the number of rows; the driver solves those systems.
+    All models take each Newton step in one pass: a task sends a gradient, a Hessian and the loss per model, of the number
+    of features squared, whatever the number of rows; the driver solves those systems. A step that does not lower a
+    model's penalised loss is halved. Raises after ``rounds``.
     """
     d = len(features[0]) + 1
     betas = [np.zeros(d) for _ in features]
@@ -43,30 +44,41 @@ def fit_folds(rows: DataFrame, features: Sequence[Sequence[str]], label: str, fo
     lists = [list(f) for f in features]
     data = rows.select(*(F.col(c).cast("double").alias(c) for c in every), F.col(label).cast("double").alias("__y"), F.col(fold).alias("__f")).na.drop()
 
-    def step(now: list[np.ndarray]) -> list[np.ndarray]:
+    penalty = ridge * np.eye(d)
+    penalty[0, 0] *= 1e-3  # a training set of one class has its best intercept at infinity
+    size = d * (d + 1) + 1
+
+    def measure(now: list[np.ndarray]) -> np.ndarray:
         def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total = np.zeros((len(now), d, d + 1))
+            total = np.zeros((len(now), size))
             for b in batches:
                 for i, (beta, mine) in enumerate(zip(now, lists, strict=True)):
                     train = b[b["__f"] != i]
-                    x = np.column_stack((np.ones(len(train)), train[mine].to_numpy()))
-                    p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                    total[i, :, :d] += (x * (p * (1 - p))[:, None]).T @ x
-                    total[i, :, d] += x.T @ (train["__y"].to_numpy() - p)
+                    x, y = np.column_stack((np.ones(len(train)), train[mine].to_numpy())), train["__y"].to_numpy()
+                    z = x @ beta
+                    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                    total[i, : d * d] += ((x * (p * (1 - p))[:, None]).T @ x).ravel()
+                    total[i, d * d : -1] += x.T @ (y - p)
+                    total[i, -1] += (np.logaddexp(0, z) - y * z).sum()
             yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
 
-        sums = data.mapInPandas(part, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # models x d x (d + 1) rows
-        out = np.zeros(len(now) * d * (d + 1))
+        sums = data.mapInPandas(part, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # models x size rows
+        out = np.zeros(len(now) * size)
         for r in sums:
             out[r["at"]] = r["v"]
-        return list(out.reshape(len(now), d, d + 1))
+        return out.reshape(len(now), size)
 
-    penalty = ridge * np.eye(d)
-    penalty[0, 0] = 0
+    moves, losses, scale = [np.zeros(d) for _ in betas], [np.inf] * len(betas), [1.0] * len(betas)
     for _ in range(rounds):
-        moves = [np.linalg.solve(m[:, :d] + penalty + 1e-9 * np.eye(d), m[:, d] - penalty @ beta) for m, beta in zip(step(betas), betas, strict=True)]
-        betas = [b + m for b, m in zip(betas, moves, strict=True)]
-        if max(np.abs(m).max() for m in moves) < 1e-8:
+        at = [b + s * m for b, m, s in zip(betas, moves, scale, strict=True)]
+        for i, (now, found) in enumerate(zip(at, measure(at), strict=True)):
+            loss = found[-1] + now @ penalty @ now / 2
+            if loss > losses[i] + 1e-9 * abs(losses[i]) and np.isfinite(losses[i]):
+                scale[i] /= 2
+                continue
+            betas[i], losses[i], scale[i] = now, loss, 1.0
+            moves[i] = np.linalg.solve(found[: d * d].reshape(d, d) + penalty + 1e-9 * np.eye(d), found[d * d : -1] - penalty @ now)
+        if max(np.abs(s * m).max() for s, m in zip(scale, moves, strict=True)) < 1e-8:
             return betas
     raise RuntimeError(f"the regression did not settle in {rounds} steps")
 
