@@ -659,8 +659,8 @@ duo AS MATERIALIZED ({two}), dg AS MATERIALIZED (SELECT a AS node, sum(w) AS deg
 st(round, node, c) AS (SELECT 0, node, node FROM dg UNION ALL (
   WITH cd AS (SELECT c, sum(deg) AS deg FROM st JOIN dg USING (node) GROUP BY c),
   ce AS (SELECT x.c AS a, y.c AS b, sum(w) AS w FROM duo JOIN st x ON x.node = duo.a JOIN st y ON y.node = duo.b WHERE x.c <> y.c GROUP BY 1, 2),
-  gn AS (SELECT a, b, m2 * w - p.deg * q.deg AS gain FROM ce JOIN cd p ON p.c = a JOIN cd q ON q.c = b, tot),
-  best AS (SELECT a, b FROM gn WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY gain DESC, least(a, b), greatest(a, b)) = 1),
+  gn AS (SELECT a, b, (w * 1000000000000000000::HUGEINT) // (p.deg * q.deg) AS gain FROM ce JOIN cd p ON p.c = a JOIN cd q ON q.c = b, tot WHERE m2 * w > p.deg * q.deg),
+  best AS (SELECT a, b FROM gn QUALIFY row_number() OVER (PARTITION BY a ORDER BY gain DESC, least(a, b), greatest(a, b)) = 1),
   mp AS (SELECT x.a AS c, least(x.a, x.b) AS into_c FROM best x JOIN best y ON x.a = y.b AND x.b = y.a)
   SELECT round + 1, node, coalesce(into_c, st.c) FROM st LEFT JOIN mp ON mp.c = st.c WHERE EXISTS (SELECT 1 FROM mp))),
 lb AS MATERIALIZED (SELECT node, c FROM st WHERE round = (SELECT max(round) FROM st)),
