@@ -45,3 +45,27 @@ def test_hubs_merge_in_a_task_as_in_rounds(spark):
     links = spark.createDataFrame([(a, b, w) for a, b, w in {(min(e), max(e), 0.5 if sum(e) % 3 else 0.25) for e in ends} if a != b], "a bigint, b bigint, weight double")
     of = lambda n: {r.node: r.label for r in graph.merge_communities(links, task_links=n).collect()}
     assert of(0) == of(60) == of(10_000)
+
+
+def test_paths_in_blocks_as_in_rounds(spark):
+    """Relaxed in a task a block: the same costs as rounds of joins over the graph; nodes without targets tell nothing."""
+    rng = random.Random(6)
+    links = {(a, b): rng.random() for a, b in ((rng.randrange(80), rng.randrange(80)) for _ in range(260)) if a % 2 == b % 2 and a != b}
+    e = spark.createDataFrame([(a, b, w, f"b{a % 2}") for (a, b), w in links.items()] + [(900, 901, 0.0, "lone")], "src bigint, dst bigint, w double, block string")
+    nodes = spark.createDataFrame([(f"b{i % 2}", i) for i in range(80)] + [("lone", 900)], "block string, node bigint")
+    want = {(r.source, r.node): r.cost for r in graph.shortest_paths(e, nodes.select("node"), "w", None).collect()}
+    got = lambda **x: {(r.source, r.node): r.cost for r in graph.block_paths(e, nodes, "w", "block", **x).collect()}
+    assert got() == want == got(task_edges=5)
+    some = nodes.where("node % 5 = 0 and block = 'b1'")
+    assert got(targets=some) == {k: c for k, c in want.items() if k[1] % 5 == 0 and k[1] % 2 == 1} == got(targets=some, task_edges=5)
+
+
+def test_lapses_are_looked_for_from_every_renewal(spark):
+    """The paths had started at ids divisible by 100 only."""
+    from lodestrata.queries import graph as queries
+
+    d = "/root/testdata/sf0.001"
+    sources = {r.src for r in queries.similar_all(spark, d).select("src").distinct().collect()}
+    found = {r.source for r in queries.similar_nearest_lapses(spark, d).select("source").distinct().collect()}
+    assert found <= sources and any(s % 100 for s in found)
+    assert "no % 100" not in queries.ORACLE["similar_nearest_lapses"] and "no % 100" in queries.LAPSES_OF_STATED
